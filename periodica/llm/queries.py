@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import quality_bt, secret_scan, simhash_bytes, token_transducer, toxicity_ftrl, wu_manber
+from periodica.llm import piece_sampling, quality_bt, quality_rules, repair_ids, secret_scan, simhash_bytes, superkmer_dedup, token_transducer, toxicity_ftrl, wu_manber
 from periodica.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.BASE]
@@ -35,6 +39,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, base), F.sha2(_joined(F.filter("spans", lambda s: s.kind.isin(base))).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op5_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = superkmer_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.summarise(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_bytes.near_duplicates(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +67,6 @@ def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_ftrl.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bradley_terry, op2_token_counts, op4_secret_scan, op8_simhash_near_dups, op9_benchmark_overlap, op10_toxicity_ftrl)}
+QUERIES = {f.__name__: f for f in (op1_quality_bradley_terry, op2_token_counts, op3_quality_rules, op4_secret_scan, op5_repair_token_ids, op6_superkmer_dedup, op7_sampled_pieces, op8_simhash_near_dups, op9_benchmark_overlap, op10_toxicity_ftrl)}
 
 SQL: dict[str, str] = {}
