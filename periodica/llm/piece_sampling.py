@@ -260,3 +260,23 @@ def summarise(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int = 0)
 
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.select("doc_id", summary("text", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("s")).select("doc_id", "s.*")
+
+
+def encode_documents(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+    """The documents' columns without the text, with n_pieces, lossless (the ids decode to the text) and piece_ids.
+
+    A column of the input that has one of these names gives way to the new one.
+    """
+    arrow = pa.struct([("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
+
+    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
+    def coded(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        out = []
+        for lattices, run, got in _sampled(texts, keys, model, alpha, seed):
+            out += [{"ids": ids, "lossless": lattices.decode(ids) == text} for text, ids in zip(run, got, strict=True)]
+        return pa.array(out, arrow)
+
+    made = ("n_pieces", "lossless", "piece_ids")
+    kept = [c for c in docs.columns if c != "text" and c not in made]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), coded(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("c"))
+    return rows.select("row.*", F.size("c.ids").cast("long").alias("n_pieces"), F.col("c.lossless").alias("lossless"), F.col("c.ids").alias("piece_ids"))
