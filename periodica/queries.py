@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from periodica.plans import rollups  # noqa: F401
+from periodica.plans import ratings, rollups, windows  # noqa: F401
 from periodica.plans.base import QUERIES, SQL  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["op_A2_entity_match_rollup"](spark, sf_dir)
+    return QUERIES["op_M1_flagship_percentiles"](spark, sf_dir)
