@@ -264,8 +264,8 @@ def edge_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "op_M19_parity_compare",
-    f"""WITH {LINES}, a AS (SELECT epoch, period, entity, CAST(sum(cents) AS BIGINT) AS v FROM lines GROUP BY ALL), b AS (SELECT epoch, period, entity, CAST(sum(cents) + CASE WHEN entity = 3 THEN 5 ELSE 0 END AS BIGINT) AS v FROM lines WHERE NOT (entity = 7 AND period = 2) GROUP BY ALL)
-    SELECT epoch, period, count(*) AS n, count(*) FILTER (WHERE a.v IS NULL OR b.v IS NULL) AS unmatched, max(abs(a.v - b.v)) AS worst, count(*) FILTER (WHERE a.v <> b.v) AS differing FROM a FULL JOIN b USING (epoch, period, entity) GROUP BY ALL""",
+    f"""WITH {LINES}, a AS (SELECT epoch, period, entity, CAST(sum(cents) AS BIGINT) AS v FROM lines GROUP BY ALL), b AS (SELECT epoch, period, entity, CAST(sum(cents) + max(CASE WHEN entity = 3 THEN 5 ELSE 0 END) AS BIGINT) AS v FROM lines WHERE NOT (entity = 7 AND period = 2) GROUP BY ALL), j AS (SELECT epoch, period, a.v AS av, b.v AS bv FROM a FULL JOIN b USING (epoch, period, entity))
+    SELECT epoch, period, count(*) AS n, count(*) FILTER (WHERE av IS NULL OR bv IS NULL) AS unmatched, max(abs(av - bv)) AS worst, count(*) FILTER (WHERE av <> bv) AS differing FROM j GROUP BY ALL""",
 )
 def parity_compare(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows against recomputed ones, per period."""

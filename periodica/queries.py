@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from periodica.plans import ratings, rollups, windows  # noqa: F401
+from periodica.plans import feeds, ratings, rollups, tables, windows  # noqa: F401
 from periodica.plans.base import QUERIES, SQL  # noqa: F401
 
 
