@@ -12,7 +12,8 @@ number. They are found from counts over a sixteenth of the rows; this choice set
 Their windows travel one by one under a 128-bit digest: digests are counted with map-side combination, so no
 task gathers them, and those counted twice or more are joined back. There are at most 1/share hot ones.
 
-Packed strings are zstd-compressed against a dictionary of sampled text, which halves what is shuffled.
+Packed strings are zstd-compressed against a dictionary of sampled text, and whole texts travel compressed to
+the last join, which halves what is shuffled.
 
 Edge cases: null and empty texts and texts shorter than a window lose nothing; rows with equal id and text are
 each other's copies, so whole windows of both go; rows with equal ids but different texts are told apart by a
@@ -91,10 +92,11 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, int,
 
 
 def _text_key(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text, 7) - (1 << 63)
+    """Tells apart texts of rows with one id: 32 bits, signed."""
+    return xxhash.xxh32_intdigest(text, 7) - (1 << 31)
 
 
-_PLACE = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32())]
+_PLACE = [("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32())]
 _PACKED = pa.schema([("mini", pa.int64()), *_PLACE, ("packed", pa.binary())])
 _SINGLE = pa.schema([("digest", pa.binary()), *_PLACE])
 _FOUND = pa.schema([*_PLACE, ("stop", pa.int32())])
@@ -108,7 +110,7 @@ def packed(docs: DataFrame, window: int, hot: frozenset[int], dictionary: bytes)
     """(mini, doc_id, text_key, start, packed): the super-k-mers of minimisers that aren't hot."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shrink = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_dict_id=False).compress
+        shrink = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_dict_id=False).compress
         hashes, out, size = WordHashes(), tuple([] for _ in _PACKED), 0
         for doc, key, words in _rows(batches):
             for mini, start, n in super_kmers(words, hashes, window):
@@ -122,7 +124,7 @@ def packed(docs: DataFrame, window: int, hot: frozenset[int], dictionary: bytes)
                 out, size = tuple([] for _ in _PACKED), 0
         yield _flush(out, _PACKED)
 
-    return docs.mapInArrow(pack, "mini long, doc_id long, text_key long, start int, packed binary")
+    return docs.mapInArrow(pack, "mini long, doc_id long, text_key int, start int, packed binary")
 
 
 def hot_windows(docs: DataFrame, window: int, hot: frozenset[int]) -> DataFrame:
@@ -142,7 +144,7 @@ def hot_windows(docs: DataFrame, window: int, hot: frozenset[int]) -> DataFrame:
                 out = tuple([] for _ in _SINGLE)
         yield _flush(out, _SINGLE)
 
-    return docs.mapInArrow(single, "digest binary, doc_id long, text_key long, start int")
+    return docs.mapInArrow(single, "digest binary, doc_id long, text_key int, start int")
 
 
 def repeated_windows(rows: list[list[bytes]], window: int) -> list[np.ndarray]:
@@ -224,7 +226,7 @@ def count_buckets(kmers: DataFrame, window: int, dictionary: bytes) -> DataFrame
         if run:
             yield counted()
 
-    return kmers.repartition("mini").sortWithinPartitions("mini").mapInArrow(count, "doc_id long, text_key long, start int, stop int")
+    return kmers.repartition("mini").sortWithinPartitions("mini").mapInArrow(count, "doc_id long, text_key int, start int, stop int")
 
 
 def hot_minimisers(docs: DataFrame, window: int) -> frozenset[int]:
@@ -270,15 +272,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = find_repeats(docs, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     arrow = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
-    @F.arrow_udf("long")
-    def key(texts: pa.Array) -> pa.Array:
-        return pa.array([_text_key(t) for t in as_bytes(texts)], pa.int64())
+    @F.arrow_udf("struct<text_key:int,packed:binary>")
+    def carried(texts: pa.Array) -> pa.Array:
+        shrink, rows = zstandard.ZstdCompressor(level=3).compress, as_bytes(texts)
+        return pa.StructArray.from_arrays([pa.array([_text_key(t) for t in rows], pa.int32()), pa.array([shrink(t) for t in rows], pa.binary())], ["text_key", "packed"])
 
     @F.arrow_udf(KEPT)
     def keep(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        out = []
-        for text, cut in zip(as_bytes(texts), removed.to_pylist(), strict=True):
-            words = text.split()
+        grow, out = zstandard.ZstdDecompressor().decompress, []
+        for text, cut in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
+            words = grow(text).split()
             gone = np.zeros(len(words) + 1, np.int64)
             for s in cut or ():
                 gone[s["start"]] += 1
@@ -287,6 +290,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append({"n_words": len(words), "n_removed": len(words) - len(stay), "kept": b" ".join([words[i] for i in stay.tolist()]).decode()})
         return pa.array(out, arrow)
 
-    texts = id_text(docs).withColumn("text_key", key("text")).alias("d")
+    texts = id_text(docs).select("doc_id", carried("text").alias("c")).select("doc_id", "c.*").alias("d")
     joined = texts.join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")), "left")
-    return joined.select("d.doc_id", keep(F.col("d.text"), F.col("s.spans")).alias("k")).select("doc_id", "k.*")
+    return joined.select("d.doc_id", keep(F.col("d.packed"), F.col("s.spans")).alias("k")).select("doc_id", "k.*")
