@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,22 @@ from periodica.llm.common import as_bytes, fresh_path, id_text, slabs
 FIRST_RULE = 49_408
 BLOCK_IDS = 1 << 20
 MAX_WORDS = 600_000
-_MARKS = b".,;:!?"
+_ENDS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=\s)")
 BLOCK = "shard int, block int, shard_start long, n_ids long, doc_ids array<long>, ends array<long>, rules binary, lengths binary, symbols binary"
 
 
+class Numbered(dict):
+    """Words by number; a word asked for the first time gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, word by word: the vocabulary's pieces never reach over white space, so a word's ids are remembered."""
 
@@ -55,7 +69,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbered()
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
@@ -63,23 +77,19 @@ class Encoder:
         """All ids of the texts, each closed by end_id; where each text ends."""
         if len(self.known) > MAX_WORDS:
             self.forget()
-        # The tokenizer lower-cases in any case, but for the strings of its special tokens.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        if new:
-            # Marks behind a letter are a piece of their own, so words that differ by them share one call.
-            stems = {w: stem if (stem := w.rstrip(_MARKS)) and stem.decode()[-1].isalpha() else w for w in new}
-            parts = list({p for w, stem in stems.items() for p in (stem, w[len(stem) :])})
-            coded = dict(zip(parts, (e.ids for e in self.library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)), strict=True))
-            got = [coded[stem] + coded[w[len(stem) :]] for w, stem in stems.items()]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.array([i for ids in got for i in ids], np.int32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(ids) for ids in got])])
-        at = np.array([known[w] for ws in words for w in ws], np.int64)
+        # The tokenizer lower-cases in any case, but for the strings of its special tokens; marks behind a letter are a piece of their own.
+        words = [_ENDS.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
+        counts = np.array([len(ws) for ws in words])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if new := self.known.new:
+            got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            new.clear()
         sizes = self.starts[at + 1] - self.starts[at]
         out_at = np.concatenate([[0], np.cumsum(sizes)])
-        n_words = np.cumsum([len(ws) for ws in words])
+        n_words = np.cumsum(counts)
         ends = out_at[n_words] + np.arange(1, len(texts) + 1)
         ids = np.full(int(ends[-1]), end_id, np.int32)
         place = np.arange(out_at[-1]) + np.repeat(np.arange(len(texts)), np.diff(out_at[np.concatenate([[0], n_words])]))
