@@ -58,13 +58,32 @@ class Lattices:
         self.longest = max(map(len, self.weight))
         self.joined = {a + b for piece in self.weight for a, b in zip(piece, piece[1:], strict=False)}
         self.lowest = min(w for _, w in self.weight.values())
+        if self.lowest**self.longest < 1e-190:
+            raise ValueError("alpha is too large: path weights would be lost before they can be lifted")
+        self._compile_trie()
         self.forget()
 
+    def _compile_trie(self) -> None:
+        """Transitions of the vocabulary's trie as sorted numbers, (node, character) to node, and what ends at each node."""
+        moves: dict[int, int] = {}
+        ends: dict[int, tuple[int, float]] = {}
+        for piece, got in self.weight.items():
+            node = 0
+            for c in piece:
+                node = moves.setdefault(node << 21 | ord(c), len(moves) + 1)
+            ends[node] = got
+        self.moves = np.array(sorted(moves), np.int64)
+        self.to = np.array([moves[k] for k in self.moves.tolist()], np.int64)
+        self.ends_piece = np.full(len(moves) + 1, -1, np.int64)
+        self.ends_weight = np.zeros(len(moves) + 1)
+        for node, (i, w) in ends.items():
+            self.ends_piece[node], self.ends_weight[node] = i, w
+
     def forget(self) -> None:
         self.chunks: dict[str, tuple[int, ...]] = {}  # a chunk's units, by their end nodes
         self.units: dict[str, int] = {}
-        self.n_edges = 0
-        self.new: tuple[list, list, list, list] = ([], [], [], [])
+        self.pending: list[str] = []  # units whose nodes are reserved and not yet filtered
+        self.n_nodes = 0
         self.first = np.zeros(0, np.int64)  # a node's first edge
         self.upto = np.zeros(0)  # cumulative probability of an edge among those of its node
         self.source = np.zeros(0, np.int64)  # -1 for a unit's begin
@@ -79,41 +98,15 @@ class Lattices:
             if i == len(chunk) or chunk[i - 1 : i + 1] not in joined:
                 unit = chunk[at:i]
                 end = self.units.get(unit)
-                out.append(self.add(unit) if end is None else end)
+                if end is None:
+                    self.n_nodes += len(unit)
+                    end = self.units[unit] = self.n_nodes - 1
+                    self.pending.append(unit)
+                out.append(end)
                 at = i
         self.chunks[chunk] = tuple(out)
         return self.chunks[chunk]
 
-    def add(self, unit: str) -> int:
-        """Forward filtering; returns the end node."""
-        n, longest, weight = len(unit), self.longest, self.weight
-        total = [1.0]  # sums of path weights, lifted together before they underflow
-        first, upto, source, emits = self.new
-        base = len(self.first) + len(first) - 1  # node of place j is base + j
-        for j in range(1, n + 1):
-            into, s = [], 0.0
-            for i in range(j - longest if j > longest else 0, j):
-                got = weight.get(unit[i:j])
-                if got is not None:
-                    s += total[i] * got[1]
-                    into.append((base + i if i else -1, got[0], s))
-            if unit[j - 1] not in weight:
-                s += total[j - 1] * self.lowest
-                into.append((base + j - 1 if j > 1 else -1, self._run(unit[j - 1]), s))
-            first.append(self.n_edges)
-            self.n_edges += len(into)
-            for start, piece, part in into:
-                upto.append(part / s)
-                source.append(start)
-                emits.append(piece)
-            upto[-1] = 1.0
-            total.append(s)
-            if s < 1e-200:
-                for i in range(max(0, j - longest), j + 1):
-                    total[i] *= 1e150
-        self.units[unit] = end = base + n
-        return end
-
     def _run(self, char: str) -> int:
         if char not in self.run_of:
             self.run_of[char] = len(self.bytes_of) + len(self.runs)
@@ -121,17 +114,67 @@ class Lattices:
         return self.run_of[char]
 
     def settle(self) -> None:
-        first, upto, source, emits = self.new
-        if first:
-            self.first = np.concatenate([self.first, np.array(first, np.int64)])
-            self.upto = np.concatenate([self.upto, upto])
-            self.source = np.concatenate([self.source, np.array(source, np.int64)])
-            self.emits = np.concatenate([self.emits, np.array(emits, np.int64)])
-            self.new = ([], [], [], [])
+        """Forward filtering of the pending units side by side; the node of a place is that of its last character."""
+        if not self.pending:
+            return
+        chars = np.frombuffer("".join(self.pending).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(u) for u in self.pending])
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        stop = begin + np.repeat(sizes, sizes)
+        self.pending = []
+
+        # Edges: from every place the trie is walked while it can be.
+        live, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        edges: list[tuple[np.ndarray, ...]] = []
+        alone = np.zeros(len(chars), bool)
+        for length in range(1, self.longest + 1):
+            inside = live + length <= stop[live]
+            live, node = live[inside], node[inside]
+            key = node << 21 | chars[live + length - 1]
+            move = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+            met = self.moves[move] == key
+            live, node = live[met], self.to[move[met]]
+            final = self.ends_piece[node] >= 0
+            edges.append((live[final], live[final] + length, self.ends_piece[node[final]], self.ends_weight[node[final]]))
+            if length == 1:
+                alone[live[final]] = True
+        lone = np.flatnonzero(~alone)
+        edges.append((lone, lone + 1, np.array([self._run(chr(c)) for c in chars[lone].tolist()], np.int64), np.full(len(lone), self.lowest)))
+        start, end, piece, weight = (np.concatenate(x) for x in zip(*edges, strict=True))
+        order = np.lexsort((start, end))
+        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
+        into = np.bincount(end - 1, minlength=len(chars))
+        first = np.cumsum(into) - into
+
+        # Sums of path weights, place by place of all units; only conditional probabilities are kept.
+        total, upto = np.zeros(len(chars)), np.zeros(len(start))
+        place = np.arange(len(chars)) - begin
+        by_place = np.argsort(place, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(place))])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            here = by_place[a:b]
+            for k in range(int(into[here].max())):
+                at = here[into[here] > k]
+                e = first[at] + k
+                came = np.where(start[e] == begin[at], 1.0, total[start[e] - 1])
+                total[at] += came * weight[e]
+                upto[e] = total[at]
+            of_here = np.repeat(first[here], into[here]) + np.arange(int(into[here].sum())) - np.repeat(np.cumsum(into[here]) - into[here], into[here])
+            upto[of_here] /= np.repeat(total[here], into[here])
+            tiny = here[total[here] < 1e-200]
+            for k in range(self.longest if len(tiny) else 0):  # sums that edges can still start from are lifted together
+                back = tiny[place[tiny] >= k] - k
+                total[back] *= 1e150
+        upto[first + into - 1] = 1.0
+        nodes = len(self.first)
+        self.first = np.concatenate([self.first, len(self.upto) + first])
+        self.upto = np.concatenate([self.upto, upto])
+        self.source = np.concatenate([self.source, np.where(start == begin[end - 1], -1, nodes + start - 1)])
+        self.emits = np.concatenate([self.emits, piece])
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text."""
-        if self.n_edges > MAX_EDGES:
+        if len(self.upto) > MAX_EDGES:
             self.forget()
         ends: list[int] = []
         counts, before = [], 0

@@ -71,8 +71,9 @@ def train(x: np.ndarray, y: np.ndarray, pairs_each: int = 24, steps: int = 400,
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Ranker(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0)
-    mean, scale = x.mean(0), x.std(0)
-    z = (x - mean) / (scale := np.where(scale > 1e-9, scale, 1.0))
+    mean, spread = x.mean(0), x.std(0)
+    scale = np.where(spread > 1e-9, spread, 1.0)
+    z = (x - mean) / scale
     dice = np.random.default_rng(7)
     worse = np.repeat(bad, pairs_each)
     better = dice.choice(good, len(worse))
@@ -99,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ranker:
         return pa.array([features_of(t).tobytes() for t in as_bytes(texts)], pa.binary())
 
     rows = sorted((r.doc_id, r.y, bytes(r.x)) for r in labelled_sample(docs, labels, "quality", max_rows).select("doc_id", "y", features("text").alias("x")).collect())
-    x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64).reshape(len(rows), -1)
-    return train(x if len(rows) else np.zeros((0, len(features_of(b"")))), np.array([r[1] for r in rows], int))
+    x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64).reshape(len(rows), len(features_of(b"")))
+    return train(x, np.array([r[1] for r in rows], int))
 
 
 def score(text: Column, model: Ranker) -> Column:
