@@ -1,0 +1,354 @@
+"""The training-data operators against brute force, the libraries, and odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from periodica.llm import piece_sampling, quality_bt, quality_rules, queries, repair_ids, secret_scan, simhash_bytes, superkmer_dedup, token_transducer, toxicity_ftrl, wu_manber
+
+DATA = "/root/testdata/sf0.001"
+SPACE = r"[^\x20\x09-\x0D]+"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+
+
+def odd(spark):
+    """Null and empty texts, a null id, repeated rows, one long word, one long text, marks, and names that could clash."""
+    long = " ".join(f"w{i % 700}x{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (None, "no id here"), (4, "same row " * 30), (4, "same row " * 30), (5, "x" * 50_000), (6, long), (7, "é▁ 😀 <|endoftext|> password = 'abcdefg' ok"), (8, "one")]
+    df = frame(spark, rows)
+    for name in ("hit", "row", "score", "spans", "words", "fp", "mini", "start", "c", "y", "kept"):
+        df = df.withColumn(name, F.lit("own"))
+    return df
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_signatures_of_every_query(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    for name, query in queries.QUERIES.items():
+        assert query(spark, DATA).count() == documents, name
+
+
+def test_token_counts_equal_the_library(spark, documents, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = by_id(queries.op2_token_counts(spark, DATA))
+    for i, text in texts.items():
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len(text.encode()), n > 1024)
+
+
+def test_token_counts_of_odd_strings():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, dice = Tokenizer.from_file(path), random.Random(5)
+    letters = [*"abstmdrvel'   \n\t12.,!é你😀 ", "'re", "'ll", "<|endoftext|>", "don't", " the", "́", "\x1c"]
+    texts = ["".join(dice.choice(letters) for _ in range(dice.randint(0, 50))) for _ in range(1500)] + ["a" * 3000, " " * 500, "'", "'r", "\n\n "]
+    assert token_transducer.count_texts(texts, path) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counter_forgets_without_changing_counts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"word{i} and{i * 7}ing" for i in range(400)]
+    whole = token_transducer.count_texts(texts, path)
+    token_transducer._counter.cache_clear()
+    monkeypatch.setattr(token_transducer, "MAX_STATES", 50)
+    assert token_transducer.count_texts(texts, path) == whole
+    token_transducer._counter.cache_clear()
+
+
+BASE = {"assign": re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), "access": re.compile(rb"AKIA[A-Z0-9]+"), "hex": re.compile(rb"[0-9a-f]+")}
+
+
+def base_spans(data):
+    least = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    return sorted(((m.start(), m.end(), k) for k, (kind, r) in enumerate(BASE.items()) for m in r.finditer(data) if least[kind](m)), key=lambda s: (s[0], s[2]))
+
+
+def test_secret_spans_equal_regexes(texts):
+    compiled, dice = secret_scan.compile_rules(), random.Random(2)
+    parts = ["password", "token", "TOKEN", "Secret", "api_key", "apikey", "=", ":", " ", "'", '"', "abc", "0123456789abcdef", "AKIA", "ABCDEFGH", "x", "é", "==", "\n"]
+    tests = [t.encode() for t in texts.values()] + ["".join(dice.choice(parts) for _ in range(dice.randint(1, 22))).encode() for _ in range(6000)]
+    for data in tests:
+        assert [s for s in secret_scan.spans_of(data, compiled) if s[2] < 3] == base_spans(data)
+
+
+def test_secrets_are_counted_in_code_points_and_covered(spark):
+    df = frame(spark, [(1, "é token=abcdef9 é"), (2, "token=abc"), (3, None), (4, "-----BEGIN RSA PRIVATE KEY----- x")])
+    spans = {i: [(s.kind, s.start, s.end) for s in r.spans] for i, r in by_id(secret_scan.find_secrets(df)).items()}
+    assert spans == {1: [("assign", 2, 15)], 2: [], 3: [], 4: [("pem", 0, 31)]}
+    covered = by_id(secret_scan.redact(df))
+    assert covered[1].text == "é [SECRET] é" and covered[1].n_chars == 12 and covered[3].text is None and covered[2].text == "token=abc"
+
+
+def test_quality_rules_base(spark, texts):
+    got = by_id(queries.op3_quality_rules(spark, DATA))
+    for i, t in texts.items():
+        w = re.findall(SPACE, t)
+        windows = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        again = {x for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for x in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if re.search(SPACE, x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+        assert r.base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w)) and (not r.base_failed or not r.kept)
+
+
+def test_quality_rules_prefer_the_trusted(spark):
+    dice = random.Random(6)
+    good = [(i, " ".join(f"word{dice.randint(0, 40)}" for _ in range(60))) for i in range(0, 60)]
+    junk = [(i, " ".join(f"z{i}q{k}###" for k in range(30))) for i in range(60, 90)]
+    got = by_id(quality_rules.score_rules(frame(spark, good + junk), labels(spark, [(i, int(i < 60), 0) for i in range(90)])))
+    assert min(got[i].score for i in range(60)) > max(got[i].score for i in range(60, 90))
+    assert not any(got[i].kept for i in range(60, 90))
+
+
+def test_id_files_round_trip(spark, texts):
+    from tokenizers import Tokenizer
+
+    library, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    got = by_id(queries.op5_repair_token_ids(spark, DATA))
+    for i in sorted(texts):
+        ids = np.array(library.encode(texts[i], add_special_tokens=False).ids + [1], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_grammar_expands_to_what_it_compressed():
+    dice = np.random.default_rng(0)
+    ids = dice.integers(0, 30, 5000).astype(np.int32)
+    ids[1000:1400] = 7
+    ends = np.array([1, 2, 700, 1200, 1201, 5000])
+    symbols, cuts, rules = repair_ids.compress(ids, ends, least=8)
+    grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules))
+    assert len(symbols) < len(ids) and (grammar.expand(symbols) == ids).all()
+    begin = 0
+    for cut, a, b in zip(cuts, [0, *ends], ends, strict=False):  # each document alone
+        assert (grammar.expand(symbols[begin:cut]) == ids[a:b]).all()
+        begin = cut
+
+
+def removed_by_hand(rows, window):
+    words = [t.encode().split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = {x for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for x in range(k, k + window)}
+        out.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+def test_repeats_equal_brute_force(spark, texts):
+    rows = list(texts.items())
+    got = sorted((tuple(r) for r in superkmer_dedup.remove_repeats(frame(spark, rows)).collect()), key=repr)
+    assert got == removed_by_hand(rows, 35)
+
+
+def test_repeats_inside_one_text_and_by_the_hot_route(spark, monkeypatch):
+    dice = random.Random(4)
+    passage = [f"p{k}" for k in range(50)]
+    rows = [(i, " ".join([f"a{dice.randint(0, 10**6)}" for _ in range(dice.randint(0, 60))] + passage + [f"b{dice.randint(0, 10**6)}" for _ in range(20)])) for i in range(60)]
+    rows += [(100, " ".join(["tick", "tock"] * 60)), (101, " ".join(f"u{k}" for k in range(90))), (101, "another text of the same id")]
+    hot = frozenset(m for m, _, _ in superkmer_dedup.super_kmers([w.encode() for w in passage], superkmer_dedup.WordHashes(), 35))
+    assert hot
+    for some in (frozenset(), hot):
+        monkeypatch.setattr(superkmer_dedup, "hot_minimisers", lambda docs, window, some=some: some)
+        got = sorted((tuple(r) for r in superkmer_dedup.remove_repeats(frame(spark, rows)).collect()), key=repr)
+        assert got == removed_by_hand(rows, 35)
+
+
+def test_hash_collisions_are_settled_by_words(monkeypatch):
+    rows = [[b"a", b"b", b"c"], [b"a", b"b", b"d"], [b"x", b"b", b"c"], [b"a", b"b", b"c"]]
+    monkeypatch.setattr(superkmer_dedup, "_ODD", np.uint64(0))  # every window gets one hash
+    assert [list(x) for x in superkmer_dedup.repeated_windows(rows, 3)] == [[0], [], [], [0]]
+
+
+def test_pieces_are_lossless_and_reproducible(spark, documents):
+    a, b = by_id(queries.op7_sampled_pieces(spark, DATA)), by_id(queries.op7_sampled_pieces(spark, DATA))
+    assert a == b and all(r.lossless for r in a.values())
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    other = by_id(piece_sampling.summarise(documents, model, seed=1))
+    assert any(other[i].ids_crc32 != a[i].ids_crc32 for i in a)
+    coded = documents.select("text", piece_sampling.encode(F.col("text"), F.col("doc_id").cast("string"), model).alias("ids"))
+    assert coded.where(~piece_sampling.decode(F.col("ids"), model).eqNullSafe(F.col("text"))).isEmpty()
+
+
+def test_samples_follow_the_lattice():
+    lattice = piece_sampling.Lattices(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+
+    def paths(rest):
+        if not rest:
+            yield (), 1.0
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in lattice.weight:
+                i, w = lattice.weight[rest[:n]]
+                for tail, p in paths(rest[n:]):
+                    yield (i, *tail), w * p
+
+    exact = dict(paths("▁then"))
+    n, total = 20_000, sum(exact.values())
+    seen = Counter(tuple(x.tolist()) for x in lattice.sample(["then"] * n, piece_sampling._seeds(list(range(n)), 3)))
+    assert set(seen) <= set(exact)
+    assert all(abs(seen[p] / n - w / total) < 0.015 for p, w in exact.items())
+
+
+def plain_print(text):
+    w = text.encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def test_simhash_components_equal_brute_force(spark, texts):
+    prints = {i: plain_print(t) for i, t in texts.items()}
+    root = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= 2 and root[b] < root[a]:
+                    root[a], changed = root[b], True
+    got = by_id(queries.op8_simhash_near_dups(spark, DATA))
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{prints[i]:016x}", root[i]) for i in prints}
+
+
+def test_simhash_links_chains(spark):
+    prints = [0, 0b11, 0b1111, 0b111111 | 1 << 63, 1 << 40, 1 << 40 | 0b111]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    edges = {tuple(sorted((a, b))) for a, b in simhash_bytes.links(df).collect()}
+    assert edges == {tuple(sorted((a, b))) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    got = {r.fp: r.label for r in simhash_bytes.components(simhash_bytes.links(df), spark.createDataFrame(list(zip(signed, range(10, 16), strict=True)), "fp long, label long")).collect()}
+    assert got[0] == got[3] == got[15] == 10
+
+
+def test_benchmark_hits_equal_brute_force(spark, texts):
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    patterns = {}
+    for i, t in items.items():
+        w = word.findall(t.encode().lower())
+        m = min(10, len(w))
+        for k in range(len(w) - m + 1 if m else 0):
+            patterns.setdefault(tuple(w[k : k + m]), set()).add(str(i))
+    got = by_id(queries.op9_benchmark_overlap(spark, DATA))
+    for i, t in texts.items():
+        w, hit, found = word.findall(t.encode().lower()), set(), set()
+        for m in {len(p) for p in patterns}:
+            for k in range(len(w) - m + 1):
+                if tuple(w[k : k + m]) in patterns:
+                    hit |= set(range(k, k + m))
+                    found |= patterns[tuple(w[k : k + m])]
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_benchmark_blocks_short_items_and_nulls(spark):
+    bench = spark.createDataFrame([("b", "alpha beta"), ("a", None), ("c", "one two three four five six seven eight nine ten eleven"), (None, "gamma"), ("d", " . ")], "item_id string, text string")
+    docs = frame(spark, [(1, "Alpha, BETA gamma"), (2, "x one two three four five six seven eight nine ten y"), (3, None), (4, "alpha x beta")])
+    for size in (1, 1 << 20):  # one item a block, then all in one
+        got = by_id(wu_manber.find_overlaps(docs, bench, block_bytes=size))
+        assert (got[1].starts, got[1].ends, got[1]["items"]) == ([0], [3], ["", "b"])
+        assert (got[2].starts, got[2].ends, got[2]["items"]) == ([1], [11], ["c"])
+        assert got[3]["items"] == [] and got[3].n_words == 0 and got[4]["items"] == []
+    assert sorted(r.doc_id for r in wu_manber.drop_contaminated(docs, bench).collect()) == [3, 4]
+    empty = spark.createDataFrame([], bench.schema)
+    assert sorted(r.doc_id for r in wu_manber.drop_contaminated(docs, empty).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("query, label, least", [(queries.op1_quality_bradley_terry, "quality", 0.97), (queries.op10_toxicity_ftrl, "toxic", 0.97)])
+def test_held_out_accuracy(spark, query, label, least):
+    sf = "/root/testdata/sf0.1"
+    scored = query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    assert scored.select(F.avg((F.col("predicted") == F.col(label)).cast("int")).alias("a")).first().a >= least
+
+
+def test_held_out_rows_teach_nothing(spark, documents):
+    ids = [r.doc_id for r in documents.select("doc_id").collect()]
+    held = [i for i in ids if zlib.crc32(str(i).encode()) % 3 == 1]
+    rest = [(i, i % 2, i % 3 == 0) for i in ids if i not in set(held)]
+    a = labels(spark, [(i, q, int(t)) for i, q, t in rest])
+    b = a.union(labels(spark, [(i, 0, 1) for i in held]))
+    for operator in (quality_bt, toxicity_ftrl):
+        assert by_id(operator.score_documents(documents, a)) == by_id(operator.score_documents(documents, b))
+
+
+ALL = {
+    "quality": lambda s, d: quality_bt.score_documents(d, labels(s, [(4, 1, 0), (7, 0, 1), (8, 1, 0), (5, None, None)])),
+    "tokens": lambda s, d: token_transducer.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "rules": lambda s, d: quality_rules.score_rules(d, labels(s)),
+    "secrets": lambda s, d: secret_scan.find_secrets(d),
+    "ids": lambda s, d: repair_ids.round_trip(d, public_tokenizers.path("word_bpe_49k.json")),
+    "repeats": lambda s, d: superkmer_dedup.remove_repeats(d),
+    "pieces": lambda s, d: piece_sampling.summarise(d, public_tokenizers.path("piece_bpe_32k.model")),
+    "simhash": lambda s, d: simhash_bytes.near_duplicates(d),
+    "overlap": lambda s, d: wu_manber.find_overlaps(d, s.createDataFrame([(1, "no id here")], "item_id long, text string")),
+    "toxicity": lambda s, d: toxicity_ftrl.score_documents(d, labels(s)),
+}
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_odd_and_empty_tables(spark, name):
+    df = odd(spark)
+    rows = ALL[name](spark, df).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([1, 2, 3, None, 4, 4, 5, 6, 7, 8])
+    assert ALL[name](spark, df.limit(0)).collect() == []
+
+
+def test_filters_keep_columns_of_odd_tables(spark):
+    df = odd(spark)
+    kept = simhash_bytes.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 8]
+    assert secret_scan.redact(df).columns == df.columns
+    assert quality_bt.keep_accepted(df, labels(spark)).count() == df.count()
+    assert piece_sampling.encode_documents(df, public_tokenizers.path("piece_bpe_32k.model")).where("NOT lossless").isEmpty()
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("a", "o", "ira", "une", "eld")]
+    dice = random.Random(1)
+    sentence = lambda n: " ".join(dice.choice(words) for _ in range(n)).capitalize() + "."
+    item = " ".join(f"bench{k}" for k in range(12))
+    good = [(i, sentence(60)) for i in range(40)]
+    junk = [(i, " ".join(f"{w}###" for w in sentence(60).split())) for i in range(40, 70)]
+    rows = good + junk + [(70, good[3][1]), (71, sentence(40) + " " + item), (72, sentence(60) + " token=abcdef123")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [(i, int(i < 40), 0) for i in range(70)]).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = by_id(corpus_pipeline.run(spark, str(tmp_path)))
+    assert set(out) == {*range(40), 72}
+    lattice = piece_sampling.Lattices(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    assert all(lattice.decode(np.array(out[i].piece_ids)) == t for i, t in good)
+    assert lattice.decode(np.array(out[72].piece_ids)).endswith(" [SECRET]")
