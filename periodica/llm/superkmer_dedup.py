@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import as_bytes, id_text
+from periodica.llm.common import as_bytes, cut, id_text
 
 WINDOW = 35
 MINI = 4
@@ -258,7 +258,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dictionary, hot = shared_dictionary(texts), hot_minimisers(texts, window)
     found = count_buckets(packed(texts, window, hot, dictionary), window, dictionary)
     if hot:
-        single = hot_windows(texts, window, hot)
+        single = cut(hot_windows(texts, window, hot))  # read twice below
         twice = single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
         found = found.unionByName(single.join(twice, "digest").select("doc_id", "text_key", "start", (F.col("start") + window).alias("stop")))
     return found
