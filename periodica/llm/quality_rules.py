@@ -14,12 +14,10 @@ both multinomials are flat and the method rejects nothing; repeated rows keep a
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import held_out, id_text
+from periodica.llm.common import cut, held_out, id_text
 
 BUCKETS = 1 << 15
 MAX_TRUSTED = 20_000
@@ -78,21 +76,26 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> list[float]:
-    """log p_trusted - log p_raw of each bucket."""
+def ratio_weights(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> str:
+    """log p_trusted - log p_raw of each bucket in order, as one line of numbers."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
     marked = id_text(docs).join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
     grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), _words(F.col("text")).alias("words")).select("good", F.explode(_ngrams(F.col("words"))).alias("bucket"))
-    counts = {r.bucket: (r.raw, r.good) for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()}
-    raw, good = (sum(c[k] for c in counts.values()) + SMOOTH * BUCKETS for k in (0, 1))
-    if good == SMOOTH * BUCKETS:
-        return [0.0] * BUCKETS
-    return [math.log((counts.get(b, (0, 0))[1] + SMOOTH) / good) - math.log((counts.get(b, (0, 0))[0] + SMOOTH) / raw) for b in range(BUCKETS)]
+    counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")))
+    whole = counts.agg((F.sum("raw") + SMOOTH * BUCKETS).alias("raw"), F.sum("good").alias("good")).first()
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    if not whole.good:
+        weight = F.lit(0.0)
+    else:
+        share = lambda c, total: F.log((F.coalesce(c, F.lit(0)) + SMOOTH) / total)
+        weight = share("good", whole.good + SMOOTH * BUCKETS) - share("raw", whole.raw)
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.format_number(weight, 5).alias("w")))), lambda x: x.w), ";")
+    return every.agg(line.alias("line")).first().line
 
 
 def score_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, score, kept."""
-    weights = F.split(F.lit(",".join(f"{w:.5f}" for w in ratio_weights(docs, labels, max_trusted))), ",").cast("array<double>")
+    weights = F.split(F.lit(ratio_weights(docs, labels, max_trusted)), ";").cast("array<double>")
     scored = base_counts(id_text(docs)).withColumn("grams", _ngrams(F.col("words")))
     total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(weights, b))
     scored = scored.withColumn("score", F.round(F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0), 6))
