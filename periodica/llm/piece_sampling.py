@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from periodica.llm.common import as_strings, slabs
 
 ALPHA = 1.0
-MAX_EDGES = 6_000_000
+#: Edges remembered; about 60 bytes each with their units.
+MAX_EDGES = 3_000_000
 _CHUNK = re.compile("(?:▁+[^▁]*|[^▁]+)")
 _OWN_MARK = "﷐"  # stands for a U+2581 of the text while units are cut; a text that holds it keeps it by the same byte edge
 
@@ -84,10 +85,10 @@ class Lattices:
         self.units: dict[str, int] = {}
         self.pending: list[str] = []  # units whose nodes are reserved and not yet filtered
         self.n_nodes = 0
-        self.first = np.zeros(0, np.int64)  # a node's first edge
+        self.first = np.zeros(0, np.int32)  # a node's first edge
         self.upto = np.zeros(0)  # cumulative probability of an edge among those of its node
-        self.source = np.zeros(0, np.int64)  # -1 for a unit's begin
-        self.emits = np.zeros(0, np.int64)
+        self.source = np.zeros(0, np.int32)  # -1 for a unit's begin
+        self.emits = np.zeros(0, np.int32)
         self.runs: list[tuple[int, ...]] = []  # byte pieces of an edge that emits several, numbered from vocab_size on
         self.run_of: dict[str, int] = {}
 
@@ -167,10 +168,10 @@ class Lattices:
                 total[back] *= 1e150
         upto[first + into - 1] = 1.0
         nodes = len(self.first)
-        self.first = np.concatenate([self.first, len(self.upto) + first])
+        self.first = np.concatenate([self.first, (len(self.upto) + first).astype(np.int32)])
         self.upto = np.concatenate([self.upto, upto])
-        self.source = np.concatenate([self.source, np.where(start == begin[end - 1], -1, nodes + start - 1)])
-        self.emits = np.concatenate([self.emits, piece])
+        self.source = np.concatenate([self.source, np.where(start == begin[end - 1], -1, nodes + start - 1).astype(np.int32)])
+        self.emits = np.concatenate([self.emits, piece.astype(np.int32)])
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text."""
