@@ -41,23 +41,11 @@ from periodica.llm.common import as_bytes, fresh_path, id_text, slabs
 
 FIRST_RULE = 49_408
 BLOCK_IDS = 1 << 20
-MAX_WORDS = 600_000
+MAX_WORDS = 1_000_000
 _ENDS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=\s)")
 BLOCK = "shard int, block int, shard_start long, n_ids long, doc_ids array<long>, ends array<long>, rules binary, lengths binary, symbols binary"
 
 
-class Numbered(dict):
-    """Words by number; a word asked for the first time gets the next one and is noted."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class Encoder:
     """Ids of texts by the tokenizers library, word by word: the vocabulary's pieces never reach over white space, so a word's ids are remembered."""
 
@@ -69,7 +57,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = Numbered()
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
@@ -80,13 +68,13 @@ class Encoder:
         # The tokenizer lower-cases in any case, but for the strings of its special tokens; marks behind a letter are a piece of their own.
         words = [_ENDS.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
         counts = np.array([len(ws) for ws in words])
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        if new := self.known.new:
-            got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))])
+        flat = list(chain.from_iterable(words))
+        if new := list(set(flat) - self.known.keys()):
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            ids, sizes = self._ids_of(new)
+            self.flat = np.concatenate([self.flat, ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            new.clear()
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         sizes = self.starts[at + 1] - self.starts[at]
         out_at = np.concatenate([[0], np.cumsum(sizes)])
         n_words = np.cumsum(counts)
@@ -96,6 +84,19 @@ class Encoder:
         ids[place] = self.flat[np.arange(out_at[-1]) + np.repeat(self.starts[at] - out_at[:-1], sizes)]
         return ids, ends
 
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words and how many each has.
+
+        A word of a-z alone is one piece that no normaliser changes: it goes straight to the library's model.
+        """
+        tokenize = self.library.model.tokenize
+        got: list = [[t.id for t in tokenize(w.decode())] if w.isalpha() and w.islower() else None for w in words]
+        rest = [i for i, ids in enumerate(got) if ids is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            got[i] = e.ids
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
+
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
