@@ -7,10 +7,12 @@ equal minimisers. A bucket is read in minimiser order in runs of bounded size; s
 by a rolling hash brings copies together, and their words are compared. Windows that occur twice or more are
 returned as word ranges of their documents; a last join by document removes them.
 
-Hot minimisers (a passage that a large part of all documents share) would make one bucket as large as their
-number. They are found from counts over a sixteenth of the rows; this choice sets the route, never the result.
-Their windows travel one by one under a 128-bit digest: digests are counted with map-side combination, so no
-task gathers them, and those counted twice or more are joined back. There are at most 1/share hot ones.
+Windows of hot minimisers (passages that a large part of all documents share) travel one by one under a 128-bit
+digest: digests are counted with map-side combination, so no task gathers them, and those counted twice or more
+are joined back. Very hot minimisers are found from counts over a sixteenth of the rows and never enter a bucket;
+there are at most 1 / HOT_SHARE of them. Any other minimiser whose super-k-mers outgrow a run of the bucket is
+passed on to the digests as it is read, so a run never holds more than its bound. Both choose the route of a
+window, never the result: a minimiser's windows all go one way.
 
 Packed strings are zstd-compressed against a dictionary of sampled text, and whole texts travel compressed to
 the last join, which halves what is shuffled.
@@ -36,8 +38,9 @@ from periodica.llm.common import as_bytes, cut, id_text
 
 WINDOW = 35
 MINI = 4
-HOT_SHARE = 1 / 2048
+HOT_SHARE = 1 / 256
 HOT_LEAST = 96
+#: Bytes of packed words, unpacked, that a run of a bucket holds.
 RUN_BYTES = 4 << 20
 MAX_WORDS = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -76,13 +79,20 @@ def minimisers(hashes: np.ndarray, window: int, mini: int = MINI) -> np.ndarray:
     return runs.view(np.int64)
 
 
-def super_kmers(words: list[bytes], hashes: WordHashes, window: int, mini: int = MINI) -> Iterator[tuple[int, int, int]]:
-    """(minimiser, first window, number of windows)."""
+def super_kmers(words: list[bytes], hashes: WordHashes, window: int, mini: int = MINI) -> Iterator[tuple[int, int, int, bool]]:
+    """(minimiser, first window, number of windows, loops): it may repeat a window in itself only if it loops, a run of its words coming twice."""
     if len(words) < window:
         return
-    least = minimisers(hashes(words), window, mini)
+    h = hashes(words)
+    least = minimisers(h, window, mini)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1, [len(least)]])
-    yield from zip(least[cuts[:-1]].tolist(), cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.zeros(len(h) + 1, np.int64)
+    again[order[1:][same] + 1] = again[order[:-1][same] + 1] = 1
+    again = np.cumsum(again)  # words so far that come twice in the text
+    loops = again[cuts[1:] + window - 1] - again[cuts[:-1]] >= window
+    yield from zip(least[cuts[:-1]].tolist(), cuts[:-1].tolist(), np.diff(cuts).tolist(), loops.tolist(), strict=True)
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, int, list[bytes]]]:
@@ -97,9 +107,9 @@ def _text_key(text: bytes) -> int:
 
 
 _PLACE = [("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32())]
-_PACKED = pa.schema([("mini", pa.int64()), *_PLACE, ("packed", pa.binary())])
+_PACKED = pa.schema([("mini", pa.int64()), *_PLACE, ("loops", pa.bool_()), ("packed", pa.binary())])
 _SINGLE = pa.schema([("digest", pa.binary()), *_PLACE])
-_FOUND = pa.schema([*_PLACE, ("stop", pa.int32())])
+_FOUND = pa.schema([("digest", pa.binary()), *_PLACE, ("stop", pa.int32())])
 
 
 def _flush(columns: tuple[list, ...], schema: pa.Schema) -> pa.RecordBatch:
@@ -107,24 +117,28 @@ def _flush(columns: tuple[list, ...], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def packed(docs: DataFrame, window: int, hot: frozenset[int], dictionary: bytes) -> DataFrame:
-    """(mini, doc_id, text_key, start, packed): the super-k-mers of minimisers that aren't hot."""
+    """(mini, doc_id, text_key, start, loops, packed): the super-k-mers of minimisers that aren't hot."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_dict_id=False).compress
         hashes, out, size = WordHashes(), tuple([] for _ in _PACKED), 0
         for doc, key, words in _rows(batches):
-            for mini, start, n in super_kmers(words, hashes, window):
+            for mini, start, n, loops in super_kmers(words, hashes, window):
                 if mini not in hot:
                     data = shrink(b" ".join(words[start : start + n + window - 1]))
                     size += len(data) + 40
-                    for c, x in zip(out, (mini, doc, key, start, data), strict=True):
+                    for c, x in zip(out, (mini, doc, key, start, loops, data), strict=True):
                         c.append(x)
             if size > RUN_BYTES:
                 yield _flush(out, _PACKED)
                 out, size = tuple([] for _ in _PACKED), 0
         yield _flush(out, _PACKED)
 
-    return docs.mapInArrow(pack, "mini long, doc_id long, text_key int, start int, packed binary")
+    return docs.mapInArrow(pack, "mini long, doc_id long, text_key int, start int, loops boolean, packed binary")
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def hot_windows(docs: DataFrame, window: int, hot: frozenset[int]) -> DataFrame:
@@ -133,11 +147,10 @@ def hot_windows(docs: DataFrame, window: int, hot: frozenset[int]) -> DataFrame:
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out = WordHashes(), tuple([] for _ in _SINGLE)
         for doc, key, words in _rows(batches):
-            for mini, start, n in super_kmers(words, hashes, window):
+            for mini, start, n, _ in super_kmers(words, hashes, window):
                 if mini in hot:
                     for at in range(start, start + n):
-                        digest = hashlib.blake2b(b" ".join(words[at : at + window]), digest_size=16).digest()
-                        for c, x in zip(out, (digest, doc, key, at), strict=True):
+                        for c, x in zip(out, (_digest(words[at : at + window]), doc, key, at), strict=True):
                             c.append(x)
             if len(out[0]) > 50_000:
                 yield _flush(out, _SINGLE)
@@ -192,41 +205,58 @@ def ranges(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(g[0]), int(g[-1]) + window) for g in np.split(starts, breaks)]
 
 
-def count_buckets(kmers: DataFrame, window: int, dictionary: bytes) -> DataFrame:
-    """(doc_id, text_key, start, stop): word ranges of repeated windows."""
+def count_buckets(kmers: DataFrame, window: int, dictionary: bytes, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(digest, doc_id, text_key, start, stop): word ranges of repeated windows, without a digest; and each window, with one, of a minimiser that outgrew a run."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
         run: list[tuple] = []
-        size, last = 0, None
+        size = same = 0  # bytes in the run, and of its last minimiser
+        last, passing = None, False
 
-        def counted() -> pa.RecordBatch:
+        def counted(rows: list[tuple]) -> pa.RecordBatch:
             out = tuple([] for _ in _FOUND)
-            minis = [None, *[r[0] for r in run], None]
-            live = []
-            for i, r in enumerate(run, 1):
-                words = grow(r[4]).split(b" ")
-                # A super-k-mer alone in its bucket repeats a window only if a window's worth of its words repeat.
-                if minis[i] in (minis[i - 1], minis[i + 1]) or len(set(words)) <= len(words) - window:
-                    live.append((r, words))
+            minis = [None, *[r[0] for r in rows], None]
+            # A super-k-mer alone in its bucket that doesn't loop repeats nothing.
+            live = [(r, grow(r[5]).split(b" ")) for i, r in enumerate(rows, 1) if r[4] or minis[i] in (minis[i - 1], minis[i + 1])]
             for (r, _), starts in zip(live, repeated_windows([w for _, w in live], window) if live else [], strict=True):
                 for a, b in ranges(starts, window):
-                    for c, x in zip(out, (r[1], r[2], r[3] + a, r[3] + b), strict=True):
+                    for c, x in zip(out, (None, r[1], r[2], r[3] + a, r[3] + b), strict=True):
+                        c.append(x)
+            return _flush(out, _FOUND)
+
+        def passed(rows: list[tuple]) -> pa.RecordBatch:
+            out = tuple([] for _ in _FOUND)
+            for r in rows:
+                words = grow(r[5]).split(b" ")
+                for at in range(len(words) - window + 1):
+                    for c, x in zip(out, (_digest(words[at : at + window]), r[1], r[2], r[3] + at, r[3] + at + window), strict=True):
                         c.append(x)
             return _flush(out, _FOUND)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size > RUN_BYTES and row[0] != last:
-                    yield counted()
-                    run, size = [], 0
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if row[0] != last:
+                    if passing:
+                        yield passed(run)
+                        run, size, passing = [], 0, False
+                    elif size > run_bytes:
+                        yield counted(run)
+                        run, size = [], 0
+                    last, same = row[0], 0
+                elif same > run_bytes:
+                    own = [r for r in run if r[0] == last]
+                    if not passing and len(own) < len(run):
+                        yield counted(run[: len(run) - len(own)])
+                    yield passed(own)
+                    run, size, same, passing = [], 0, 0, True
                 run.append(row)
-                size += len(row[4]) * 3
-                last = row[0]
+                size += len(row[5]) * 3
+                same += len(row[5]) * 3
         if run:
-            yield counted()
+            yield passed(run) if passing else counted(run)
 
-    return kmers.repartition("mini").sortWithinPartitions("mini").mapInArrow(count, "doc_id long, text_key int, start int, stop int")
+    return kmers.repartition("mini").sortWithinPartitions("mini").mapInArrow(count, "digest binary, doc_id long, text_key int, start int, stop int")
 
 
 def hot_minimisers(docs: DataFrame, window: int) -> frozenset[int]:
@@ -235,7 +265,7 @@ def hot_minimisers(docs: DataFrame, window: int) -> frozenset[int]:
     def minis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"mini": [m for text in as_bytes(batch.column(1)) for m, _, _ in super_kmers(text.split(), hashes, window)]}, schema=pa.schema([("mini", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"mini": [m for text in as_bytes(batch.column(1)) for m, *_ in super_kmers(text.split(), hashes, window)]}, schema=pa.schema([("mini", pa.int64())]))
 
     counts = docs.sample(1 / 16, seed=11).mapInArrow(minis, "mini long").groupBy("mini").count()
     # No more than 1 / HOT_SHARE rows can pass the second condition, so what is collected is bounded.
@@ -256,12 +286,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, start, stop): word ranges that repeated windows cover; ranges of one document may touch or overlap."""
     texts = id_text(docs)
     dictionary, hot = shared_dictionary(texts), hot_minimisers(texts, window)
-    found = count_buckets(packed(texts, window, hot, dictionary), window, dictionary)
+    found = cut(count_buckets(packed(texts, window, hot, dictionary), window, dictionary))
+    single = found.where("digest IS NOT NULL")
     if hot:
-        single = cut(hot_windows(texts, window, hot))  # read twice below
-        twice = single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        found = found.unionByName(single.join(twice, "digest").select("doc_id", "text_key", "start", (F.col("start") + window).alias("stop")))
-    return found
+        single = single.unionByName(cut(hot_windows(texts, window, hot)).withColumn("stop", F.col("start") + window))
+    twice = single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    place = ["doc_id", "text_key", "start", "stop"]
+    return found.where("digest IS NULL").select(*place).unionByName(single.join(twice, "digest").select(*place))
 
 
 KEPT = "struct<n_words:long,n_removed:long,kept:string>"

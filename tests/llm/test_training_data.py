@@ -178,10 +178,12 @@ def test_repeats_inside_one_text_and_by_the_hot_route(spark, monkeypatch):
     passage = [f"p{k}" for k in range(50)]
     rows = [(i, " ".join([f"a{dice.randint(0, 10**6)}" for _ in range(dice.randint(0, 60))] + passage + [f"b{dice.randint(0, 10**6)}" for _ in range(20)])) for i in range(60)]
     rows += [(100, " ".join(["tick", "tock"] * 60)), (101, " ".join(f"u{k}" for k in range(90))), (101, "another text of the same id")]
-    hot = frozenset(m for m, _, _ in superkmer_dedup.super_kmers([w.encode() for w in passage], superkmer_dedup.WordHashes(), 35))
+    hot = frozenset(m for m, *_ in superkmer_dedup.super_kmers([w.encode() for w in passage], superkmer_dedup.WordHashes(), 35))
     assert hot
-    for some in (frozenset(), hot):
+    plain = superkmer_dedup.count_buckets
+    for some, run_bytes in ((frozenset(), 1 << 20), (hot, 1 << 20), (frozenset(), 300), (frozenset(), 5000)):
         monkeypatch.setattr(superkmer_dedup, "hot_minimisers", lambda docs, window, some=some: some)
+        monkeypatch.setattr(superkmer_dedup, "count_buckets", lambda *a, n=run_bytes: plain(*a, run_bytes=n))
         got = sorted((tuple(r) for r in superkmer_dedup.remove_repeats(frame(spark, rows)).collect()), key=repr)
         assert got == removed_by_hand(rows, 35)
 
