@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -46,6 +47,23 @@ _ENDS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=\s)")
 BLOCK = "shard int, block int, shard_start long, n_ids long, doc_ids array<long>, ends array<long>, rules binary, lengths binary, symbols binary"
 
 
+def _letters() -> dict[int, str]:
+    """Byte to the letter that stands for it in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _letters()
+
+
+def _is_plain(word: bytes) -> bool:
+    if word.isalpha():
+        return word.islower()
+    text = word.decode()
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, word by word: the vocabulary's pieces never reach over white space, so a word's ids are remembered."""
 
@@ -87,10 +105,11 @@ class Encoder:
     def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words and how many each has.
 
-        A word of a-z alone is one piece that no normaliser changes: it goes straight to the library's model.
+        A word of lower-case letters in composed form is one piece that no normaliser changes: its bytes, in the
+        letters that stand for them, go straight to the library's model.
         """
         tokenize = self.library.model.tokenize
-        got: list = [[t.id for t in tokenize(w.decode())] if w.isalpha() and w.islower() else None for w in words]
+        got: list = [[t.id for t in tokenize(w.decode("latin-1").translate(_LETTERS))] if _is_plain(w) else None for w in words]
         rest = [i for i, ids in enumerate(got) if ids is None]
         for i, e in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
             got[i] = e.ids
