@@ -1,0 +1,133 @@
+"""Near copies for the corpus: 5-word shingles, similarity 0.8 or more, by banded MinHash and exact verification.
+
+A text's shingles are the hashes of its runs of five words (ASCII white space, A-Z lower-cased; fewer words:
+the whole sequence), as a set. Its signature is 20 bands of five minima, each band hashed to 64 bits. Texts
+of similarity s share a band with probability 1 - (1 - s^5)^20: 0.9996 at 0.8. Pairs that share one are
+verified by the exact Jaccard similarity of the two sets, in whole numbers.
+
+A bucket's pairs grow with the square of its members, so buckets are worked off in rounds: the first members
+(in order of id) are compared with all others; they and the members found to be copies leave the bucket, and
+the rest goes on with four times as many leaders. So no two documents are kept that share a band and are
+similar, however large a group is.
+
+Vertices are distinct texts, named (smallest id, digest): rows that share an id but not a text are told apart.
+Null and empty texts are one text; rows without an id are kept as they are.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from periodica.llm.common import as_bytes, cut, id_text
+from periodica.llm.simhash_bytes import components
+
+WIDTH = 5
+BANDS = 20
+ROWS = 5
+LEADERS = 4
+MAX_WORDS = 1 << 18
+_DICE = np.random.default_rng(42)
+_FLIP = _DICE.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _DICE.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ROW = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(ROWS)], np.uint64)
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MAX_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_known = _Words()
+
+
+def shingles_of(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    words = text.lower().split()
+    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - width + 1)
+    out = np.full(n, min(len(words), width), np.uint64)
+    for k in range(min(width, len(words))):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + h[k : k + n]
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """One 64-bit value a band."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 1 << 12):  # the products of a run stay within 4 MB
+        part = shingles[None, at : at + (1 << 12)]
+        least = np.minimum(least, ((part ^ _FLIP[:, None]) * _TIMES[:, None]).min(1))
+    least = (least ^ (least >> np.uint64(32))) * _MIX
+    return ((least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS) * _ROW).sum(1, dtype=np.uint64)
+
+
+def _hashes(text: Column, of) -> Column:
+    @F.arrow_udf("array<long>")
+    def each(texts: pa.Array) -> pa.Array:
+        found = [of(t).view(np.int64) for t in as_bytes(texts)]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+
+    return each(text)
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (fp, shingles) have similarity 0.8 or more."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def links(texts: DataFrame, bands: DataFrame) -> DataFrame | None:
+    """(a, b), a < b: verified pairs of vertices; texts is (fp, text), bands (fp, bands). None if no texts meet."""
+    # A value that stands once is no bucket; only members of buckets are kept for the rounds.
+    posted = bands.select("fp", F.posexplode("bands").alias("band", "value"))
+    bucket = Window.partitionBy("band", "value")
+    left = cut(posted.withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n"))
+    found, leaders, sets = None, LEADERS, None
+    while not left.isEmpty():
+        if sets is None:
+            members = left.select("fp").distinct()
+            sets = cut(texts.join(members, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", _hashes(F.col("text"), lambda t: shingles_of(t)).alias("shingles")))
+        ranked = left.withColumn("rank", F.row_number().over(bucket.orderBy("fp")))
+        first = ranked.where(F.col("rank") <= leaders).select("band", "value", F.col("fp").alias("a"))
+        pairs = first.join(ranked.select("band", "value", F.col("fp").alias("b")), ["band", "value"]).where("a < b").select("a", "b").distinct()
+        good = cut(similar(pairs, sets))
+        found = good if found is None else found.union(good)
+        rest = ranked.where(F.col("rank") > leaders).drop("rank").join(good.select(F.col("b").alias("fp")).distinct(), "fp", "left_anti")
+        left = cut(rest.withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n"))
+        leaders *= 4
+    return found
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component of similar texts: the one of smallest id, then digest."""
+    digest = "_digest"
+    while digest in docs.columns:
+        digest += "_"
+    named = docs.where(F.col("doc_id").isNotNull())
+    rows = id_text(named).select("doc_id", "text", _digest(F.col("text")).alias("digest"))
+    coded = cut(rows.select("doc_id", "digest", _hashes(F.col("text"), lambda t: bands_of(shingles_of(t))).alias("bands")))
+    vertices = cut(coded.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).select(F.struct("doc_id", "digest").alias("fp"), "bands"))
+    texts = rows.select(F.struct("doc_id", "digest").alias("fp"), "text")
+    kept = vertices.select("fp")
+    edges = links(texts, vertices)
+    if edges is not None and not edges.isEmpty():
+        ends = edges.select("a").union(edges.select("b")).toDF("fp").distinct()
+        gone = components(edges, ends.withColumn("label", F.col("fp"))).where("fp <> label").select("fp")
+        kept = kept.join(gone, "fp", "left_anti")
+    one = named.withColumn(digest, _digest(F.col("text"))).join(kept.select(F.col("fp.doc_id").alias("doc_id"), F.col("fp.digest").alias(digest)), ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
+    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

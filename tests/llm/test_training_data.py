@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from periodica.llm import piece_sampling, quality_bt, quality_rules, queries, repair_ids, secret_scan, simhash_bytes, superkmer_dedup, token_transducer, toxicity_ftrl, wu_manber
+from periodica.llm import minhash_copies, piece_sampling, quality_bt, quality_rules, queries, repair_ids, secret_scan, simhash_bytes, superkmer_dedup, token_transducer, toxicity_ftrl, wu_manber
 
 DATA = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -354,3 +354,41 @@ def test_pipeline_by_hand(spark, tmp_path):
     lattice = piece_sampling.Lattices(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
     assert all(lattice.decode(np.array(out[i].piece_ids)) == t for i, t in good)
     assert lattice.decode(np.array(out[72].piece_ids)).endswith(" [SECRET]")
+
+
+def near_copy_rows(dice):
+    """Texts, looser copies of some (5-word similarity 0.8 to 1), a chain's middle, and one below 0.8."""
+    base = [[f"v{dice.randint(0, 10**6)}" for _ in range(120)] for _ in range(30)]
+    changed = lambda w, at: [f"new{k}" if k in at else x for k, x in enumerate(w)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(100 + i, " ".join(changed(base[i], {20, 90}))) for i in range(20)]  # 106 of 126 shingles
+    rows += [(200 + i, " ".join(changed(base[i], {10, 40, 60, 90}))) for i in range(20, 30)]  # 96 of 136
+    return rows
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    rows = near_copy_rows(random.Random(3)) + [(5, "one text of a shared id"), (5, "a second text of it"), (None, "no id"), (300, None), (301, "")]
+    rows += [(400 + i, " ".join([f"hot{k}" for k in range(200)] + [f"own{i}"])) for i in range(60)]
+    sets = [(i, t, set(minhash_copies.shingles_of((t or "").encode()).tolist())) for i, t in rows if i is not None]
+    sets.sort(key=lambda x: (x[0], hashlib.md5((x[1] or "").encode()).hexdigest()))
+    gone = {k for k, a in enumerate(sets) for b in sets[:k] if 9 * len(a[2] & b[2]) >= 4 * (len(a[2]) + len(b[2]))}
+    expected = Counter([None, *(sets[k][0] for k in range(len(sets)) if k not in gone)])
+    for leaders in (1, 4):
+        monkeypatch.setattr(minhash_copies, "LEADERS", leaders)
+        assert Counter(r.doc_id for r in minhash_copies.drop_near_copies(frame(spark, rows)).collect()) == expected
+    assert expected[5] == 3 and 100 not in expected and expected[220] == 1 and expected[400] == 1 and 401 not in expected
+
+
+def test_near_copies_of_odd_tables(spark):
+    df = odd(spark)
+    kept = minhash_copies.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 8]
+    assert minhash_copies.drop_near_copies(df.limit(0)).collect() == []
+
+
+def test_pipeline_stage_drops_a_planted_near_copy(spark):
+    import corpus_pipeline
+
+    rows = near_copy_rows(random.Random(8))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), DATA).collect()}
+    assert kept == {*range(30), *range(220, 230)}
