@@ -71,15 +71,28 @@ def venue_ladder(spark: SparkSession, d: str) -> DataFrame:
     SELECT cohort, CASE WHEN e IS NULL THEN 'below_minimum' WHEN cohort = 4 THEN 'no_cohort' ELSE 'ranked' END AS part, CASE WHEN pct IS NULL THEN NULL WHEN (CASE WHEN cohort < 2 THEN pct ELSE 100 - pct END) >= 67 THEN 'better' WHEN (CASE WHEN cohort < 2 THEN pct ELSE 100 - pct END) < 33 THEN 'worse' ELSE 'middle' END AS third, count(*) AS n FROM p GROUP BY ALL""",
 )
 def shown_rows(spark: SparkSession, d: str) -> DataFrame:
-    """percentiles turned to thirds by direction, rows split by whether they are ranked."""
+    """F21, F22, F23 over the first ten days: percentiles turned to thirds by direction, rows split by whether they are ranked."""
+    return _shown(user_days(spark, d).where("period <= 10"))
+
+
+def _shown(days: DataFrame) -> DataFrame:
     from periodica.operators.windows import midrank
 
-    r = user_days(spark, d).where("period <= 10").withColumn("shown", F.when(F.col("den") >= 2, F.col("num")))
-    p = midrank(r, ["cohort", "period"], "shown")
+    p = midrank(days.withColumn("shown", F.when(F.col("den") >= 2, F.col("num"))), ["cohort", "period"], "shown")
     part = C.ladder((F.col("shown").isNull(), "below_minimum"), (F.col("cohort") == 4, "no_cohort"), otherwise="ranked")
     return p.groupBy("cohort", part.alias("part"), C.oriented_third(F.col("pct"), F.col("cohort") < 2).alias("third")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "op_F21_F23_shown_rows_all_days",
+    f"""WITH {USER_DAYS}, r AS (SELECT user_id, cohort, period, den, CASE WHEN den >= 2 THEN 1 END AS e, num FROM user_days), p AS (SELECT *, CASE WHEN e = 1 THEN CAST(floor((100 * (2 * (rank() OVER (PARTITION BY cohort, period, e ORDER BY num) - 1) + count(*) OVER (PARTITION BY cohort, period, e, num)) + count(*) OVER (PARTITION BY cohort, period, e)) / (2 * count(*) OVER (PARTITION BY cohort, period, e))::DOUBLE) AS BIGINT) END AS pct FROM r)
+    SELECT cohort, CASE WHEN e IS NULL THEN 'below_minimum' WHEN cohort = 4 THEN 'no_cohort' ELSE 'ranked' END AS part, CASE WHEN pct IS NULL THEN NULL WHEN (CASE WHEN cohort < 2 THEN pct ELSE 100 - pct END) >= 67 THEN 'better' WHEN (CASE WHEN cohort < 2 THEN pct ELSE 100 - pct END) < 33 THEN 'worse' ELSE 'middle' END AS third, count(*) AS n FROM p GROUP BY ALL""",
+)
+def shown_rows_all_days(spark: SparkSession, d: str) -> DataFrame:
+    """as op_F21_F23_shown_rows, over every day of the month."""
+    return _shown(user_days(spark, d))
+
+
 @query("op_A11_group_centring", f"WITH {USER_DAYS} SELECT user_id, period, round(den - avg(den) OVER (PARTITION BY cohort, period), 6) AS centred FROM user_days")
 def group_centring(spark: SparkSession, d: str) -> DataFrame:
     """Values less their group's mean."""

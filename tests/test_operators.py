@@ -135,3 +135,13 @@ def test_coin_tail(spark):
 def test_poisson_weights_average_one(spark):
     mean = spark.range(20000).select(F.avg(stats.poisson_weight(stats.hash_uniform(F.col("id")))).alias("m")).first().m
     assert math.isclose(mean, 1, abs_tol=0.03)
+
+
+def test_shown_rows_and_rows_by_day_leave_nothing_out(spark):
+    from periodica.plans.base import user_days
+    from periodica.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    total = lambda name: QUERIES[name](spark, d).agg(F.sum("n")).first()[0]
+    assert total("op_F21_F23_shown_rows_all_days") == user_days(spark, d).count() > total("op_F21_F23_shown_rows")
+    assert total("op_V5_all_rows_by_day") == spark.read.parquet(f"{d}/orders.parquet").count() > total("op_V5_rows_by_day")
