@@ -14,6 +14,15 @@ def change_log(polls: DataFrame, keys: list[str], order: list[str], tracked: lis
     return polls.withColumn("_was", was).where(F.col("_was").isNull() | ~F.struct(*tracked).eqNullSafe(F.col("_was"))).drop("_was")
 
 
+def replayed(polls: DataFrame, stored: DataFrame, keys: list[str], order: list[str], tracked: list[str]) -> DataFrame:
+    """The log rebuilt from all polls beside the stored one: keys, order and side (both, only_stored, only_replayed or changed)."""
+    at = [*keys, *order]
+    a = stored.select(*at, F.struct(*tracked).alias("_stored"))
+    b = change_log(polls, keys, order, tracked).select(*at, F.struct(*tracked).alias("_replayed"))
+    side = F.when(F.col("_replayed").isNull(), "only_stored").when(F.col("_stored").isNull(), "only_replayed").when(F.col("_stored").eqNullSafe(F.col("_replayed")), "both").otherwise("changed")
+    return a.join(b, at, "full").select(*at, side.alias("side"))
+
+
 def change_log_with_text(polls: DataFrame, key: str, order: str, state: str, text: str, pattern: str) -> DataFrame:
     """Emits on first sight, on a changed state, and on a changed text that matches the pattern.
 

@@ -90,7 +90,7 @@ def change_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op_ST1_change_log_text")
 def change_log_text(spark: SparkSession, d: str) -> DataFrame:
-    """ST1, ST4: the order-dependent fold with a text rule; tested against a plain loop."""
+    """ST1: the order-dependent fold with a text rule; tested against a plain loop."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "props")
     return ST.change_log_with_text(e, "user_id", "event_id", "event_type", "props", r"[05]\}")
 

@@ -71,7 +71,7 @@ def venue_ladder(spark: SparkSession, d: str) -> DataFrame:
     SELECT cohort, CASE WHEN e IS NULL THEN 'below_minimum' WHEN cohort = 4 THEN 'no_cohort' ELSE 'ranked' END AS part, CASE WHEN pct IS NULL THEN NULL WHEN (CASE WHEN cohort < 2 THEN pct ELSE 100 - pct END) >= 67 THEN 'better' WHEN (CASE WHEN cohort < 2 THEN pct ELSE 100 - pct END) < 33 THEN 'worse' ELSE 'middle' END AS third, count(*) AS n FROM p GROUP BY ALL""",
 )
 def shown_rows(spark: SparkSession, d: str) -> DataFrame:
-    """F21, F22, F23 over the first ten days: percentiles turned to thirds by direction, rows split by whether they are ranked."""
+    """F21, F23 over the first ten days: percentiles turned to thirds by direction, rows split by whether they are ranked."""
     return _shown(user_days(spark, d).where("period <= 10"))
 
 
@@ -219,7 +219,7 @@ def prediction_terms(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_EDGES}, h AS (SELECT epoch, (edge > 0) = (margin > 0) AS a, (line < 0) = (margin > 0) AS b FROM q WHERE edge <> 0) SELECT epoch, count(*) AS n, count(*) FILTER (WHERE a) AS hits_a, count(*) FILTER (WHERE b) AS hits_b, count(*) FILTER (WHERE a AND NOT b) AS only_a, round(avg(a::INT - b::INT), 6) AS difference FROM h GROUP BY epoch",
 )
 def rule_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Two rules on the same rows."""
+    """M18, hits and their difference: two rules on the same rows; op_M18_rule_intervals has the intervals."""
     won = F.col("margin") > 0
     h = _edges(spark, d).where("edge <> 0").select("epoch", ((F.col("edge") > 0) == won).alias("a"), ((F.col("line") < 0) == won).alias("b"))
     return h.groupBy("epoch").agg(F.count("*").alias("n"), F.count_if("a").alias("hits_a"), F.count_if("b").alias("hits_b"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.round(F.avg(F.col("a").cast("int") - F.col("b").cast("int")), 6).alias("difference"))
@@ -270,7 +270,7 @@ def changed_input(spark: SparkSession, d: str) -> DataFrame:
     SELECT CASE WHEN a.event_id IS NULL THEN 'only_replayed' WHEN b.event_id IS NULL THEN 'only_stored' ELSE 'both' END AS side, count(*) AS n FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_id = b.event_id GROUP BY 1""",
 )
 def replay_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    """DQ10, ST4: a replayed change-log against the stored one."""
+    """DQ10, the comparison only: the change-log against itself with set rows left out and added; op_DQ10_history_replay replays."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, d, "events").select("user_id", "event_id", "event_type").withColumn("new", ~F.col("event_type").eqNullSafe(F.lag("event_type").over(w)))
     stored = e.where("new").select("user_id", "event_id", F.lit(1).alias("a"))
@@ -279,6 +279,44 @@ def replay_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return stored.join(replayed, ["user_id", "event_id"], "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "op_DQ10_history_replay",
+    "WITH l AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) SELECT 'both' AS side, count(*) AS n FROM l WHERE event_type IS DISTINCT FROM was",
+)
+def history_replay(spark: SparkSession, d: str) -> DataFrame:
+    """DQ10: the log that the stream has stored against one rebuilt in batch from all polls."""
+    from periodica.operators.state import replayed
+    from periodica.plans.streams import change_log
+
+    polls = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return replayed(polls, change_log(spark, d), ["user_id"], ["event_id"], ["event_type"]).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("op_M18_rule_intervals")
+def rule_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Hit rates of two rules with Wilson bounds and the paired bootstrap interval of their difference."""
+    won = F.col("margin") > 0
+    h = _edges(spark, d).where("edge <> 0").select("epoch", F.concat_ws("-", "entity", "counterparty").alias("pair"), ((F.col("edge") > 0) == won).cast("int").alias("a"), ((F.col("line") < 0) == won).cast("int").alias("b"))
+    g = h.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("a").alias("hits_a"), F.sum("b").alias("hits_b"))
+    ci = T.bootstrap(h, ["epoch"], "pair", {"num": F.col("a") - F.col("b"), "den": F.lit(1)}, F.try_divide("num", "den"))
+    bounds = {f"{end}_{x}": F.round(S.wilson(F.col(f"hits_{x}"), F.col("n"))[i], 6) for x in "ab" for i, end in enumerate(("low", "high"))}
+    ci = ci.select("epoch", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return g.join(ci, "epoch").withColumns(bounds).withColumn("difference", F.round((F.col("hits_a") - F.col("hits_b")) / F.col("n"), 6))
+
+
+@query("op_M16_edge_intervals")
+def edge_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of edge and outcome by size of edge with its bootstrap interval; validated if that lies above zero."""
+    x, y = F.col("edge").cast("double"), (F.col("margin") + F.col("line")).cast("double")
+    g = _edges(spark, d).select(S.third_of(F.abs("edge"), F.lit(3), F.lit(7)).alias("bucket"), F.concat_ws("-", "epoch", "entity", "counterparty").alias("pair"), x.alias("x"), y.alias("y"))
+    sums = {"sw": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y"), "sxy": F.col("x") * F.col("y")}
+    n = {k: F.col(k) for k in sums}
+    top, bottom = n["sw"] * n["sxy"] - n["sx"] * n["sy"], (n["sw"] * n["sxx"] - n["sx"] * n["sx"]) * (n["sw"] * n["syy"] - n["sy"] * n["sy"])
+    ci = T.bootstrap(g, ["bucket"], "pair", sums, F.when(bottom > 0, top / F.sqrt(bottom)))
+    ci = ci.select("bucket", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), (F.col("low") > 0).alias("validated"))
+    return g.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("r")).join(ci, "bucket")
+
+
 @query("op_T2_truncation_guard", "SELECT n_nationkey, n_name FROM nation")
 def truncation_guard(spark: SparkSession, d: str) -> DataFrame:
     """A capped read that raises instead of losing rows."""

@@ -256,7 +256,7 @@ def win_rates(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_EDGES} SELECT CASE WHEN abs(edge) < 3 THEN 'low' WHEN abs(edge) < 7 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS n, round(corr(edge::DOUBLE, (margin + line)::DOUBLE), 6) AS r, round(sqrt(avg((margin + line)::DOUBLE * (margin + line))), 6) AS rms, CAST(min(edge) AS BIGINT) AS least, CAST(max(edge) AS BIGINT) AS most FROM q GROUP BY 1""",
 )
 def edge_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation and spread of outcomes by size of edge."""
+    """Correlation and spread of outcomes by size of edge; op_M16_edge_intervals has the interval and the flag."""
     cover = (F.col("margin") + F.col("line")).cast("double")
     g = _edges(spark, d).withColumn("bucket", S.third_of(F.abs("edge"), F.lit(3), F.lit(7)))
     return g.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.corr(F.col("edge").cast("double"), cover), 6).alias("r"), F.round(F.sqrt(F.avg(cover * cover)), 6).alias("rms"), F.min("edge").alias("least"), F.max("edge").alias("most"))

@@ -209,7 +209,7 @@ def flattened_cards(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op_V5_rows_by_day", "SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1")
 def rows_by_day(spark: SparkSession, d: str) -> DataFrame:
-    """V4, V5: rows grouped by day in order."""
+    """V5 over orders of priority 1: rows grouped by day in order."""
     return _by_day(table(spark, d, "orders").where(F.col("o_orderpriority").startswith("1")))
 
 

@@ -145,3 +145,21 @@ def test_shown_rows_and_rows_by_day_leave_nothing_out(spark):
     total = lambda name: QUERIES[name](spark, d).agg(F.sum("n")).first()[0]
     assert total("op_F21_F23_shown_rows_all_days") == user_days(spark, d).count() > total("op_F21_F23_shown_rows")
     assert total("op_V5_all_rows_by_day") == spark.read.parquet(f"{d}/orders.parquet").count() > total("op_V5_rows_by_day")
+
+
+def test_a_replay_shows_what_the_stored_log_has_wrong(spark):
+    polls = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, "c"), (2, 2, "d")], "k int, o int, s string")
+    stored = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "x"), (2, 2, "d")], "k int, o int, s string")
+    got = {(r.k, r.o): r.side for r in state.replayed(polls, stored, ["k"], ["o"], ["s"]).collect()}
+    assert got == {(1, 1): "both", (1, 2): "only_stored", (1, 3): "changed", (2, 1): "only_replayed", (2, 2): "both"}
+
+
+def test_intervals_stand_around_their_estimates(spark):
+    from periodica.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    for r in QUERIES["op_M18_rule_intervals"](spark, d).collect():
+        assert r.low <= r.difference <= r.high and r.low_a <= r.hits_a / r.n <= r.high_a and r.low_b <= r.hits_b / r.n <= r.high_b
+    plain = {r.bucket: r.r for r in QUERIES["op_M16_edge_calibration"](spark, d).collect()}
+    for r in QUERIES["op_M16_edge_intervals"](spark, d).collect():
+        assert r.r == plain[r.bucket] and r.low <= r.r <= r.high and r.validated == (r.low > 0)
