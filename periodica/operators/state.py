@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,24 +28,26 @@ def replayed(polls: DataFrame, stored: DataFrame, keys: list[str], order: list[s
 def change_log_with_text(polls: DataFrame, key: str, order: str, state: str, text: str, pattern: str) -> DataFrame:
     """Emits on first sight, on a changed state, and on a changed text that matches the pattern.
 
-    The comparison is with the last row emitted, so a skipped text stays stale: an order-dependent fold, one
-    entity at a time. Entities are independent; the fold keeps one row of state.
+    The comparison is with the last row emitted, so a skipped text stays stale: an order-dependent fold. Rows are
+    sorted by entity and order on disk and folded batch by batch; one row of state is carried, so no worker holds
+    an entity's rows.
     """
     import re
 
     wanted = re.compile(pattern)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for i, (s, t) in enumerate(zip(group[state], group[text], strict=True)):
-            if last is None or s != last[0] or (t != last[1] and wanted.search(t or "")):
-                kept.append(i)
-                last = (s, t)
-        return group.iloc[kept]
-
-    columns = [key, order, state, text]
-    rows = polls.select(*columns)
-    return rows.groupBy(key).applyInPandas(lambda g: fold(g.sort_values(order)), rows.schema)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (k, s, t) in enumerate(zip(*[batch.column(c).to_pylist() for c in (key, state, text)], strict=True)):
+                if last is None or k != entity or s != last[0] or (t != last[1] and wanted.search(t or "")):
+                    kept.append(i)
+                    entity, last = k, (s, t)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = polls.select(key, order, state, text)
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, rows.schema)
 
 
 def poll_numbers(polls: DataFrame, source: str, at: str, floor: float = 0.5) -> DataFrame:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -53,18 +51,30 @@ def deduplicated(rows: DataFrame, time: str, keys: list[str], late: str = "40 da
 
 
 def change_log(rows: DataFrame, key: str, order: str, tracked: str) -> DataFrame:
-    """Rows where the tracked field of a key isn't what was given out last; one value of state a key."""
-    schema = rows.select(key, order, tracked).schema
-
-    def fold(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        new = pd.concat(list(batches)).sort_values(order)[schema.names]
-        before = new[tracked].shift(1, fill_value=last)
-        kept = new[new[tracked] != before]
-        state.update((new[tracked].iloc[-1],))
-        yield kept
-
-    return rows.select(key, order, tracked).groupBy(key).applyInPandasWithState(fold, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+    """Runs the stream and returns the rows where the tracked field of a key isn't what was given out last.
+
+    Each micro-batch is one window over its rows behind the last row of each key, which sorts on disk: no worker
+    holds a key's rows, however many a batch has. The last rows are kept as a folder a batch; one given twice
+    writes the same folders again.
+    """
+    spark, names = rows.sparkSession, [key, order, tracked]
+    schema = rows.select(*names).schema
+    out, top = shared_path(spark, "changes"), shared_path(spark, "changes-last")
+    last: dict[int, str] = {}
+
+    def fold(batch: DataFrame, number: int) -> None:
+        new = batch.select(*names, F.lit(True).alias("_new"))
+        if before := [n for n in last if n < number]:
+            new = new.unionByName(spark.read.schema(schema).parquet(last[max(before)]).withColumn("_new", F.lit(False)))
+        was = F.lag(tracked).over(Window.partitionBy(key).orderBy("_new", order))
+        changed = new.withColumn("_was", was).where(F.col("_new") & ~F.col(tracked).eqNullSafe(F.col("_was")))
+        changed.select(*names).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        newest = new.groupBy(key).agg(F.max(F.struct("_new", order, tracked)).alias("_last"))
+        newest.select(key, F.col("_last")[order].alias(order), F.col("_last")[tracked].alias(tracked)).write.mode("overwrite").parquet(f"{top}/{number}")
+        last[number] = f"{top}/{number}"
+
+    upserting(rows, fold)
+    return spark.read.schema(schema).parquet(*[f"{out}/batch={n}" for n in last]) if last else spark.createDataFrame([], schema)
 
 
 def upserting(rows: DataFrame, merge: Callable[[DataFrame, int], None]) -> None:

@@ -163,3 +163,29 @@ def test_intervals_stand_around_their_estimates(spark):
     plain = {r.bucket: r.r for r in QUERIES["op_M16_edge_calibration"](spark, d).collect()}
     for r in QUERIES["op_M16_edge_intervals"](spark, d).collect():
         assert r.r == plain[r.bucket] and r.low <= r.r <= r.high and r.validated == (r.low > 0)
+
+
+def test_change_logs_hold_no_entity_in_memory(spark, tmp_path):
+    from periodica.streaming import streams
+
+    dice = random.Random(2)
+    rows = [(1 if dice.random() < 0.4 else dice.randint(2, 20), i, dice.choice("abc"), dice.choice(["x", "y5"])) for i in range(3000)]
+    for n in range(3):  # three micro-batches, in order
+        spark.createDataFrame(rows[1000 * n : 1000 * (n + 1)], "k long, o long, s string, t string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    log, folded, last, given = [], [], {}, {}
+    for k, o, s, t in rows:
+        if last.get(k) != s:
+            log.append((k, o, s))
+        last[k] = s
+        if k not in given or s != given[k][0] or (t != given[k][1] and "5" in t):
+            folded.append((k, o, s, t))
+            given[k] = (s, t)
+    schema = "k long, o long, s string, t string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    assert sorted(tuple(r) for r in streams.change_log(stream, "k", "o", "s").collect()) == sorted(log)
+    polls = spark.createDataFrame(rows, schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    plan = state.change_log_with_text(polls, "k", "o", "s", "t", "5")
+    assert sorted(tuple(r) for r in plan.collect()) == sorted(folded)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
