@@ -2,8 +2,7 @@
 
 Base rules count words, symbols, repeated lines and words inside repeated 5-word windows of each text.
 The method: words and word pairs are hashed to `BUCKETS` coordinates; two multinomials are counted, one over
-all documents (raw), one over trusted rows (labelled good, outside the held-out third, at most `max_trusted`
-of them by id hash). A document's verdict is the mean over its n-grams of log p_trusted - log p_raw, held
+all documents (raw), one over all trusted rows (labelled good, outside the held-out third). A document's verdict is the mean over its n-grams of log p_trusted - log p_raw, held
 against a fixed threshold. Raw counts cover every document; the weights, one number a bucket whatever the
 input, enter the scoring plan as an array literal, so scoring is one scan without a join or shuffle.
 
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 from periodica.llm.common import cut, held_out, id_text
 
 BUCKETS = 1 << 15
-MAX_TRUSTED = 20_000
 SMOOTH = 1.0
 #: Mean log-likelihood ratio an n-gram that a kept document must reach.
 THRESHOLD = -0.12
@@ -76,10 +74,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> str:
+def ratio_weights(docs: DataFrame, labels: DataFrame) -> str:
     """log p_trusted - log p_raw of each bucket in order, as one line of numbers."""
-    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    marked = id_text(docs).join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
+    marked = id_text(docs).join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
     grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), _words(F.col("text")).alias("words")).select("good", F.explode(_ngrams(F.col("words"))).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")))
     whole = counts.agg((F.sum("raw") + SMOOTH * BUCKETS).alias("raw"), F.sum("good").alias("good")).first()
@@ -93,9 +91,9 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRU
     return every.agg(line.alias("line")).first().line
 
 
-def score_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def score_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, score, kept."""
-    weights = F.split(F.lit(ratio_weights(docs, labels, max_trusted)), ";").cast("array<double>")
+    weights = F.split(F.lit(ratio_weights(docs, labels)), ";").cast("array<double>")
     scored = base_counts(id_text(docs)).withColumn("grams", _ngrams(F.col("words")))
     total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(weights, b))
     scored = scored.withColumn("score", F.round(F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0), 6))

@@ -392,3 +392,10 @@ def test_pipeline_stage_drops_a_planted_near_copy(spark):
     rows = near_copy_rows(random.Random(8))
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), DATA).collect()}
     assert kept == {*range(30), *range(220, 230)}
+
+
+def test_every_trusted_row_counts(spark):
+    ids = [i for i in range(32_000) if zlib.crc32(str(i).encode()) % 3 != 1][:20_400]
+    docs = spark.createDataFrame([(i, "alpha beta gamma") for i in ids], "doc_id long, text string")
+    line = quality_rules.ratio_weights(docs, labels(spark, [(i, 1, 0) for i in ids]))
+    assert {abs(float(w)) for w in line.split(";")} == {0.0}  # all rows are trusted: both multinomials are equal
