@@ -108,7 +108,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = SHINGLE) ->
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = SHINGLE) -> DataFrame:
-    """The documents that name their component, once each; rows without an id are kept as they are."""
-    kept = near_duplicates(docs.where(F.col("doc_id").isNotNull()), max_bits, width).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each component: of its smallest id the text of smallest digest; rows without an id are kept as they are.
+
+    Rows that share an id are told apart by their text's digest, so a text goes only with its own component.
+    """
+    digest = "_digest"
+    while digest in docs.columns:
+        digest += "_"
+    of = lambda text: F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    named = docs.where(F.col("doc_id").isNotNull())
+    rows = id_text(named)
+    prints = cut(rows.select("doc_id", of("text").alias(digest), fingerprint(F.col("text"), width).alias("fp")))
+    names = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", digest)).alias("label")))
+    linked = components(links(names.select("fp"), max_bits), names).withColumnRenamed("label", "low")
+    kept = names.join(linked, "fp", "left").select(F.coalesce("low", "label").alias("one")).select("one.*").distinct()
+    one = named.withColumn(digest, of("text")).join(kept, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
+    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -399,3 +399,11 @@ def test_every_trusted_row_counts(spark):
     docs = spark.createDataFrame([(i, "alpha beta gamma") for i in ids], "doc_id long, text string")
     line = quality_rules.ratio_weights(docs, labels(spark, [(i, 1, 0) for i in ids]))
     assert {abs(float(w)) for w in line.split(";")} == {0.0}  # all rows are trusted: both multinomials are equal
+
+
+def test_simhash_keeps_both_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    kept = simhash_bytes.drop_near_duplicates(frame(spark, [(1, a), (2, b), (2, c), (3, b), (4, a), (2, c)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b), (2, c)]
+    kept = simhash_bytes.drop_near_duplicates(frame(spark, [(1, a), (2, a), (2, b)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b)]
