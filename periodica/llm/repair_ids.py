@@ -16,7 +16,8 @@ A document is decoded on its own: its symbols lie between two ends, their expans
 of every id, and the rules expand them. Pairs never reach over the end of a document.
 
 Re-Pair runs in rounds: each counts all neighbouring pairs, takes those that occur at least `least` times,
-most frequent first, and replaces their non-overlapping occurrences from the left by new nonterminals.
+most frequent first, and replaces their non-overlapping occurrences from the left by new nonterminals, until no
+pair occurs so often or the 16-bit symbols are used up.
 
 Edge cases: null and empty texts hold the end id alone; repeated ids keep a row each, ordered by text; a null id
 comes first; an empty table writes no blocks and reads back as no rows.
@@ -122,23 +123,21 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int = FIRST_RULE, rounds: int = 5, each: int = 2048, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int = FIRST_RULE, each: int = 2048, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends in symbols, rules) of a block."""
     symbols = ids.astype(np.int64)
     last = np.zeros(len(symbols), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     name = first
-    for _ in range(rounds):
-        if len(symbols) < 2 or name + each > 1 << 16:
-            break
+    while len(symbols) > 1 and name < 1 << 16:
         keys = symbols[:-1] << 17 | symbols[1:]
         keys[last[:-1]] = -1
         bins = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         often = np.bincount(bins, minlength=1 << 20) >= least
         at = np.flatnonzero(often[bins] & (keys >= 0))
         pairs, which, n = np.unique(keys[at], return_inverse=True, return_counts=True)
-        chosen = np.lexsort((pairs, -n))[:each]
+        chosen = np.lexsort((pairs, -n))[: min(each, (1 << 16) - name)]
         chosen = chosen[n[chosen] >= least]
         if not len(chosen):
             break

@@ -407,3 +407,15 @@ def test_simhash_keeps_both_texts_of_one_id(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b), (2, c)]
     kept = simhash_bytes.drop_near_duplicates(frame(spark, [(1, a), (2, a), (2, b)]))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b)]
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    ids = np.tile(np.arange(64, dtype=np.int32), 100)
+    symbols, cuts, rules = repair_ids.compress(ids, np.array([len(ids)]), each=8, least=24)
+    grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules))
+    assert max(Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)).values()) < 24
+    assert (grammar.expand(symbols) == ids).all() and cuts.tolist() == [len(symbols)]
+    ids = np.random.default_rng(1).integers(0, 140, 1 << 20).astype(np.int32)
+    symbols, _, rules = repair_ids.compress(ids, np.array([len(ids)]), least=4)
+    assert len(rules) == 16_128 and symbols.max() < 1 << 16
+    assert (repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules)).expand(symbols) == ids).all()
