@@ -25,6 +25,13 @@ def whole(rows: DataFrame, cap: int) -> DataFrame:
     return rows
 
 
+def whole_by(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """The rows, at most cap of each key; raises if a key has more."""
+    if not rows.groupBy(*keys).count().where(F.col("count") > cap).isEmpty():
+        raise Truncated(f"more than {cap} rows of a key")
+    return rows
+
+
 def ladder(*steps: tuple[Column, int | str], otherwise: int | str | None = None) -> Column:
     """The code of the first condition that holds; a null condition doesn't."""
     out = None

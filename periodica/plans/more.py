@@ -323,6 +323,12 @@ def truncation_guard(spark: SparkSession, d: str) -> DataFrame:
     return C.whole(table(spark, d, "nation").select("n_nationkey", "n_name"), 1000)
 
 
+@query("op_T2_keyed_truncation_guard", "SELECT l_orderkey, l_linenumber FROM lineitem")
+def keyed_truncation_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Reads capped at 1,000 rows a key, each key of a fact table; raises if one has more."""
+    return C.whole_by(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], 1000)
+
+
 @query("op_SK8_replace_version", "SELECT v, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM (SELECT 'v1' AS v, c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'v2', c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY v")
 def replace_version(spark: SparkSession, d: str) -> DataFrame:
     """SK4, SK8: a version's partition replaced, the other one kept."""

@@ -93,6 +93,18 @@ def due_datasets(spark: SparkSession, d: str) -> DataFrame:
     return U.due_sources(stored, n.withColumn("marker", mod(4)), "source", "dataset")
 
 
+@query(
+    "op_SK9_due_event_datasets",
+    """WITH live AS (SELECT user_id AS dataset, event_type AS source, 'v' || max(event_id) AS marker FROM events GROUP BY ALL), stored AS (SELECT user_id AS dataset, event_type AS source, 'v' || max(event_id) AS stored FROM events WHERE event_id % 9 <> 0 GROUP BY ALL)
+    SELECT dataset, max((marker IS DISTINCT FROM stored)::INT) AS due, string_agg(source || '=' || marker, ';' ORDER BY source) AS built_from FROM live LEFT JOIN stored USING (dataset, source) GROUP BY dataset""",
+)
+def due_event_datasets(spark: SparkSession, d: str) -> DataFrame:
+    """SK9: one dataset a user, one source an event type; due if a marker moved."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("dataset"), F.col("event_type").alias("source"), "event_id")
+    marked = lambda rows: rows.groupBy("dataset", "source").agg(F.concat(F.lit("v"), F.max("event_id").cast("string")).alias("marker"))
+    return U.due_sources(marked(e.where("event_id % 9 <> 0")), marked(e), "source", "dataset")
+
+
 _DIGEST = """CAST(count(*) AS BIGINT) AS n, CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor"""
 _HASH = "('0x' || substr(md5('c_custkey=' || c_custkey || '|c_mktsegment=' || coalesce(c_mktsegment, '∅') || '|cents=' || cents), 1, 12))::BIGINT AS h"
 
@@ -259,6 +271,16 @@ def rss_items(spark: SparkSession, d: str) -> DataFrame:
     return readers.rss_items(feeds, "doc").select("feed", "title", "link")
 
 
+@query("op_SC8_event_rss_items", "SELECT user_id AS feed, event_type AS title, 'https://example.org/' || event_id AS link FROM events WHERE event_id % 4 <> 0")
+def event_rss_items(spark: SparkSession, d: str) -> DataFrame:
+    """SC8: one RSS document a user, one item an event."""
+    k = F.col("event_id")
+    link = F.concat(F.when(k % 4 == 0, F.lit("ftp://x/")).otherwise(F.lit("https://example.org/")), k.cast("string"))
+    item = F.concat(F.lit("<item><title>"), "event_type", F.lit("</title><link>"), link, F.lit("</link><pubDate>Tue, 02 Jan 2024 10:00:00 +0000</pubDate></item>"))
+    feeds = table(spark, d, "events").groupBy(F.col("user_id").alias("feed")).agg(F.concat(F.lit('<rss version="2.0"><channel>'), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("doc"))
+    return readers.rss_items(feeds, "doc").select("feed", "title", "link")
+
+
 @query("op_SC10_json_fields", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     """SC10: a counter out of a JSON column."""

@@ -189,3 +189,12 @@ def test_change_logs_hold_no_entity_in_memory(spark, tmp_path):
     assert sorted(tuple(r) for r in plan.collect()) == sorted(folded)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+
+
+def test_truncation_guard_raises_beyond_a_key_s_cap(spark):
+    from periodica.operators import checks
+
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k int, v int")
+    assert checks.whole_by(rows, ["k"], 2).count() == 3
+    with pytest.raises(checks.Truncated):
+        checks.whole_by(rows, ["k"], 1)
