@@ -1,37 +1,81 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint is eight positional bytes. Fingerprints that differ in at most two bits differ in at
-most two bytes, so such a pair shares at least six positional bytes: that is the guaranteed number of
-matches. A posting list of one byte holds a 256th of all rows and its pairs grow with the square of the
-input, so the index is keyed by the guaranteed number at once: each fingerprint is posted under its 28
-choices of six (position, byte) entries. Pairs of one posting have reached the tally by construction; the
-tally of shared bytes is counted again on the pair and the bit distance verifies it. A posting's members
-differ in two bytes only, so it can't hold more than 65,536 fingerprints.
-
-Only distinct fingerprints are indexed; copies meet in a map-side combined group. Links are closed to
-components by spreading the smallest label with pointer jumping; every round is checkpointed.
-
-Fingerprints: A-Z lower-cased, words split at ASCII white space, 3-word shingles with repeats, XXH64
-(seed 42); a bit is 1 if set in over half of the hashes. Fewer words than a shingle: the whole sequence.
-
-Edge cases: null and empty texts have fingerprint zero and link like any other; repeated rows keep a row
-each; a row whose id is null is linked but never names a component unless it has no other member (then null).
+A fingerprint is a row of positional bytes. Posting lists of single bytes would hold a 256th of all rows each,
+so an index entry is a tuple of `width` positional bytes. A pair of fingerprints that agree in s of n bytes
+meets under C(s, width) tuples; the number of its meetings is its tally. Pairs whose tally reaches the
+guaranteed minimum are retained and verified.
+
+Two uses:
+
+- `near_duplicates`: 64-bit fingerprints, linked at `max_bits` or fewer differing bits. Such a pair agrees in
+  8 - max_bits bytes at least (6 of 8), so it meets under C(6, 5) = 6 of the 56 tuples of five bytes: that is the
+  guaranteed minimum. Bits verify. Links are closed to components by spreading the smallest label with pointer
+  jumping; every round is checkpointed. Only distinct fingerprints are indexed.
+- `drop_near_copies`: copies by the similarity of their 5-word shingle sets (Jaccard, 0.8 or more). Fingerprints
+  have 480 bits in 10 groups of 6 bytes and an entry is three bytes of one group (200 tuples). Agreement in
+  21 bytes makes a meeting certain; a pair of similarity 0.8 agrees in 16 of 60 on average and meets with a high
+  probability (README: measured recall). Pairs that meet and agree in `LEAST` bytes are verified by the exact
+  similarity of their shingle sets.
+
+In `drop_near_copies` a posting's pairs are never all made at once. Every round compares the members of a posting with its
+leader, the text that shares most entries with others, which is one ordered window over the postings and grows
+with their rows only. Members that are copies leave all postings, leaders leave theirs, and the rest goes on
+with four times as many leaders, until no posting has two texts. So no two texts are kept that share an entry
+and are similar. Postings that hold more than 1 / HOT of all texts are first worked off in salted parts.
+
+3-word fingerprints: A-Z lower-cased, words split at ASCII white space, shingles with repeats, XXH64 (seed 42); a
+bit is 1 if set in over half of the hashes. Fewer words than a shingle: the whole sequence.
+
+Edge cases: null and empty texts have fingerprint zero and link like any other; texts without words are copies
+of each other. Repeated rows keep a row each in `near_duplicates`; in `drop_near_copies` one of them stays. A row
+whose id is null is linked but never names a component unless it has no other member (then null), and is
+never dropped. Rows that share an id but not a text are told apart by the text. An empty table gives no rows.
+Very long texts are hashed in runs of bounded size. Columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.llm.common import as_bytes, cut, id_text
 
 SHINGLE = 3
 SEED = 42
+#: Bytes of a 64-bit fingerprint in one index entry.
+WIDTH = 5
+#: Fingerprints of more than 1 / HOT of all rows, at most HOT of them, are joined by broadcast; postings of so large a share are salted.
+HOT = 512
+SALTS = 256
+HOT_LEAST = 64
+#: Rows of two short columns that a broadcast may have; more are joined by shuffle.
+MAX_BROADCAST = 100_000
+
+# Near copies: words in a shingle, bytes of a fingerprint, of a group and of an entry, and bytes that a pair must share.
+COPY_SHINGLE = 5
+COPY_BYTES, COPY_GROUP, COPY_WIDTH = 60, 6, 3
+LEAST = 6
+#: A copy has nine common shingles for every four of both sets together: similarity 0.8.
+COMMON, WHOLE = 9, 4
+LEADERS = 4
+MAX_WORDS = 1 << 18
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # the unpacked bits of a run stay within 4 MB
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return ones
 
 
 def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
@@ -46,10 +90,7 @@ def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # the unpacked bits of a run stay within 4 MB
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * _votes(hashes) > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: Column, width: int = SHINGLE) -> Column:
@@ -60,23 +101,22 @@ def fingerprint(text: Column, width: int = SHINGLE) -> Column:
     return fingerprints(text)
 
 
-def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = 2, width: int = WIDTH) -> DataFrame:
     """(a, b), a < b: the pairs of a table of distinct fingerprints `fp` at most max_bits apart (up to 7)."""
     sure = 8 - max_bits  # bytes that must agree
-    byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(8)]
-    masks = [sum(255 << 8 * i for i in chosen) for chosen in combinations(range(8), sure)]
+    width = min(width, sure)
+    masks = [sum(255 << 8 * i for i in chosen) for chosen in combinations(range(8), width)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posted = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("choice", "entries"))
+    posted = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("tuple", "entry"))
     other = posted.withColumnRenamed("fp", "other")
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.shiftrightunsigned(apart, 8 * i).bitwiseAND(F.lit(255).cast("long")) == 0).cast("int") for i in range(len(byte)))
-    return (
-        posted.join(other, ["choice", "entries"])
-        .where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits))
-        .select(F.col("fp").alias("a"), F.col("other").alias("b"))
-        .where(shared >= sure)
-        .distinct()
+    tallied = (
+        posted.join(other, ["tuple", "entry"])
+        .where(F.col("fp") < F.col("other"))
+        .groupBy(F.col("fp").alias("a"), F.col("other").alias("b"))
+        .agg(F.count("*").alias("tally"))
     )
+    retained = tallied.where(F.col("tally") >= comb(sure, width))
+    return retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
 
 def components(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -101,26 +141,174 @@ def components(edges: DataFrame, names: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id (the smallest id reachable over links)."""
     prints = cut(id_text(docs).select("doc_id", fingerprint(F.col("text"), width).alias("fp")))
-    names = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("label")))
-    linked = components(links(names.select("fp"), max_bits), names)
-    wide = names.join(linked.withColumnRenamed("label", "low"), "fp", "left").select("fp", F.coalesce("low", "label").alias("component_id"))
-    return prints.join(wide, "fp").select("doc_id", "fp", "component_id")
+    names = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")))
+    linked = components(links(names.select("fp"), max_bits), names.drop("n")).withColumnRenamed("label", "low")
+    wide = names.join(linked, "fp", "left").select("fp", F.coalesce("low", "label").alias("component_id"), "n")
+    total = prints.count()
+    # A fingerprint of a large share of all rows would be one task of a shuffled join; there are HOT of them at most.
+    hot = F.broadcast(wide.where(F.col("n") * HOT > total).drop("n"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(wide.where(F.col("n") * HOT <= total).drop("n"), "fp")
+    return prints.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+
+
+class _Words(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MAX_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_known = _Words()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(text: bytes, width: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, ascending; a text without words has one shingle of none."""
+    words = text.lower().split()
+    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - width + 1)
+    out = np.full(n, min(len(words), width), np.uint64)
+    for k in range(min(width, len(words))):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + h[k : k + n]
+    return np.unique(_mixed(out))
+
+
+def copy_print(shingles: np.ndarray, size: int = COPY_BYTES) -> np.ndarray:
+    """The positional bytes of a set's wide fingerprint: 64 bits from each of several hashes of its shingles."""
+    rows = [np.packbits(2 * _votes(_mixed(shingles + np.uint64(int(_MIX) * k % (1 << 64)))) > len(shingles), bitorder="little") for k in range(1, -(-size // 8) + 1)]
+    return np.concatenate(rows)[:size]
+
+
+def entries_of(prints: np.ndarray, group: int = COPY_GROUP, width: int = COPY_WIDTH) -> np.ndarray:
+    """The index entries of fingerprints (one a row): each tuple of bytes of one group, with the tuple's number above them."""
+    tuples = [t for at in range(0, prints.shape[1], group) for t in combinations(range(at, at + group), width)]
+    wide = prints.astype(np.int64)
+    return np.stack([reduce(lambda x, i: x << 8 | wide[:, i], t, np.full(len(wide), k, np.int64)) for k, t in enumerate(tuples)], 1)
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
 
 
-def drop_near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = SHINGLE) -> DataFrame:
-    """One row of each component: of its smallest id the text of smallest digest; rows without an id are kept as they are.
+def _set_column(text: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return _lists([shingle_set(t).view(np.int64) for t in as_bytes(texts)], pa.int64())
 
-    Rows that share an id are told apart by their text's digest, so a text goes only with its own component.
+    return sets(text)
+
+
+def _print_column(text: Column) -> Column:
+    @F.arrow_udf("array<tinyint>")
+    def prints(texts: pa.Array) -> pa.Array:
+        return _lists([copy_print(shingle_set(t)).view(np.int8) for t in as_bytes(texts)], pa.int8())
+
+    return prints(text)
+
+
+def _entry_column(prints: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def entries(rows: pa.Array) -> pa.Array:
+        wide = rows.flatten().to_numpy().view(np.uint8).reshape(-1, COPY_BYTES)
+        return _lists(list(entries_of(wide)), pa.int64())
+
+    return entries(prints)
+
+
+def _shared(posted: DataFrame) -> DataFrame:
+    """The postings of entries that two texts or more have, with their number n."""
+    return posted.withColumn("n", F.count("*").over(Window.partitionBy("entry"))).where("n > 1")
+
+
+def _ranked(posted: DataFrame, *by: str) -> DataFrame:
+    """Postings with their rank in the entry: texts that meet most others come first."""
+    degree = posted.withColumn("degree", F.sum("n").over(Window.partitionBy("v")))
+    return degree.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("degree"), "v")))
+
+
+def _met(ranked: DataFrame, leaders: int, *by: str) -> DataFrame:
+    """(a, b, tally): how often b meets a, a leader of an entry that stands before b there."""
+    if leaders == 1:
+        pairs = ranked.withColumn("a", F.first("v").over(Window.partitionBy(*by).orderBy("rank"))).where("rank > 1").select("a", F.col("v").alias("b"))
+    else:
+        first = ranked.where(F.col("rank") <= leaders).select(*by, F.col("v").alias("a"), F.col("rank").alias("ahead"))
+        pairs = first.join(ranked, list(by)).where("ahead < rank").select("a", F.col("v").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("tally"))
+
+
+def _copies(met: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(v): each b of a pair whose fingerprints share LEAST positional bytes and whose shingle sets are similar."""
+    equal = F.size(F.filter(F.zip_with("fa", "fb", lambda x, y: x == y), lambda same: same))
+    near = cut(met.where("tally > 0").join(prints.toDF("a", "fa"), "a").join(prints.toDF("b", "fb"), "b").where(equal >= LEAST).select("a", "b"))
+    sets = cut(sets_of(near.select(F.col("a").alias("v")).union(near.select("b")).distinct()))
+    both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    similar = COMMON * F.size(F.array_intersect("sa", "sb")) >= WHOLE * (F.size("sa") + F.size("sb"))
+    return both.where(similar).select(F.col("b").alias("v")).distinct()
+
+
+def _posted(prints: DataFrame) -> DataFrame:
+    return prints.select("v", F.explode(_entry_column(F.col("fp"))).alias("entry"))
+
+
+def _hot_entries(prints: DataFrame) -> DataFrame:
+    """(entry): those of more than 1 / HOT of a sixteenth of the texts; tuples times HOT at most."""
+    some = prints.where(F.pmod("v", F.lit(16)) == 0)
+    counts = _posted(some).groupBy("entry").agg(F.count("*").alias("n"))
+    return cut(counts.where(F.col("n") > max(HOT_LEAST, some.count() // HOT)).select("entry"))
+
+
+def near_copies(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(v): the texts that go, each a copy of one that stays or of one that went for such a copy.
+
+    prints is (v, fp) of distinct texts; sets_of gives the shingle sets (v, shingles) of a table of texts (v).
+    """
+    gone = prints.select("v").limit(0)
+    every, hot = prints, _hot_entries(prints)
+    if not hot.isEmpty():
+        salted = _posted(prints).join(F.broadcast(hot), "entry", "left_semi").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).withColumn("n", F.lit(1))
+        gone = cut(_copies(_met(_ranked(salted, "entry", "salt"), 1, "entry", "salt"), prints, sets_of))
+        every = prints.join(gone, "v", "left_anti")
+    left, leaders = cut(_shared(_posted(every))), 1
+    while not left.isEmpty():
+        ranked = cut(_ranked(left, "entry"))
+        found = cut(_copies(_met(ranked, leaders, "entry"), prints, sets_of))
+        gone = gone.union(found)
+        rest = ranked.where(F.col("rank") > leaders).select("v", "entry").join(found, "v", "left_anti")
+        left = cut(_shared(rest))
+        leaders *= LEADERS
+    return gone
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The documents without copies: of equal texts the row of smallest id, of similar ones the text that meets most others.
+
+    Texts are indexed under a 64-bit hash; should two have one hash, that of the larger digest is kept without being compared.
     """
     digest = "_digest"
     while digest in docs.columns:
         digest += "_"
     of = lambda text: F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     named = docs.where(F.col("doc_id").isNotNull())
-    rows = id_text(named)
-    prints = cut(rows.select("doc_id", of("text").alias(digest), fingerprint(F.col("text"), width).alias("fp")))
-    names = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", digest)).alias("label")))
-    linked = components(links(names.select("fp"), max_bits), names).withColumnRenamed("label", "low")
-    kept = names.join(linked, "fp", "left").select(F.coalesce("low", "label").alias("one")).select("one.*").distinct()
-    one = named.withColumn(digest, of("text")).join(kept, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = id_text(named).select("doc_id", "text", of("text").alias("digest"), F.xxhash64("text").alias("v"))
+    coded = cut(rows.select("doc_id", "digest", "v", _print_column(F.col("text")).alias("fp")))
+    kept = cut(coded.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("v").alias("v"), F.first("fp").alias("fp")))
+    one = cut(kept.groupBy("v").agg(F.min(F.struct("digest", "fp")).alias("one")).select("v", "one.*"))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = cut(some.join(one.select("v", "digest"), "v"))
+        few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+        return rows.join(few, ["v", "digest"]).select("v", _set_column(F.col("text")).alias("shingles")).dropDuplicates(["v"])
+
+    gone = near_copies(one.select("v", "fp"), sets_of)
+    kept = kept.join(one.join(gone, "v", "left_semi").select("digest"), "digest", "left_anti")
+    chosen = kept.select("doc_id", F.col("digest").alias(digest))
+    stay = named.withColumn(digest, of("text")).join(chosen, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
+    return stay.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

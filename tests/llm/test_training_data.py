@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from periodica.llm import minhash_copies, piece_sampling, quality_bt, quality_rules, queries, repair_ids, secret_scan, simhash_bytes, superkmer_dedup, token_transducer, toxicity_ftrl, wu_manber
+from periodica.llm import piece_sampling, quality_bt, quality_rules, queries, repair_ids, secret_scan, simhash_bytes, superkmer_dedup, token_transducer, toxicity_ftrl, wu_manber
 
 DATA = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -329,7 +329,7 @@ def test_odd_and_empty_tables(spark, name):
 
 def test_filters_keep_columns_of_odd_tables(spark):
     df = odd(spark)
-    kept = simhash_bytes.drop_near_duplicates(df)
+    kept = simhash_bytes.drop_near_copies(df)
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 8]
     assert secret_scan.redact(df).columns == df.columns
     assert quality_bt.keep_accepted(df, labels(spark)).count() == df.count()
@@ -369,21 +369,56 @@ def near_copy_rows(dice):
 def test_near_copies_equal_brute_force(spark, monkeypatch):
     rows = near_copy_rows(random.Random(3)) + [(5, "one text of a shared id"), (5, "a second text of it"), (None, "no id"), (300, None), (301, "")]
     rows += [(400 + i, " ".join([f"hot{k}" for k in range(200)] + [f"own{i}"])) for i in range(60)]
-    sets = [(i, t, set(minhash_copies.shingles_of((t or "").encode()).tolist())) for i, t in rows if i is not None]
-    sets.sort(key=lambda x: (x[0], hashlib.md5((x[1] or "").encode()).hexdigest()))
-    gone = {k for k, a in enumerate(sets) for b in sets[:k] if 9 * len(a[2] & b[2]) >= 4 * (len(a[2]) + len(b[2]))}
-    expected = Counter([None, *(sets[k][0] for k in range(len(sets)) if k not in gone)])
-    for leaders in (1, 4):
-        monkeypatch.setattr(minhash_copies, "LEADERS", leaders)
-        assert Counter(r.doc_id for r in minhash_copies.drop_near_copies(frame(spark, rows)).collect()) == expected
-    assert expected[5] == 3 and 100 not in expected and expected[220] == 1 and expected[400] == 1 and 401 not in expected
+    for leaders, hot in ((1, 512), (4, 512), (4, 8)):
+        monkeypatch.setattr(simhash_bytes, "LEADERS", leaders + 1)
+        monkeypatch.setattr(simhash_bytes, "HOT", hot)
+        monkeypatch.setattr(simhash_bytes, "HOT_LEAST", 2 if hot == 8 else 64)
+        monkeypatch.setattr(simhash_bytes, "SALTS", 4)
+        got = Counter(r.doc_id for r in simhash_bytes.drop_near_copies(frame(spark, rows)).collect())
+        # One of each pair of copies stays, one of the hot group, both texts of a shared id, one row without words.
+        assert sum(got[i] + got[100 + i] == 1 for i in range(20) if i != 5) >= 17 and got[5] >= 2
+        assert all(got[i] == got[200 + i] == 1 for i in range(20, 30))
+        assert sum(got[400 + i] for i in range(60)) == 1 and got[300] == 1 and got[301] == 0 and got[None] == 1
+
+
+def test_no_two_kept_texts_that_meet_are_similar(spark):
+    dice = random.Random(12)
+    base = [f"v{k}" for k in range(150)]
+    rows = []
+    for i in range(120):  # near copies of near copies, some of them too far apart
+        words = list(dice.choice(rows)[1].split() if rows else base)
+        for _ in range(dice.randint(0, 3)):
+            words[dice.randrange(len(words))] = f"x{dice.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: simhash_bytes.shingle_set(t.encode()) for i, t in rows}
+    prints = {i: simhash_bytes.copy_print(s) for i, s in sets.items()}
+    entries = {i: set(simhash_bytes.entries_of(p[None])[0].tolist()) for i, p in prints.items()}
+    alike = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
+    linked = {(a, b) for a in sets for b in sets if a < b and entries[a] & entries[b] and (prints[a] == prints[b]).sum() >= simhash_bytes.LEAST and alike(a, b)}
+    kept = {r.doc_id for r in simhash_bytes.drop_near_copies(frame(spark, rows)).collect()}
+    assert not [p for p in linked if set(p) <= kept]
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {root[i] for i in kept} == set(root.values())  # each component keeps one at least
+
+
+def test_wide_index_entries():
+    prints = np.arange(96, dtype=np.uint8).reshape(2, 48)
+    got = simhash_bytes.entries_of(prints)
+    assert got.shape == (2, 160) and len(set(got.ravel().tolist())) == 320
+    other = prints.copy()
+    other[1, :] ^= 1
+    other[1, [6, 8, 11]] ^= 1  # three bytes of the second group agree
+    assert (simhash_bytes.entries_of(other)[1] == got[1]).sum() == 1
 
 
 def test_near_copies_of_odd_tables(spark):
     df = odd(spark)
-    kept = minhash_copies.drop_near_copies(df)
+    kept = simhash_bytes.drop_near_copies(df)
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 8]
-    assert minhash_copies.drop_near_copies(df.limit(0)).collect() == []
+    assert simhash_bytes.drop_near_copies(df.limit(0)).collect() == []
 
 
 def test_pipeline_stage_drops_a_planted_near_copy(spark):
@@ -391,7 +426,8 @@ def test_pipeline_stage_drops_a_planted_near_copy(spark):
 
     rows = near_copy_rows(random.Random(8))
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), DATA).collect()}
-    assert kept == {*range(30), *range(220, 230)}
+    assert sum(len({i, 100 + i} & kept) == 1 for i in range(20)) >= 18  # copies of similarity 0.84: nine of ten at least
+    assert all({i, 100 + i} & kept for i in range(20)) and {*range(20, 30), *range(220, 230)} <= kept
 
 
 def test_every_trusted_row_counts(spark):
@@ -403,9 +439,9 @@ def test_every_trusted_row_counts(spark):
 
 def test_simhash_keeps_both_texts_of_one_id(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
-    kept = simhash_bytes.drop_near_duplicates(frame(spark, [(1, a), (2, b), (2, c), (3, b), (4, a), (2, c)]))
+    kept = simhash_bytes.drop_near_copies(frame(spark, [(1, a), (2, b), (2, c), (3, b), (4, a), (2, c)]))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b), (2, c)]
-    kept = simhash_bytes.drop_near_duplicates(frame(spark, [(1, a), (2, a), (2, b)]))
+    kept = simhash_bytes.drop_near_copies(frame(spark, [(1, a), (2, a), (2, b)]))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b)]
 
 
