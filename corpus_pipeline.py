@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from periodica.llm import minhash_copies, piece_sampling, quality_bt, secret_scan, wu_manber
+from periodica.llm import piece_sampling, quality_bt, secret_scan, simhash_bytes, wu_manber
 from periodica.llm.common import fresh_path, table
 from periodica.llm.queries import tokenizer_path
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a 5-word similarity of 0.8 or more: the one with the smallest id."""
-    return minhash_copies.drop_near_copies(docs)
+    """One document of each group of texts with a 5-word similarity of 0.8 or more."""
+    return simhash_bytes.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
