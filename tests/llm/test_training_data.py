@@ -148,8 +148,8 @@ def test_grammar_expands_to_what_it_compressed():
     ids = dice.integers(0, 30, 5000).astype(np.int32)
     ids[1000:1400] = 7
     ends = np.array([1, 2, 700, 1200, 1201, 5000])
-    symbols, cuts, rules = repair_ids.compress(ids, ends, least=8)
-    grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules))
+    symbols, cuts, rules = repair_ids.compress(ids, ends, 49_408, least=8)
+    grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules, 49_408), 49_408)
     assert len(symbols) < len(ids) and (grammar.expand(symbols) == ids).all()
     begin = 0
     for cut, a, b in zip(cuts, [0, *ends], ends, strict=False):  # each document alone
@@ -157,6 +157,42 @@ def test_grammar_expands_to_what_it_compressed():
         begin = cut
 
 
+def test_words_with_marks_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, dice = Tokenizer.from_file(path), repair_ids.Encoder(path, 1), random.Random(9)
+    letters = [*"abcXYZ019'\"#$.,;!?-_é×ñß中 ́…\u00a0\u2028\x1c\x85 \t\n   ", "'s", "n't", "<|endoftext|>", "<|", "|>", "İ", "ﬁ", "Å", "e\u0301", "ǅ"]
+    texts = ["".join(dice.choice(letters) for _ in range(dice.randint(0, 40))) for _ in range(4000)] + ["", "a" * 5000, "." * 3000]
+    for some in (texts, texts[::-1]):
+        ids, ends = encoder([t.encode() for t in some])
+        for t, a, b in zip(some, [0, *ends], ends, strict=False):
+            assert ids[a:b].tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_one_document_is_decoded_alone(spark, tmp_path):
+    dice = random.Random(4)
+    rows = [(i, " ".join(dice.choice(["red apple", "green pear", "odd"]) for _ in range(dice.randint(0, 300)))) for i in range(60)]
+    repair_ids.write_ids(frame(spark, rows), f"{tmp_path}/ids", public_tokenizers.path("word_bpe_49k.json"))
+    blocks = repair_ids.read_ids(spark, f"{tmp_path}/ids")
+    whole = {r.doc_id: list(r.ids) for r in repair_ids.decode_documents(blocks).collect()}
+    seen = 0
+    for block in blocks.collect():
+        assert len(block.rules)
+        for i, doc in enumerate(block.doc_ids):
+            assert repair_ids.decode_one(block, i) == whole[doc]
+            assert repair_ids.decode_one(block, i, 5, 17) == whole[doc][5:17]
+            seen += 1
+    assert seen == 60
+
+
+def test_ids_that_do_not_fit_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="16 bits"):
+        repair_ids.compress(np.array([70_000]), np.array([1]), 70_001)
+    with pytest.raises(ValueError, match="letters, digits and marks"):
+        repair_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1)
+
+
 def removed_by_hand(rows, window):
     words = [t.encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -447,11 +483,11 @@ def test_simhash_keeps_both_texts_of_one_id(spark):
 
 def test_grammar_goes_on_until_no_pair_is_frequent():
     ids = np.tile(np.arange(64, dtype=np.int32), 100)
-    symbols, cuts, rules = repair_ids.compress(ids, np.array([len(ids)]), each=8, least=24)
-    grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules))
+    symbols, cuts, rules = repair_ids.compress(ids, np.array([len(ids)]), 49_408, each=8, least=24)
+    grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules, 49_408), 49_408)
     assert max(Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)).values()) < 24
     assert (grammar.expand(symbols) == ids).all() and cuts.tolist() == [len(symbols)]
     ids = np.random.default_rng(1).integers(0, 140, 1 << 20).astype(np.int32)
-    symbols, _, rules = repair_ids.compress(ids, np.array([len(ids)]), least=4)
+    symbols, _, rules = repair_ids.compress(ids, np.array([len(ids)]), 49_408, least=4)
     assert len(rules) == 16_128 and symbols.max() < 1 << 16
-    assert (repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules)).expand(symbols) == ids).all()
+    assert (repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules, 49_408), 49_408).expand(symbols) == ids).all()
