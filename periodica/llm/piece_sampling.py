@@ -12,7 +12,9 @@ Decoding joins the pieces: a blank piece gives spaces, byte pieces their bytes,
 U+2581 of the text itself is kept apart from blanks by its byte pieces, so every text comes back unchanged.
 
 Edge cases: null and empty texts have no pieces; repeated rows with one key get the same sample; a null key
-counts as the text "null".
+counts as the text "null"; an empty table gives no rows; equally likely edges are drawn by the random number alone.
+A very long text is one lattice; of its places only the edges of its distinct units are kept, about 60 bytes each. Other
+columns keep their names, but for the three that `encode_documents` makes.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ ALPHA = 1.0
 #: Edges remembered; about 60 bytes each with their units.
 MAX_EDGES = 3_000_000
 _CHUNK = re.compile("(?:▁+[^▁]*|[^▁]+)")
-_OWN_MARK = "﷐"  # stands for a U+2581 of the text while units are cut; a text that holds it keeps it by the same byte edge
+_OWN_MARK = "\ud800"  # stands for a U+2581 of the text while units are cut: a lone surrogate, which no UTF-8 text can hold
 
 
 class Lattices:

@@ -240,6 +240,22 @@ def test_pieces_are_lossless_and_reproducible(spark, documents):
     assert coded.where(~piece_sampling.decode(F.col("ids"), model).eqNullSafe(F.col("text"))).isEmpty()
 
 
+def test_pieces_of_any_unicode_are_lossless(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    lattice, dice = piece_sampling.Lattices(model, 1.0), random.Random(21)
+    marks = ["\ufdd0", "▁", "\ufffe", "\U0010ffff", "\0", " ", "  ", "\ufeff", "<s>", "<unk>", "<0x41>", "\u2028", "中", "ﬁ", "́"]
+
+    def char():
+        c = dice.choice([dice.randrange(0x110000), dice.randrange(0x3000), dice.randrange(128)])
+        return dice.choice(marks) if 0xD800 <= c < 0xE000 or dice.random() < 0.2 else chr(c)
+
+    texts = ["".join(char() for _ in range(dice.randint(0, 60))) for _ in range(2000)] + ["a\ufdd0b", "▁", " ", "▁ ▁", "x" * 300_000, "ab▁" * 50_000, "\ufdd0" * 100_000]
+    for text, ids in zip(texts, lattice.sample(texts, piece_sampling._seeds(list(range(len(texts))), 0)), strict=True):
+        assert lattice.decode(ids) == text
+    rows = frame(spark, list(enumerate(texts[-1007:])))
+    assert piece_sampling.encode_documents(rows, model).where("NOT lossless").isEmpty()
+
+
 def test_samples_follow_the_lattice():
     lattice = piece_sampling.Lattices(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
 
