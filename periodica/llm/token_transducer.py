@@ -10,14 +10,16 @@ Two deterministic transducers are compiled; both annotate transitions, and neith
    a vocabulary entry that is still open, its trie node, the last token before it and how many tokens the
    text so far has beyond it. A transition carries the emitted-token count (by how many the number of
    tokens of the prefix changes). States are made when first met and kept; when their number reaches
-   `MAX_STATES` the tables are dropped and built anew, which changes no count.
+   `MAX_STATES`, inside one long piece too, all but the current one are dropped and built anew, which changes no count.
 
 A prefix has one valid encoding; a token may follow another if merging their joined bytes gives just the
 two again; that holds if no merge across the border comes due while both sides are being made. Counts are
 therefore exact for any merge list whose entries encode to themselves.
 
 Edge cases: null and empty texts have no tokens; a special token's string counts as one token, as the
-library does by default; any length of text is read in one pass.
+library does by default; any length of text, without blanks too, is read in one pass with bounded tables; repeated
+rows keep a row each; an empty table gives no rows; other columns are not read. A tokenizer whose normaliser or
+splitter differs from the one compiled here is refused.
 """
 
 from __future__ import annotations
@@ -182,12 +184,13 @@ class Counter:
             out[token] = [(token, made, never), (top, at, made), *rest]
         return out
 
-    def reset(self) -> None:
-        first = ((0, 0, 0),)
-        self.names = {first: 0}
-        self.sets = [first]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+    def reset(self, carried: tuple[tuple[int, int, int], ...] | None = None) -> int:
+        """Forgets all states but the first and the carried one, whose number is returned."""
+        self.sets = list(dict.fromkeys([((0, 0, 0),), carried or ((0, 0, 0),)]))
+        self.names = {s: i for i, s in enumerate(self.sets)}
+        self.moves: list[dict[int, tuple[int, int]]] = [{} for _ in self.sets]
         self.counts: dict[str, int] = {}
+        return len(self.sets) - 1
 
     def follows(self, left: int, right: int) -> bool:
         """No merge across the edge is due while the tokens on both sides of it are being made."""
@@ -229,9 +232,13 @@ class Counter:
         if len(self.sets) >= MAX_STATES or len(self.counts) >= MAX_PIECES:
             self.reset()
         state = total = 0
-        moves = self.moves
         for b in piece.encode():
-            state, emitted = moves[state].get(b) or self.move(state, b)
+            made = self.moves[state].get(b)
+            if made is None:
+                if len(self.sets) >= MAX_STATES:  # within one long piece too: the open begins are carried over
+                    state = self.reset(self.sets[state])
+                made = self.move(state, b)
+            state, emitted = made
             total += emitted
         if len(piece) <= 64:
             self.counts[piece] = total
@@ -242,6 +249,9 @@ class Counter:
 def _counter(path: str) -> tuple[Counter, tuple[str, ...]]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    cutter = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+        raise ValueError(f"{path}: not a byte-level tokenizer with the usual splitter and without a normaliser")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     return Counter(merges), tuple(t["content"] for t in spec["added_tokens"])
 

@@ -87,6 +87,20 @@ def test_counter_forgets_without_changing_counts(monkeypatch):
     token_transducer._counter.cache_clear()
 
 
+def test_one_long_piece_keeps_the_tables_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, dice = public_tokenizers.path("byte_bpe_50k.json"), random.Random(17)
+    text = "".join(dice.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP") for _ in range(300_000))
+    token_transducer._counter.cache_clear()
+    monkeypatch.setattr(token_transducer, "MAX_STATES", 3000)
+    assert token_transducer.count_texts([text], path) == [len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)]
+    assert len(token_transducer._counter(path)[0].sets) <= 3000
+    token_transducer._counter.cache_clear()
+    with pytest.raises(ValueError, match="splitter"):
+        token_transducer.count_texts(["a"], public_tokenizers.path("word_bpe_49k.json"))
+
+
 BASE = {"assign": re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), "access": re.compile(rb"AKIA[A-Z0-9]+"), "hex": re.compile(rb"[0-9a-f]+")}
 
 
