@@ -45,6 +45,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def own(name: str) -> Column:
+    """The input's column of that name, also if the name holds dots or back-ticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32 of the id's text leaves 1 when divided by 3: such rows are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False)) if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import as_strings, slabs
+from periodica.llm.common import as_strings, own, slabs
 
 ALPHA = 1.0
 #: Edges remembered; about 60 bytes each with their units.
@@ -324,5 +324,5 @@ def encode_documents(docs: DataFrame, model: str, alpha: float = ALPHA, seed: in
 
     made = ("n_pieces", "lossless", "piece_ids")
     kept = [c for c in docs.columns if c != "text" and c not in made]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), coded(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("c"))
+    rows = docs.select(F.struct(*[own(c) for c in kept]).alias("row"), coded(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("c"))
     return rows.select("row.*", F.size("c.ids").cast("long").alias("n_pieces"), F.col("c.lossless").alias("lossless"), F.col("c.ids").alias("piece_ids"))

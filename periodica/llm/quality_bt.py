@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import as_bytes, held_out, id_text, labelled_sample
+from periodica.llm.common import as_bytes, held_out, id_text, labelled_sample, own
 
 MAX_ROWS = 8000
 _GROUPS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b"\t\r", b".,;:", b"!?", b"|", b"#*$%&<>", b"\"'`", b"()[]{}", b"/\\_=+-~^@", bytes(range(128, 256))]
@@ -122,5 +122,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 def keep_accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents that score at least the threshold, with their columns."""
     model = fit(docs, labels, max_rows)
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.coalesce(F.col("text"), F.lit("")), model).alias("score"))
+    tagged = docs.select(F.struct(*[own(c) for c in docs.columns]).alias("row"), score(F.coalesce(F.col("text"), F.lit("")), model).alias("score"))
     return tagged.where(F.col("score") >= threshold).select("row.*")

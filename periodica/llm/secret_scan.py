@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import as_bytes, id_text
+from periodica.llm.common import as_bytes, id_text, own
 
 
 @dataclass(frozen=True)
@@ -367,6 +367,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
             out.append(None if null else (b"".join(parts) + data[at:]).decode())
         return pa.array(out, pa.string())
 
-    covered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), cover("text").alias("covered"))
+    covered = docs.select(F.struct(*[own(c) for c in docs.columns]).alias("row"), cover("text").alias("covered"))
     new = {"text": F.col("covered"), "n_chars": F.length("covered").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return covered.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

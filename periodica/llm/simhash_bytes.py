@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from periodica.llm.common import as_bytes, cut, id_text
+from periodica.llm.common import as_bytes, cut, id_text, own
 
 SHINGLE = 3
 SEED = 42
@@ -311,4 +311,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     kept = kept.join(one.join(gone, "v", "left_semi").select("digest"), "digest", "left_anti")
     chosen = kept.select("doc_id", F.col("digest").alias(digest))
     stay = named.withColumn(digest, of("text")).join(chosen, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
-    return stay.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return stay.select(*map(own, docs.columns)).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -349,11 +349,24 @@ def test_benchmark_blocks_short_items_and_nulls(spark):
         assert (got[1].starts, got[1].ends, got[1]["items"]) == ([0], [3], ["", "b"])
         assert (got[2].starts, got[2].ends, got[2]["items"]) == ([1], [11], ["c"])
         assert got[3]["items"] == [] and got[3].n_words == 0 and got[4]["items"] == []
-    assert sorted(r.doc_id for r in wu_manber.drop_contaminated(docs, bench).collect()) == [3, 4]
+        assert sorted(r.doc_id for r in wu_manber.drop_contaminated(docs, bench, block_bytes=size).collect()) == [3, 4]
     empty = spark.createDataFrame([], bench.schema)
     assert sorted(r.doc_id for r in wu_manber.drop_contaminated(docs, empty).collect()) == [1, 2, 3, 4]
 
 
+def test_fifty_blocks_find_what_one_finds(spark):
+    dice = random.Random(30)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(dice.choice(words) for _ in range(12))) for k in range(50)]
+    docs = [(i, " ".join([*(dice.choice(words) for _ in range(9)), *dice.choice(items)[1].split()[: dice.randint(9, 12)], *dice.choice(items)[1].split()])) for i in range(40)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, docs + docs[:3])
+    assert len(list(wu_manber.benchmark_blocks(bench, 1))) == 50
+    one, many = (sorted(wu_manber.find_overlaps(df, bench, block_bytes=n).collect(), key=repr) for n in (1 << 20, 1))
+    assert one == many and len(one) == 43
+    kept = [sorted(r.doc_id for r in wu_manber.drop_contaminated(df, bench, block_bytes=n).collect()) for n in (1 << 20, 1)]
+    assert kept[0] == kept[1]
+
+
 @pytest.mark.parametrize("query, label, least", [(queries.op1_quality_bradley_terry, "quality", 0.97), (queries.op10_toxicity_ftrl, "toxic", 0.97)])
 def test_held_out_accuracy(spark, query, label, least):
     sf = "/root/testdata/sf0.1"
@@ -394,12 +407,18 @@ def test_odd_and_empty_tables(spark, name):
 
 
 def test_filters_keep_columns_of_odd_tables(spark):
-    df = odd(spark)
+    df = odd(spark).withColumn("dot.ted", F.lit(1)).withColumn("back`tick", F.lit(2)).withColumn("_digest", F.lit(3))
     kept = simhash_bytes.drop_near_copies(df)
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7, 8]
     assert secret_scan.redact(df).columns == df.columns
     assert quality_bt.keep_accepted(df, labels(spark)).count() == df.count()
-    assert piece_sampling.encode_documents(df, public_tokenizers.path("piece_bpe_32k.model")).where("NOT lossless").isEmpty()
+    assert wu_manber.drop_contaminated(df, spark.createDataFrame([(1, "no id here")], "item_id long, text string")).count() == df.count() - 1
+    coded = piece_sampling.encode_documents(df, public_tokenizers.path("piece_bpe_32k.model"))
+    assert coded.where("NOT lossless").isEmpty() and coded.count() == df.count() and set(df.columns) - {"text"} < set(coded.columns)
+    none = df.limit(0)
+    for filtered in (simhash_bytes.drop_near_copies(none), secret_scan.redact(none), quality_bt.keep_accepted(none, labels(spark)), wu_manber.drop_contaminated(none, spark.createDataFrame([], "item_id long, text string"))):
+        assert filtered.columns == df.columns and filtered.collect() == []
+    assert piece_sampling.encode_documents(none, public_tokenizers.path("piece_bpe_32k.model")).collect() == []
 
 
 def test_pipeline_by_hand(spark, tmp_path):
