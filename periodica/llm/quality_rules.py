@@ -22,6 +22,7 @@ BUCKETS = 1 << 15
 SMOOTH = 1.0
 #: Mean log-likelihood ratio an n-gram that a kept document must reach.
 THRESHOLD = -0.12
+#: Fixed by the base rules; windows are hashed as two pairs and a word.
 WINDOW = 5
 _SPACE = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -31,14 +32,19 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def _bucket(*words: Column) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS).cast("long")).cast("int")
+def _hashes(words: Column) -> Column:
+    """A 64-bit hash of each word; pairs and windows are hashed from these."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _ngrams(words: Column) -> Column:
-    """Buckets of all words, then of all pairs of neighbours."""
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: _bucket(w, F.get(words, i + 1)))
-    return F.concat(F.transform(words, lambda w: _bucket(w)), pairs)
+def _pairs(hashes: Column) -> Column:
+    """Hashes of neighbouring words."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS).cast("long")).cast("int")
 
 
 def _without(text: Column, letters: str) -> Column:
@@ -46,16 +52,18 @@ def _without(text: Column, letters: str) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """doc_id, hashes (of words), pairs (of neighbours), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.col("text")
     worded = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_SPACE)) != "")
-    windows = F.when(
-        F.col("n_words") >= WINDOW,
-        F.transform(F.slice("words", 1, F.greatest(F.col("n_words").cast("int") - WINDOW + 1, F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + k) for k in range(1, WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    # A window of five words is two pairs and a word.
+    windows = F.transform(F.slice("pairs", 1, F.greatest(F.size("pairs") - WINDOW + 2, F.lit(0))), lambda p, i: F.xxhash64(p, F.get(F.col("pairs"), i + 2), F.get(F.col("hashes"), i + 4)))
     counted = (
         docs.select("doc_id", "text", _words(text).alias("words"))
-        .select("doc_id", "words", F.size("words").cast("long").alias("n_words"), _without(text, _SPACE).cast("long").alias("word_chars"), (F.length(text) - _without(text, _SYMBOLS)).cast("long").alias("n_symbols"), worded.alias("lines"))
+        .select(
+            "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+            (F.length(text) - _without(text, _SYMBOLS)).cast("long").alias("n_symbols"), worded.alias("lines"), _hashes(F.col("words")).alias("hashes"),
+        )
+        .select("*", _pairs(F.col("hashes")).alias("pairs"))
         .select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("windows"))
     )
     # Only texts with an equal pair of windows sort them; neighbours in the sorted list show which repeat.
@@ -68,7 +76,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         lambda s, i: F.struct((s.n + i + WINDOW - F.greatest(s.end, i)).alias("n"), (i + WINDOW).alias("end")),
         lambda s: s.n,
     )
-    kept = ["doc_id", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    kept = ["doc_id", "hashes", "pairs", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     counted = counted.select(*kept, ordered.alias("ordered")).select(*kept, again.alias("again"))
     counted = counted.select(*kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     return counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -78,7 +86,8 @@ def ratio_weights(docs: DataFrame, labels: DataFrame) -> str:
     """log p_trusted - log p_raw of each bucket in order, as one line of numbers."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
     marked = id_text(docs).join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
-    grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), _words(F.col("text")).alias("words")).select("good", F.explode(_ngrams(F.col("words"))).alias("bucket"))
+    hashed = marked.select(F.coalesce("good", F.lit(0)).alias("good"), _hashes(_words(F.col("text"))).alias("hashes"))
+    grams = hashed.select("good", F.explode(F.concat("hashes", _pairs(F.col("hashes")))).alias("gram")).select("good", _bucket(F.col("gram")).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")))
     whole = counts.agg((F.sum("raw") + SMOOTH * BUCKETS).alias("raw"), F.sum("good").alias("good")).first()
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
@@ -94,7 +103,7 @@ def ratio_weights(docs: DataFrame, labels: DataFrame) -> str:
 def score_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, score, kept."""
     weights = F.split(F.lit(ratio_weights(docs, labels)), ";").cast("array<double>")
-    scored = base_counts(id_text(docs)).withColumn("grams", _ngrams(F.col("words")))
-    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(weights, b))
-    scored = scored.withColumn("score", F.round(F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0), 6))
+    total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda s, h: s + F.get(weights, _bucket(h)))
+    n = F.size("hashes") + F.size("pairs")
+    scored = base_counts(id_text(docs)).withColumn("score", F.round(F.when(n > 0, (total("hashes") + total("pairs")) / n).otherwise(0.0), 6))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
