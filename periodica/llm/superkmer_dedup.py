@@ -9,8 +9,9 @@ returned as word ranges of their documents; a last join by document removes them
 
 Windows of hot minimisers (passages that a large part of all documents share) travel one by one under a 128-bit
 digest: digests are counted with map-side combination, so no task gathers them, and those counted twice or more
-are joined back. Very hot minimisers are found from counts over a sixteenth of the rows and never enter a bucket;
-there are at most 1 / HOT_SHARE of them. Any other minimiser whose super-k-mers outgrow a run of the bucket is
+are joined back; on this route two windows are held to be equal by their digests, not by comparing words. Hot minimisers
+are found from counts over a sixteenth of the rows, by a share and by an absolute number of super-k-mers that one task
+is to sort, and never enter a bucket. Any other minimiser whose super-k-mers outgrow a run of the bucket is
 passed on to the digests as it is read, so a run never holds more than its bound. Both choose the route of a
 window, never the result: a minimiser's windows all go one way.
 
@@ -18,8 +19,9 @@ Packed strings are zstd-compressed against a dictionary of sampled text, and who
 the last join, which halves what is shuffled.
 
 Edge cases: null and empty texts and texts shorter than a window lose nothing; rows with equal id and text are
-each other's copies, so whole windows of both go; rows with equal ids but different texts are told apart by a
-hash of the text.
+each other's copies, so whole windows of both go, and their common word ranges are gathered once; rows with equal ids
+but different texts are told apart by a hash of the text. An empty table gives no rows; a very long text is cut into
+super-k-mers like any other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ from periodica.llm.common import as_bytes, cut, id_text
 
 WINDOW = 35
 MINI = 4
+#: A minimiser is hot if it has more than this share of all super-k-mers, or more of them than one task is to sort.
 HOT_SHARE = 1 / 256
+HOT_ROWS = 1 << 19
 HOT_LEAST = 96
+SAMPLED = 16
 #: Bytes of packed words, unpacked, that a run of a bucket holds.
 RUN_BYTES = 4 << 20
 MAX_WORDS = 300_000
@@ -260,20 +265,22 @@ def count_buckets(kmers: DataFrame, window: int, dictionary: bytes, run_bytes: i
 
 
 def hot_minimisers(docs: DataFrame, window: int) -> frozenset[int]:
-    """Minimisers of more than HOT_SHARE of the super-k-mers in a sixteenth of the rows; 1 / HOT_SHARE at most."""
+    """Minimisers of more than HOT_SHARE, or of HOT_ROWS, of the super-k-mers, as counted in a sixteenth of the rows.
+
+    There are 1 / HOT_SHARE and one for each HOT_ROWS super-k-mers at most, which bounds what is collected: about
+    one number for each 100 MB of packed words.
+    """
 
     def minis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"mini": [m for text in as_bytes(batch.column(1)) for m, *_ in super_kmers(text.split(), hashes, window)]}, schema=pa.schema([("mini", pa.int64())]))
 
-    counts = docs.sample(1 / 16, seed=11).mapInArrow(minis, "mini long").groupBy("mini").count()
-    # No more than 1 / HOT_SHARE rows can pass the second condition, so what is collected is bounded.
-    total = F.sum("count").alias("total")
-    often = counts.where(F.col("count") >= HOT_LEAST)
-    rows = often.orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).collect()
-    everything = counts.agg(total).first().total or 0
-    return frozenset(r["mini"] for r in rows if r["count"] > everything * HOT_SHARE)
+    counts = docs.sample(1 / SAMPLED, seed=11).mapInArrow(minis, "mini long").groupBy("mini").count()
+    counts = cut(counts)
+    total = counts.agg(F.sum("count").alias("total")).first().total or 0
+    least = max(HOT_LEAST, min(total * HOT_SHARE, HOT_ROWS / SAMPLED))
+    return frozenset(r["mini"] for r in counts.where(F.col("count") > least).select("mini").collect())
 
 
 def shared_dictionary(docs: DataFrame, size: int = 48 << 10) -> bytes:
@@ -290,7 +297,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     single = found.where("digest IS NOT NULL")
     if hot:
         single = single.unionByName(cut(hot_windows(texts, window, hot)).withColumn("stop", F.col("start") + window))
-    twice = single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    # Written first, so that the join is dealt by digest on both sides and Spark can split a digest of many rows.
+    twice = cut(single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     place = ["doc_id", "text_key", "start", "stop"]
     return found.where("digest IS NULL").select(*place).unionByName(single.join(twice, "digest").select(*place))
 
@@ -300,7 +308,7 @@ KEPT = "struct<n_words:long,n_removed:long,kept:string>"
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    spans = find_repeats(docs, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = find_repeats(docs, window).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # repeated rows find the same ranges
     arrow = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     @F.arrow_udf("struct<text_key:int,packed:binary>")

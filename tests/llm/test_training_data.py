@@ -238,6 +238,26 @@ def test_repeats_inside_one_text_and_by_the_hot_route(spark, monkeypatch):
         assert got == removed_by_hand(rows, 35)
 
 
+def test_ten_thousand_repeated_rows(spark):
+    text = " ".join(f"r{k}" for k in range(60))
+    rows = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = superkmer_dedup.remove_repeats(rows).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    assert [tuple(r) for r in got] == [(7, 60, 60, "", 10_000)]
+
+
+def test_hot_minimisers_by_share_and_by_rows(spark, monkeypatch):
+    dice = random.Random(14)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, " ".join([f"a{dice.randint(0, 10**9)}" for _ in range(40)] + ([passage] if i % 4 == 0 else []))) for i in range(4000)]
+    df = frame(spark, rows).repartition(4)
+    monkeypatch.setattr(superkmer_dedup, "HOT_LEAST", 20)
+    by_share = superkmer_dedup.hot_minimisers(df, 35)
+    monkeypatch.setattr(superkmer_dedup, "HOT_SHARE", 1)
+    assert by_share and not superkmer_dedup.hot_minimisers(df, 35)
+    monkeypatch.setattr(superkmer_dedup, "HOT_ROWS", 320)
+    assert superkmer_dedup.hot_minimisers(df, 35) == by_share
+
+
 def test_hash_collisions_are_settled_by_words(monkeypatch):
     rows = [[b"a", b"b", b"c"], [b"a", b"b", b"d"], [b"x", b"b", b"c"], [b"a", b"b", b"c"]]
     monkeypatch.setattr(superkmer_dedup, "_ODD", np.uint64(0))  # every window gets one hash
