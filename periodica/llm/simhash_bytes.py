@@ -62,7 +62,7 @@ MAX_BROADCAST = 100_000
 # Near copies: words in a shingle, bytes of a fingerprint, of a group and of an entry, and bytes that a pair must share.
 COPY_SHINGLE = 5
 COPY_BYTES, COPY_GROUP, COPY_WIDTH = 60, 6, 3
-LEAST = 6
+LEAST = 8
 #: A copy has nine common shingles for every four of both sets together: similarity 0.8.
 COMMON, WHOLE = 9, 4
 LEADERS = 4
@@ -247,13 +247,21 @@ def _met(ranked: DataFrame, leaders: int, *by: str) -> DataFrame:
 def _copies(met: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(v): each b of a pair whose fingerprints share LEAST positional bytes and whose shingle sets are similar."""
     equal = F.size(F.filter(F.zip_with("fa", "fb", lambda x, y: x == y), lambda same: same))
-    near = cut(met.where("tally > 0").join(prints.toDF("a", "fa"), "a").join(prints.toDF("b", "fb"), "b").where(equal >= LEAST).select("a", "b"))
+    near = cut(met.join(prints.toDF("a", "fa"), "a").join(prints.toDF("b", "fb"), "b").where(equal >= LEAST).select("a", "b"))
     sets = cut(sets_of(near.select(F.col("a").alias("v")).union(near.select("b")).distinct()))
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     similar = COMMON * F.size(F.array_intersect("sa", "sb")) >= WHOLE * (F.size("sa") + F.size("sb"))
     return both.where(similar).select(F.col("b").alias("v")).distinct()
 
 
+def _best_first(met: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(v): as _copies, but a text is compared with other leaders only if it is no copy of the one it meets most often."""
+    ranked = cut(met.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("tally"), "a"))))
+    found = cut(_copies(ranked.where("place = 1").select("a", "b"), prints, sets_of))
+    rest = ranked.where("place > 1").select("a", "b").join(found.toDF("b"), "b", "left_anti")
+    return found.union(_copies(rest, prints, sets_of))
+
+
 def _posted(prints: DataFrame) -> DataFrame:
     return prints.select("v", F.explode(_entry_column(F.col("fp"))).alias("entry"))
 
@@ -274,12 +282,12 @@ def near_copies(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
     every, hot = prints, _hot_entries(prints)
     if not hot.isEmpty():
         salted = _posted(prints).join(F.broadcast(hot), "entry", "left_semi").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).withColumn("n", F.lit(1))
-        gone = cut(_copies(_met(_ranked(salted, "entry", "salt"), 1, "entry", "salt"), prints, sets_of))
+        gone = cut(_best_first(_met(_ranked(salted, "entry", "salt"), 1, "entry", "salt"), prints, sets_of))
         every = prints.join(gone, "v", "left_anti")
     left, leaders = cut(_shared(_posted(every))), 1
     while not left.isEmpty():
         ranked = cut(_ranked(left, "entry"))
-        found = cut(_copies(_met(ranked, leaders, "entry"), prints, sets_of))
+        found = cut((_best_first if leaders == 1 else _copies)(_met(ranked, leaders, "entry"), prints, sets_of))
         gone = gone.union(found)
         rest = ranked.where(F.col("rank") > leaders).select("v", "entry").join(found, "v", "left_anti")
         left = cut(_shared(rest))
