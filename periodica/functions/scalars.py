@@ -74,14 +74,15 @@ def closing_value(edge: Column, locked: Column, close: Column) -> Column:
 
 
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    # Fixed value: the earth's radius in miles.
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 3958.7613 * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
+    return 2 * 3958.8 * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
 def wind_parts(speed: Column, direction: Column, bearing: Column) -> tuple[Column, Column]:
-    """Components along and across a field's bearing, in degrees."""
-    angle = F.radians(direction - bearing)
-    return speed * F.cos(angle), speed * F.sin(angle)
+    """Sizes of the components along and across a field's bearing, in degrees; below 8 mph direction is noise and both are null."""
+    angle, steady = F.radians(direction - bearing), speed >= 8
+    return F.when(steady, F.abs(speed * F.cos(angle))), F.when(steady, F.abs(speed * F.sin(angle)))
 
 
 def zone_shift(hours: Column) -> Column:
@@ -94,15 +95,17 @@ def lead_hours(early: Column, late: Column) -> Column:
 
 
 def in_lambert_domain(lat: Column, lon: Column, lat0: float, lon0: float, half_width: float, half_height: float) -> Column:
-    """Whether a point lies in a box, in kilometres, of a Lambert conformal grid with one standard parallel."""
+    """Whether a point lies in a box, in kilometres, of a Lambert conformal grid with one standard parallel; never south of the equator."""
     import math
 
+    radius = 6370.0  # fixed value: the sphere of the grid, in kilometres
     n = math.sin(math.radians(lat0))
     f = math.cos(math.radians(lat0)) * math.tan(math.pi / 4 + math.radians(lat0) / 2) ** n / n
-    rho = 6371.229 * f / F.pow(F.tan(math.pi / 4 + F.radians(lat) / 2), n)
-    rho0 = 6371.229 * f / math.tan(math.pi / 4 + math.radians(lat0) / 2) ** n
+    rho = radius * f / F.pow(F.tan(math.pi / 4 + F.radians(lat) / 2), n)
+    rho0 = radius * f / math.tan(math.pi / 4 + math.radians(lat0) / 2) ** n
     theta = n * F.radians(zone_like(lon - lon0))
-    return (F.abs(rho * F.sin(theta)) <= half_width) & (F.abs(rho0 - rho * F.cos(theta)) <= half_height)
+    inside = (F.abs(rho * F.sin(theta)) <= half_width) & (F.abs(rho0 - rho * F.cos(theta)) <= half_height)
+    return F.when(lat <= 0, F.lit(False)).otherwise(inside)
 
 
 def zone_like(degrees: Column) -> Column:
@@ -122,6 +125,30 @@ def coin_tail(wins: Column, n: Column) -> Column:
     return F.when(wins <= n, F.aggregate(F.sequence(wins.cast("int"), n.cast("int")), F.lit(0.0), lambda s, k: s + term(k))).otherwise(0.0)
 
 
+def against_coin(wins: Column, n: Column) -> Column:
+    """How many binomial standard errors a share of wins lies above one half; null without trials."""
+    return F.when(n > 0, (wins / n - 0.5) / F.sqrt(0.25 / n))
+
+
+def binomial_tail(wins: Column, n: Column, p: float) -> Column:
+    """P(at least `wins` successes in n trials of chance p), summed in log space."""
+    import math
+
+    logs = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.when(i <= m, F.log(i.cast("double"))).otherwise(0.0))
+    term = lambda k: F.exp(logs(n) - logs(k) - logs(n - k) + k * math.log(p) + (n - k) * math.log(1 - p))
+    return F.when(wins <= n, F.aggregate(F.sequence(wins.cast("int"), n.cast("int")), F.lit(0.0), lambda s, k: s + term(k))).otherwise(0.0)
+
+
+def market_line(home_positive: Column) -> Column:
+    """A home-positive line in market convention, where the favoured side has the negative one."""
+    return -home_positive
+
+
+def scaled_size(size: Column, total: Column, part: Column) -> Column:
+    """The size of part of a table's rows, in megabytes, if all rows are alike; null for an empty table."""
+    return F.when(total > 0, size / total * part / 1e6)
+
+
 def span_years(label: Column) -> Column:
     """"2023-2025, 2027" as an array of years."""
     parts = F.filter(F.split(label, r",\s*"), lambda x: x != "")

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from periodica.operators.upsert import null_safe
+
 
 class Truncated(ValueError):
     """A read met its cap: what it returned isn't whole."""
 
 
 def integral_key(rows: DataFrame, key: str) -> DataFrame:
-    """Casts a key to bigint if every value is a whole number; raises otherwise."""
-    broken = rows.agg(F.count_if(F.col(key) != F.floor(key)).alias("n")).first().n
-    if broken:
-        raise ValueError(f"{broken} values of {key} are fractional")
-    return rows.withColumn(key, F.col(key).cast("long"))
+    """Casts a key to bigint; a fractional value raises when the rows are read, in the same pass. Null stays null."""
+    whole_number = F.col(key).cast("long")
+    broken = F.raise_error(F.concat(F.lit(f"{key} is fractional: "), F.col(key).cast("string"))).cast("long")
+    return rows.withColumn(key, F.when(F.col(key) == F.floor(key), whole_number).when(F.col(key).isNotNull(), broken))
 
 
 def whole(rows: DataFrame, cap: int) -> DataFrame:
@@ -52,9 +53,10 @@ def oriented_third(pct: Column, higher_is_better: Column) -> Column:
     return F.when(pct.isNull(), F.lit(None).cast("string")).when(good >= 67, "better").when(good < 33, "worse").otherwise("middle")
 
 
-def centred(rows: DataFrame, keys: list[str], value: str) -> Column:
-    """The value less its group's mean; nulls count for nothing."""
-    return F.col(value) - F.avg(value).over(Window.partitionBy(*keys))
+def centred(rows: DataFrame, keys: list[str], value: str, name: str = "centred") -> DataFrame:
+    """The rows with the value less its group's mean; nulls count for nothing. Means are grouped and joined back, so no task gathers a group."""
+    means = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    return null_safe(rows, means, keys, "left").withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def recommended(rows: DataFrame, parent: DataFrame) -> DataFrame:

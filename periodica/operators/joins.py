@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodica.operators.upsert import null_safe
+
 
 def left_with_flag(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """A left join that says whether it matched."""
@@ -74,8 +76,6 @@ def next_candidate(rows: DataFrame, slot: list[str], rank: str, member: str, fla
 
 def reallocate(rows: DataFrame, cohort: list[str], share: str, flagged: Column) -> DataFrame:
     """Flagged shares spread over the other members in proportion to their own; a cohort without others loses them."""
-    w = Window.partitionBy(*cohort)
-    lost = F.sum(F.when(flagged, F.col(share)).otherwise(0)).over(w)
-    open_ = F.sum(F.when(flagged, 0).otherwise(F.col(share))).over(w)
-    gain = F.when(~flagged & (open_ > 0), lost * F.col(share) / open_).otherwise(0.0)
-    return rows.withColumn("at_risk", F.when(flagged, F.col(share)).otherwise(0)).withColumn("gain", gain)
+    sums = rows.groupBy(*cohort).agg(F.sum(F.when(flagged, F.col(share)).otherwise(0)).alias("_lost"), F.sum(F.when(flagged, 0).otherwise(F.col(share))).alias("_open"))
+    gain = F.when(~flagged & (F.col("_open") > 0), F.col("_lost") * F.col(share) / F.col("_open")).otherwise(0.0)
+    return null_safe(rows, sums, cohort, "left").withColumn("at_risk", F.when(flagged, F.col(share)).otherwise(0)).withColumn("gain", gain).drop("_lost", "_open")

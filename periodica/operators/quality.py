@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from periodica.operators.upsert import null_safe
 
 
 class MissingColumns(ValueError):
@@ -39,16 +42,20 @@ def freshness(ledger: DataFrame, tiers: DataFrame, agent: str, at: str, now: Col
 
 def alert_diff(before: DataFrame, now: DataFrame, key: str, text: str) -> DataFrame:
     """new, changed, unchanged or cleared alerts."""
-    j = before.select(key, F.col(text).alias("old")).join(now.select(key, F.col(text).alias("new")), key, "full")
-    return j.select(key, F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "cleared").when(F.col("old") != F.col("new"), "changed").otherwise("unchanged").alias("state"))
+    j = null_safe(before.select(key, F.struct(text).alias("old")), now.select(key, F.struct(text).alias("new")), [key], "full")
+    return j.select(key, F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "cleared").when(~F.col("old").eqNullSafe(F.col("new")), "changed").otherwise("unchanged").alias("state"))
 
 
 def snapshot_diff(before: DataFrame, now: DataFrame, pk: list[str], columns: list[str]) -> DataFrame:
-    """Per column: rows that differ, and quantiles of how far."""
-    j = before.select(*pk, *[F.col(c).alias(f"a_{c}") for c in columns]).join(now.select(*pk, *[F.col(c).alias(f"b_{c}") for c in columns]), pk)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"b_{c}") - F.col(f"a_{c}")).cast("double").alias("by")) for c in columns])
-    tall = j.select(F.explode(rows).alias("r")).select("r.*").where("by <> 0")
-    return tall.groupBy("column").agg(F.count("*").alias("changed"), F.round(F.median(F.abs("by")), 6).alias("median_by"), F.round(F.max(F.abs("by")), 6).alias("most"))
+    """Per column: rows that differ, those that became null or known, and quantiles of how far numbers moved. Texts have no distance."""
+    j = null_safe(before.select(*pk, *[F.col(c).alias(f"a_{c}") for c in columns]), now.select(*pk, *[F.col(c).alias(f"b_{c}") for c in columns]), pk, "inner")
+    by = lambda c: F.try_subtract(F.col(f"b_{c}"), F.col(f"a_{c}")).cast("double") if isinstance(before.schema[c].dataType, NumericType) else F.lit(None).cast("double")
+    one = lambda c: F.struct(F.lit(c).alias("column"), by(c).alias("by"), F.col(f"a_{c}").isNull().alias("was_null"), F.col(f"b_{c}").isNull().alias("is_null"), F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")).alias("same"))
+    tall = j.select(F.explode(F.array(*map(one, columns))).alias("r")).select("r.*").where("NOT same")
+    return tall.groupBy("column").agg(
+        F.count("*").alias("changed"), F.count_if("is_null").alias("to_null"), F.count_if("was_null").alias("from_null"),
+        F.round(F.median(F.abs("by")), 6).alias("median_by"), F.round(F.max(F.abs("by")), 6).alias("most"),
+    )
 
 
 def vocabulary(rows: DataFrame, code: str, sets: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,19 @@ UNHASHED = ("as_of", "inputs_version", "updated_at", "content_hash")
 
 
 def row_text(columns: list[str]) -> Column:
-    """`name=value` of the columns in name order; a null is marked, so it differs from an empty text."""
-    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("∅"))) for c in sorted(columns) if c not in UNHASHED])
+    """`name=length:value` of the columns in name order; a null has no length. No value can pass for another column's, or for a null."""
+    value = lambda c: F.col(c).cast("string")
+    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("∅"))) for c in sorted(columns) if c not in UNHASHED])
+
+
+def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys of which any may be null: null meets null. Other columns must have different names."""
+    right = b.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    j = a.join(right, same, how)
+    if how in ("left_semi", "left_anti"):
+        return j
+    return j.withColumns({k: F.coalesce(k, f"_right_{k}") for k in keys}).drop(*[f"_right_{k}" for k in keys])
 
 
 def content_hash(columns: list[str]) -> Column:
@@ -35,7 +48,7 @@ def classify(current: DataFrame, stage: DataFrame, pk: list[str]) -> DataFrame:
     a = current.select(*pk, content_hash([c for c in current.columns if c not in pk]).alias("old"))
     b = stage.select(*pk, content_hash([c for c in stage.columns if c not in pk]).alias("new"))
     action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "keep").when(F.col("old") == F.col("new"), "same").otherwise("update")
-    return a.join(b, pk, "full").select(*pk, action.alias("action"))
+    return null_safe(a, b, pk, "full").select(*pk, action.alias("action"))
 
 
 def merged(current: DataFrame, stage: DataFrame, pk: list[str], keep_first: tuple[str, ...] = ()) -> DataFrame:
@@ -43,7 +56,7 @@ def merged(current: DataFrame, stage: DataFrame, pk: list[str], keep_first: tupl
     others = [c for c in current.columns if c not in pk]
     a = current.select(*pk, F.struct(*others).alias("a"), content_hash(others).alias("old"))
     b = stage.select(*pk, F.struct(*others).alias("b"), content_hash(others).alias("new"))
-    j = a.join(b, pk, "full")
+    j = null_safe(a, b, pk, "full")
     take = F.col("b").isNotNull() & ~F.coalesce(F.col("old") == F.col("new"), F.lit(False))
     pick = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")) if c in keep_first else F.when(take, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
     return j.select(*pk, *[pick(c).alias(c) for c in others])
@@ -52,7 +65,7 @@ def merged(current: DataFrame, stage: DataFrame, pk: list[str], keep_first: tupl
 def without_stale(current: DataFrame, stage: DataFrame, pk: list[str], scope: Column) -> DataFrame:
     """The rows left when those in scope that the run didn't make again are deleted."""
     outside = current.where(~F.coalesce(scope, F.lit(False)))
-    return outside.unionByName(current.where(scope).join(stage.select(*pk), pk, "left_semi"))
+    return outside.unionByName(null_safe(current.where(scope), stage.select(*pk), pk, "left_semi"))
 
 
 def mirrored(current: DataFrame, feed: DataFrame, status: DataFrame, source: str) -> DataFrame:
@@ -63,13 +76,13 @@ def mirrored(current: DataFrame, feed: DataFrame, status: DataFrame, source: str
 
 def insert_once(ledger: DataFrame, rows: DataFrame, pk: list[str]) -> DataFrame:
     """The rows that the ledger doesn't hold yet; what it holds is never changed."""
-    return rows.join(ledger.select(*pk), pk, "left_anti")
+    return null_safe(rows, ledger.select(*pk), pk, "left_anti")
 
 
 def table_digest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Order-free digest of each part: rows, sum and exclusive or of their hashes (as 60-bit parts of an md5)."""
+    """Order-free digest of each part: rows, sum and exclusive or of their hashes (the first 48 bits of an md5); the sum is given as text, as no integer holds it for any number of rows."""
     h = F.conv(F.substring(F.md5(row_text(columns).cast("binary")), 1, 12), 16, 10).cast("long")
-    return rows.select(*keys, h.alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("h").alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
+    return rows.select(*keys, h.alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
 
 
 def changed_parts(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,7 +90,7 @@ def changed_parts(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFra
     a = before.select(*keys, F.struct("n", "hash_sum", "hash_xor").alias("a"))
     b = now.select(*keys, F.struct("n", "hash_sum", "hash_xor").alias("b"))
     how = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").when(F.col("a") != F.col("b"), "changed")
-    return a.join(b, keys, "full").select(*keys, how.alias("change")).where("change IS NOT NULL")
+    return null_safe(a, b, keys, "full").select(*keys, how.alias("change")).where("change IS NOT NULL")
 
 
 def retention_plan(rows: DataFrame, name: str, age: Column, horizon: Column) -> DataFrame:
@@ -89,7 +102,7 @@ def retention_plan(rows: DataFrame, name: str, age: Column, horizon: Column) ->
 def fill_nulls(rows: DataFrame, candidates: DataFrame, pk: list[str], column: str) -> DataFrame:
     """Sets a value only where none is stored; `filled` marks those rows."""
     c = candidates.select(*pk, F.col(column).alias("_candidate"))
-    j = rows.join(c, pk, "left").withColumn("filled", F.col(column).isNull() & F.col("_candidate").isNotNull())
+    j = null_safe(rows, c, pk, "left").withColumn("filled", F.col(column).isNull() & F.col("_candidate").isNotNull())
     return j.withColumn(column, F.coalesce(column, "_candidate")).drop("_candidate")
 
 

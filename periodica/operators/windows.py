@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodica.operators.upsert import null_safe
+
 
 def _past(keys: list[str], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -43,13 +45,13 @@ def delta(rows: DataFrame, keys: list[str], period: str, value: str) -> DataFram
 
 def midrank(rows: DataFrame, group: list[str], value: str, name: str = "pct") -> DataFrame:
     """round(100 * (below + half the equal) / population), half up; a null value has no percentile and isn't counted."""
-    some = Window.partitionBy(*group, F.col(value).isNull())
-    below = F.rank().over(some.orderBy(value)) - 1
-    equal = F.count("*").over(Window.partitionBy(*group, value))
+    # Ranks are formed over the distinct values of a group, counted with map-side combination, and joined back.
+    values = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_equal"))
+    below = F.sum("_equal").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_equal")
+    pop = F.sum("_equal").over(Window.partitionBy(*group))
     # In whole numbers, so that halves round alike everywhere.
-    twice = 2 * below + equal
-    pop = F.count("*").over(some)
-    return rows.withColumn(name, F.when(F.col(value).isNotNull(), F.floor((100 * twice + pop) / (2 * pop)).cast("long")))
+    pct = F.floor((100 * (2 * below + F.col("_equal")) + pop) / (2 * pop)).cast("long")
+    return null_safe(rows, values.select(*group, value, pct.alias(name)), [*group, value], "left").select(*rows.columns, name)
 
 
 def as_of_percentile(rows: DataFrame, entity: str, cohort: str, period: str, value: str, eligible: Column, last_period: int) -> DataFrame:
@@ -62,8 +64,14 @@ def as_of_percentile(rows: DataFrame, entity: str, cohort: str, period: str, val
     until = F.coalesce(F.lead(period).over(w) - 1, F.lit(last_period))
     spread = rows.withColumn("eligible", eligible & F.col(value).isNotNull()).withColumn("until", until).where(F.col("until") >= F.col(period))
     spread = spread.withColumn("at", F.explode(F.sequence(period, "until"))).where("eligible")
-    ranked = midrank(spread, ["at", cohort], value).withColumn("ranked_here", F.count("*").over(Window.partitionBy("at", cohort)))
-    return ranked.where(F.col("at") == F.col(period)).select(entity, cohort, period, value, "pct", "ranked_here")
+    # The population's distinct values are counted over the spread rows; only rows of their own period are joined to them.
+    counts = spread.groupBy("at", cohort, value).agg(F.count("*").alias("_equal"))
+    w = Window.partitionBy("at", cohort)
+    below = F.sum("_equal").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_equal")
+    pop = F.sum("_equal").over(w)
+    ranked = counts.select(F.col("at").alias(period), cohort, value, F.floor((100 * (2 * below + F.col("_equal")) + pop) / (2 * pop)).cast("long").alias("pct"), pop.alias("ranked_here"))
+    own = spread.where(F.col("at") == F.col(period)).select(entity, cohort, period, value)
+    return null_safe(own, ranked, [cohort, period, value], "inner").select(entity, cohort, period, value, "pct", "ranked_here")
 
 
 def next_pointer(rows: DataFrame, keys: list[str], period: str) -> DataFrame:

@@ -28,34 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Order lines as events: entity is the supplier's nation, counterparty the customer's, epoch a year, period a month.
 
-    Amounts are whole cents, so sums don't depend on their order.
+    Only the named columns (all without names), and only the tables that they need: a line's order, customer and
+    supplier exist, so leaving one out loses no line. Amounts are whole cents, so sums don't depend on their order.
     """
-    li, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    return (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
-        .join(supplier, li.l_suppkey == supplier.s_suppkey)
-        .select(
-            F.col("l_orderkey").alias("segment"),
-            F.col("l_linenumber").alias("step"),
-            F.col("s_nationkey").alias("entity"),
-            F.col("c_nationkey").alias("counterparty"),
-            F.year("o_orderdate").alias("epoch"),
-            F.month("o_orderdate").alias("period"),
-            F.col("l_returnflag").alias("kind"),
-            F.col("l_linestatus").alias("status"),
-            F.col("l_quantity").cast("long").alias("qty"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
-            F.round(F.col("l_discount") * 100).cast("int").alias("disc"),
-            F.col("l_suppkey").alias("supp"),
-            F.col("l_partkey").alias("part"),
-            F.col("o_custkey").alias("cust"),
-        )
-    )
+    of_line = {
+        "segment": F.col("l_orderkey"), "step": F.col("l_linenumber"), "kind": F.col("l_returnflag"), "status": F.col("l_linestatus"), "qty": F.col("l_quantity").cast("long"),
+        "cents": F.round(F.col("l_extendedprice") * 100).cast("long"), "disc": F.round(F.col("l_discount") * 100).cast("int"), "supp": F.col("l_suppkey"), "part": F.col("l_partkey"),
+    }
+    of_order = {"epoch": F.year("o_orderdate"), "period": F.month("o_orderdate"), "cust": F.col("o_custkey")}
+    of_customer, of_supplier = {"counterparty": F.col("c_nationkey")}, {"entity": F.col("s_nationkey")}
+    every = of_line | of_order | of_customer | of_supplier
+    wanted = columns or tuple(every)
+    rows = table(spark, sf_dir, "lineitem")
+    if {*wanted} & {*of_order, *of_customer}:
+        rows = rows.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if {*wanted} & {*of_customer}:
+        rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    if {*wanted} & {*of_supplier}:
+        rows = rows.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(*[every[c].alias(c) for c in wanted])
 
 
 LINES = """lines AS (

@@ -190,14 +190,14 @@ def local_to_utc(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "op_X5_geometry",
     """WITH p AS (SELECT c_custkey, (c_custkey * 37 % 120 - 60)::DOUBLE AS la, (c_custkey * 91 % 340 - 170)::DOUBLE AS lo, (c_nationkey * 5 - 60)::DOUBLE AS lb, (c_nationkey * 13 - 160)::DOUBLE AS lp FROM customer)
-    SELECT c_custkey, round(2 * 3958.7613::DOUBLE * asin(least(sqrt(pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(lp - lo) / 2), 2)), 1.0)), 4) AS miles,
-      round(12 * cos(radians(lo - lp)), 6) AS along, round(12 * sin(radians(lo - lp)), 6) AS across_, CAST(((lo::BIGINT % 24 + 24 + 12) % 24) - 12 AS BIGINT) AS shift FROM p""",
+    SELECT c_custkey, round(2 * 3958.8::DOUBLE * asin(least(sqrt(pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(lp - lo) / 2), 2)), 1.0)), 4) AS miles,
+      CASE WHEN c_custkey % 20 >= 8 THEN round(abs((c_custkey % 20) * cos(radians(lo - lp))), 6) END AS along, CASE WHEN c_custkey % 20 >= 8 THEN round(abs((c_custkey % 20) * sin(radians(lo - lp))), 6) END AS across_, CAST(((lo::BIGINT % 24 + 24 + 12) % 24) - 12 AS BIGINT) AS shift FROM p""",
 )
 def geometry(spark: SparkSession, d: str) -> DataFrame:
     """Great-circle miles, wind components, wrapped zone shift."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     p = table(spark, d, "customer").select("c_custkey", (k * 37 % 120 - 60).cast("double").alias("la"), (k * 91 % 340 - 170).cast("double").alias("lo"), (n * 5 - 60).cast("double").alias("lb"), (n * 13 - 160).cast("double").alias("lp"))
-    along, across = S.wind_parts(F.lit(12), F.col("lo"), F.col("lp"))
+    along, across = S.wind_parts(k % 20, F.col("lo"), F.col("lp"))
     return p.select("c_custkey", F.round(S.haversine_miles(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")), 4).alias("miles"), F.round(along, 6).alias("along"), F.round(across, 6).alias("across_"), S.zone_shift(F.col("lo").cast("long")).alias("shift"))
 
 

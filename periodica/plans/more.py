@@ -27,7 +27,7 @@ def projection(spark: SparkSession, d: str) -> DataFrame:
 def derived_predicates(spark: SparkSession, d: str) -> DataFrame:
     """F8: flags derived from flags, and a difference to an expectation."""
     a = F.col("kind") == "A"
-    return lines(spark, d).groupBy("epoch", "entity").agg(F.count_if(a & (F.col("status") != "O")).alias("targets"), F.sum(F.when(a, F.col("cents") - F.col("qty") * 100000)).alias("over_expected"))
+    return lines(spark, d, "epoch", "entity", "kind", "status", "cents", "qty").groupBy("epoch", "entity").agg(F.count_if(a & (F.col("status") != "O")).alias("targets"), F.sum(F.when(a, F.col("cents") - F.col("qty") * 100000)).alias("over_expected"))
 
 
 @query("op_F10_integral_keys", "SELECT CAST(p_retailprice * 0 + p_partkey AS BIGINT) AS k, p_brand FROM part")
@@ -97,13 +97,13 @@ def shown_rows_all_days(spark: SparkSession, d: str) -> DataFrame:
 def group_centring(spark: SparkSession, d: str) -> DataFrame:
     """Values less their group's mean."""
     u = user_days(spark, d)
-    return u.select("user_id", "period", F.round(C.centred(u, ["cohort", "period"], "den"), 6).alias("centred"))
+    return C.centred(u, ["cohort", "period"], "den").select("user_id", "period", F.round("centred", 6).alias("centred"))
 
 
 @query("op_A17_distinct_counts", f"WITH {LINES} SELECT epoch, count(DISTINCT segment) AS segments, count(DISTINCT cust) AS customers, count(DISTINCT CASE WHEN disc > 9 THEN segment END) AS marked FROM lines GROUP BY epoch")
 def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     """Exact distinct counts, also under a condition."""
-    return lines(spark, d).groupBy("epoch").agg(F.count_distinct("segment").alias("segments"), F.count_distinct("cust").alias("customers"), F.count_distinct(F.when(F.col("disc") > 9, F.col("segment"))).alias("marked"))
+    return lines(spark, d, "epoch", "segment", "cust", "disc").groupBy("epoch").agg(F.count_distinct("segment").alias("segments"), F.count_distinct("cust").alias("customers"), F.count_distinct(F.when(F.col("disc") > 9, F.col("segment"))).alias("marked"))
 
 
 @query(
@@ -113,7 +113,7 @@ def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def mean_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The mean so far in this epoch, else the last epoch's."""
-    x = lines(spark, d)
+    x = lines(spark, d, "supp", "epoch", "period", "qty")
     g = x.where("period < 3").groupBy("supp", "epoch").agg(F.avg("qty").alias("now"))
     f = x.groupBy("supp", (F.col("epoch") + 1).alias("epoch")).agg(F.avg("qty").alias("before"))
     return f.join(g, ["supp", "epoch"], "left").select("supp", "epoch", F.round(F.coalesce("now", "before"), 6).alias("mean"))
@@ -164,13 +164,13 @@ _F = f"(cos(radians(38.5::DOUBLE)) * pow(tan(pi() / 4 + radians(38.5::DOUBLE) /
 
 @query(
     "op_X7_grid_domain",
-    f"""WITH p AS (SELECT c_custkey, (c_custkey * 7 % 50 + 10)::DOUBLE AS lat, (c_custkey * 11 % 90 - 140)::DOUBLE AS lon FROM customer), g AS (SELECT *, 6371.229 * {_F} / pow(tan(pi() / 4 + radians(lat) / 2), {_N}) AS rho, 6371.229 * {_F} / pow(tan(pi() / 4 + radians(38.5::DOUBLE) / 2), {_N}) AS rho0, {_N} * radians(lon + 97.5) AS theta FROM p)
-    SELECT c_custkey, abs(rho * sin(theta)) <= 2700 AND abs(rho0 - rho * cos(theta)) <= 1590 AS inside FROM g""",
+    f"""WITH p AS (SELECT c_custkey, (c_custkey * 7 % 50 + CASE WHEN c_custkey % 3 = 0 THEN -40 ELSE 10 END)::DOUBLE AS lat, (c_custkey * 11 % 90 - 140)::DOUBLE AS lon FROM customer), g AS (SELECT *, 6370 * {_F} / pow(tan(pi() / 4 + radians(lat) / 2), {_N}) AS rho, 6370 * {_F} / pow(tan(pi() / 4 + radians(38.5::DOUBLE) / 2), {_N}) AS rho0, {_N} * radians(lon + 97.5) AS theta FROM p)
+    SELECT c_custkey, lat > 0 AND abs(rho * sin(theta)) <= 2697 AND abs(rho0 - rho * cos(theta)) <= 1587 AS inside FROM g""",
 )
 def grid_domain(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a point lies in a Lambert grid's box."""
+    """Whether a point lies in a Lambert grid's box (fixed values: its origin and half sizes)."""
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", S.in_lambert_domain((k * 7 % 50 + 10).cast("double"), (k * 11 % 90 - 140).cast("double"), 38.5, -97.5, 2700.0, 1590.0).alias("inside"))
+    return table(spark, d, "customer").select("c_custkey", S.in_lambert_domain((k * 7 % 50 + F.when(k % 3 == 0, -40).otherwise(10)).cast("double"), (k * 11 % 90 - 140).cast("double"), 38.5, -97.5, 2697.0, 1587.0).alias("inside"))
 
 
 @query(
@@ -248,7 +248,7 @@ def variant_comparison(spark: SparkSession, d: str) -> DataFrame:
 )
 def counterfactual(spark: SparkSession, d: str) -> DataFrame:
     """M22, DQ11: history under another setting; rows out of scope must not move."""
-    x, base = lines(spark, d), F.col("kind") != "N"
+    x, base = lines(spark, d, "supp", "epoch", "kind", "entity", "cents"), F.col("kind") != "N"
     c = x.groupBy("supp", "epoch").agg(F.sum(F.when(base, F.col("cents"))).alias("stored"), F.sum(F.when(base | (F.col("entity") < 5), F.col("cents"))).alias("changed"), F.max((F.col("entity") < 5).cast("int")).alias("in_scope"))
     return c.groupBy("in_scope").agg(F.count("*").alias("n"), F.count_if(~F.col("stored").eqNullSafe(F.col("changed"))).alias("moved"))
 

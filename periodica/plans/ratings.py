@@ -18,7 +18,7 @@ ROUNDS = 3
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).groupBy("epoch", "entity", "counterparty").agg(F.sum("cents").cast("double").alias("num"), F.sum("qty").cast("double").alias("den"))
+    return lines(spark, d, "epoch", "entity", "counterparty", "cents", "qty").groupBy("epoch", "entity", "counterparty").agg(F.sum("cents").cast("double").alias("num"), F.sum("qty").cast("double").alias("den"))
 
 
 _ARMS = f"""{LINES}, p AS (SELECT epoch, entity, counterparty, sum(cents)::DOUBLE AS num, sum(qty)::DOUBLE AS den FROM lines GROUP BY ALL),
@@ -71,7 +71,7 @@ _EPOCHS = f"""{LINES}, g AS (SELECT supp, epoch, sum(cents)::DOUBLE AS num, sum(
 
 
 def _epochs(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).groupBy("supp", "epoch").agg(F.sum("cents").cast("double").alias("num"), F.sum("qty").cast("double").alias("den"))
+    return lines(spark, d, "supp", "epoch", "cents", "qty").groupBy("supp", "epoch").agg(F.sum("cents").cast("double").alias("num"), F.sum("qty").cast("double").alias("den"))
 
 
 @query(
@@ -133,7 +133,7 @@ def cohort_blend(spark: SparkSession, d: str) -> DataFrame:
 )
 def variance_components(spark: SparkSession, d: str) -> DataFrame:
     """Within and between variance, k0."""
-    x = lines(spark, d).select("kind", "supp", (F.col("cents") / F.col("qty")).alias("x"), F.col("qty").cast("double").alias("d"))
+    x = lines(spark, d, "kind", "supp", "cents", "qty").select("kind", "supp", (F.col("cents") / F.col("qty")).alias("x"), F.col("qty").cast("double").alias("d"))
     v = T.variance_components(x, ["kind"], "supp", "x", "d")
     return v.select("kind", "entities", F.round("within", 0).alias("within"), F.round("between", 0).alias("between"), F.round("k0", 1).alias("k0"))
 
@@ -142,7 +142,7 @@ _ADJ = f"""WITH {LINES}, g AS (SELECT kind, supp, epoch, sum(cents)::DOUBLE / su
 
 
 def _adjacent(spark: SparkSession, d: str) -> DataFrame:
-    return adjacent(lines(spark, d).groupBy("kind", "supp", "epoch").agg((F.sum("cents") / F.sum("qty")).alias("v")), ["kind", "supp"], "epoch", "v")
+    return adjacent(lines(spark, d, "kind", "supp", "epoch", "cents", "qty").groupBy("kind", "supp", "epoch").agg((F.sum("cents") / F.sum("qty")).alias("v")), ["kind", "supp"], "epoch", "v")
 
 
 @query(
@@ -179,7 +179,7 @@ _POISSON = "CASE WHEN u < 0.367879441 THEN 0 WHEN u < 0.735758882 THEN 1 WHEN u
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of a ratio of sums, suppliers as clusters."""
     sums = {"num": F.col("cents").cast("double"), "den": F.col("qty").cast("double")}
-    b = T.bootstrap(lines(spark, d), ["kind"], "supp", sums, F.col("num") / F.col("den"), 100)
+    b = T.bootstrap(lines(spark, d, "kind", "supp", "cents", "qty"), ["kind"], "supp", sums, F.col("num") / F.col("den"), 100)
     return b.select("kind", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
 
 
@@ -187,7 +187,7 @@ _XY = f"""{LINES}, t AS (SELECT epoch, epoch * 100 + period AS month, entity, su
 
 
 def _xy(spark: SparkSession, d: str) -> DataFrame:
-    g = lines(spark, d).groupBy("epoch", (F.col("epoch") * 100 + F.col("period")).alias("month"), "entity")
+    g = lines(spark, d, "epoch", "period", "entity", "cents", "qty").groupBy("epoch", (F.col("epoch") * 100 + F.col("period")).alias("month"), "entity")
     return g.agg((F.sum("cents") / 1e6).alias("y"), (F.sum("qty") / 100.0).alias("x"))
 
 
@@ -223,7 +223,7 @@ _EDGES = f"""{LINES}, q AS (SELECT epoch, entity, counterparty, (sum(cents) // 1
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    g = lines(spark, d).groupBy("epoch", "entity", "counterparty")
+    g = lines(spark, d, "epoch", "entity", "counterparty", "cents", "qty", "disc").groupBy("epoch", "entity", "counterparty")
     return g.agg((F.floor(F.sum("cents") / 100000) % 21 - 10).alias("edge"), (F.sum("qty") % 29 - 14).alias("margin"), (F.count("*") % 13 - 6).alias("line"), (F.sum("disc") % 9 - 4).alias("close_line"))
 
 
@@ -269,7 +269,7 @@ def edge_calibration(spark: SparkSession, d: str) -> DataFrame:
 )
 def parity_compare(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows against recomputed ones, per period."""
-    x = lines(spark, d)
+    x = lines(spark, d, "epoch", "period", "entity", "cents")
     a = x.groupBy("epoch", "period", "entity").agg(F.sum("cents").alias("a"))
     b = x.where("NOT (entity = 7 AND period = 2)").groupBy("epoch", "period", "entity").agg((F.sum("cents") + F.when(F.col("entity") == 3, 5).otherwise(0)).alias("b"))
     j = a.join(b, ["epoch", "period", "entity"], "full")
@@ -283,7 +283,7 @@ def parity_compare(spark: SparkSession, d: str) -> DataFrame:
 )
 def backfill(spark: SparkSession, d: str) -> DataFrame:
     """Every period from its own past only, as one window over each epoch's periods."""
-    g = lines(spark, d).groupBy("epoch", "period", "entity").agg(F.sum("cents").alias("num"), F.sum("qty").alias("den"))
+    g = lines(spark, d, "epoch", "period", "entity", "cents", "qty").groupBy("epoch", "period", "entity").agg(F.sum("cents").alias("num"), F.sum("qty").alias("den"))
     # An entity needs a row at every period of its epoch: its own sums, or none.
     periods = g.select("epoch", F.col("period").alias("w")).distinct()
     grid = periods.join(g.select("epoch", "entity").distinct(), "epoch")

@@ -44,7 +44,7 @@ def segment_rollup(spark: SparkSession, d: str) -> DataFrame:
 )
 def role_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Three roles of one event frame in one grouping."""
-    return R.role_rollup(lines(spark, d), {"supplier": "supp", "customer": "cust", "part": "part"}, ["epoch"], "cents")
+    return R.role_rollup(lines(spark, d, "supp", "cust", "part", "epoch", "cents"), {"supplier": "supp", "customer": "cust", "part": "part"}, ["epoch"], "cents")
 
 
 @query(
@@ -74,7 +74,7 @@ def stacked_variants(spark: SparkSession, d: str) -> DataFrame:
 )
 def pooled_rate(spark: SparkSession, d: str) -> DataFrame:
     """Ratio of sums over the league."""
-    g = lines(spark, d).groupBy("epoch", "kind").agg(F.sum("cents").alias("num"), F.sum("qty").alias("den"))
+    g = lines(spark, d, "epoch", "kind", "cents", "qty").groupBy("epoch", "kind").agg(F.sum("cents").alias("num"), F.sum("qty").alias("den"))
     return g.withColumn("rate", F.round(S.ratio(F.col("num"), F.col("den")), 6))
 
 
@@ -85,7 +85,7 @@ def pooled_rate(spark: SparkSession, d: str) -> DataFrame:
 )
 def top_customers(spark: SparkSession, d: str) -> DataFrame:
     """Five largest customers of each entity and epoch, ties by id."""
-    g = lines(spark, d).groupBy("epoch", "entity", "cust").agg(F.sum("qty").alias("volume"))
+    g = lines(spark, d, "epoch", "entity", "cust", "qty").groupBy("epoch", "entity", "cust").agg(F.sum("qty").alias("volume"))
     return R.top_k(g, ["epoch", "entity"], "volume", "cust", 5)
 
 
@@ -96,7 +96,7 @@ def top_customers(spark: SparkSession, d: str) -> DataFrame:
 )
 def modal_discount(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent value; a tie is reported, not broken."""
-    return R.modal_value(lines(spark, d), ["entity", "epoch"], "disc")
+    return R.modal_value(lines(spark, d, "entity", "epoch", "disc"), ["entity", "epoch"], "disc")
 
 
 @query(
@@ -106,7 +106,7 @@ def modal_discount(spark: SparkSession, d: str) -> DataFrame:
 )
 def error_metrics(spark: SparkSession, d: str) -> DataFrame:
     """MAE, RMSE and bias."""
-    return R.error_metrics(lines(spark, d), ["epoch"], (F.col("qty") * 100000).cast("double"), F.col("cents").cast("double"))
+    return R.error_metrics(lines(spark, d, "epoch", "qty", "cents"), ["epoch"], (F.col("qty") * 100000).cast("double"), F.col("cents").cast("double"))
 
 
 @query("op_A22_histogram", "WITH b AS (SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1) SELECT bin, n, round(n / sum(n) OVER ()::DOUBLE, 6) AS share FROM b")
@@ -156,7 +156,7 @@ def nested_maps(spark: SparkSession, d: str) -> DataFrame:
 def history_sums(spark: SparkSession, d: str) -> DataFrame:
     """Sums over three completed epochs; the count is null, not 0, without events."""
     a = F.col("kind") == "A"
-    g = lines(spark, d).where(F.col("epoch").between(1997, 1999)).groupBy("supp").agg(F.sum(F.when(a, F.col("cents"))).alias("num_a"), F.count_if(a).alias("n_a"))
+    g = lines(spark, d, "supp", "epoch", "kind", "cents").where(F.col("epoch").between(1997, 1999)).groupBy("supp").agg(F.sum(F.when(a, F.col("cents"))).alias("num_a"), F.count_if(a).alias("n_a"))
     return g.select("supp", "num_a", F.nullif("n_a", F.lit(0)).alias("n_a"), F.round(S.ratio(F.col("num_a"), F.col("n_a")), 6).alias("rate_a"))
 
 
@@ -198,7 +198,7 @@ def code_aliases(spark: SparkSession, d: str) -> DataFrame:
 def threshold_flags(spark: SparkSession, d: str) -> DataFrame:
     """a threshold that depends on the type; other types are false."""
     flag = F.coalesce(F.when(F.col("kind") == "A", F.col("qty") >= 40).when(F.col("kind") == "R", F.col("qty") >= 20), F.lit(False))
-    return lines(spark, d).groupBy("epoch", "kind").agg(F.count_if(flag).alias("explosive"), F.count("*").alias("n"))
+    return lines(spark, d, "epoch", "kind", "qty").groupBy("epoch", "kind").agg(F.count_if(flag).alias("explosive"), F.count("*").alias("n"))
 
 
 @query(

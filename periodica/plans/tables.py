@@ -24,7 +24,7 @@ def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "op_SK1_content_hash",
-    """SELECT o_orderkey, sha256('o_custkey=' || o_custkey || '|o_orderpriority=' || o_orderpriority || '|o_orderstatus=' || o_orderstatus) AS content_hash FROM orders""",
+    """SELECT o_orderkey, sha256('o_custkey=' || length(o_custkey::VARCHAR) || ':' || o_custkey || '|o_orderpriority=' || length(o_orderpriority::VARCHAR) || ':' || o_orderpriority || '|o_orderstatus=' || length(o_orderstatus::VARCHAR) || ':' || o_orderstatus) AS content_hash FROM orders""",
 )
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     """SK1: sha256 over sorted name=value pairs."""
@@ -105,8 +105,8 @@ def due_event_datasets(spark: SparkSession, d: str) -> DataFrame:
     return U.due_sources(marked(e.where("event_id % 9 <> 0")), marked(e), "source", "dataset")
 
 
-_DIGEST = """CAST(count(*) AS BIGINT) AS n, CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor"""
-_HASH = "('0x' || substr(md5('c_custkey=' || c_custkey || '|c_mktsegment=' || coalesce(c_mktsegment, '∅') || '|cents=' || cents), 1, 12))::BIGINT AS h"
+_DIGEST = """CAST(count(*) AS BIGINT) AS n, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor"""
+_HASH = "('0x' || substr(md5('c_custkey=' || length(c_custkey::VARCHAR) || ':' || c_custkey || '|c_mktsegment=' || coalesce(length(c_mktsegment::VARCHAR) || ':' || c_mktsegment, '∅') || '|cents=' || length(cents::VARCHAR) || ':' || cents), 1, 12))::BIGINT AS h"
 
 
 @query("op_SK10_table_digest", f"WITH {_VERSIONS}, x AS (SELECT c_nationkey, {_HASH} FROM new) SELECT c_nationkey, {_DIGEST} FROM x GROUP BY ALL")
@@ -172,11 +172,11 @@ def alert_diff(spark: SparkSession, d: str) -> DataFrame:
     return Q.alert_diff(old, new, "c_custkey", "cents")
 
 
-@query("op_DQ9_snapshot_diff", f"WITH {_VERSIONS}, j AS (SELECT n.cents - o.cents AS d FROM old o JOIN new n USING (c_custkey)) SELECT 'cents' AS \"column\", count(*) AS changed, round(median(abs(d)::DOUBLE), 6) AS median_by, max(abs(d))::DOUBLE AS most FROM j WHERE d <> 0")
+@query("op_DQ9_snapshot_diff", f"WITH {_VERSIONS}, j AS (SELECT n.cents - o.cents AS d, o.c_mktsegment AS a, n.c_mktsegment AS b FROM old o JOIN new n USING (c_custkey)) SELECT 'cents' AS \"column\", count(*) AS changed, 0 AS to_null, 0 AS from_null, round(median(abs(d)::DOUBLE), 6) AS median_by, max(abs(d))::DOUBLE AS most FROM j WHERE d <> 0 UNION ALL SELECT 'c_mktsegment', count(*), count(*) FILTER (WHERE b IS NULL), count(*) FILTER (WHERE a IS NULL), NULL, NULL FROM j WHERE a IS DISTINCT FROM b")
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """DQ9, DQ10, DQ11: how far columns moved between two snapshots."""
     old, new = _versions(spark, d)
-    return Q.snapshot_diff(old, new, ["c_custkey"], ["cents", "c_nationkey"])
+    return Q.snapshot_diff(old, new, ["c_custkey"], ["cents", "c_nationkey", "c_mktsegment"])
 
 
 @query("op_U5_vocabulary", f"WITH {_VERSIONS}, s AS (SELECT c_mktsegment AS code, count(*) AS n FROM new GROUP BY 1), l AS (SELECT code, count(*) AS sets FROM (VALUES ('BUILDING'), ('MACHINERY'), ('MACHINERY'), ('NOWHERE')) t(code) GROUP BY 1) SELECT coalesce(s.code, l.code) AS code, coalesce(n, 0) AS n, CASE WHEN coalesce(s.code, l.code) IS NULL THEN 'null' WHEN sets IS NULL THEN 'unlisted' WHEN n IS NULL THEN 'unused' WHEN sets > 1 THEN 'ambiguous' ELSE 'ok' END AS verdict FROM s FULL JOIN l ON s.code IS NOT DISTINCT FROM l.code")

@@ -134,7 +134,7 @@ def first_seen(spark: SparkSession, d: str) -> DataFrame:
 )
 def previous_primary(spark: SparkSession, d: str) -> DataFrame:
     """Largest customer of an epoch beside the one of the epoch before."""
-    v = lines(spark, d).groupBy("entity", "epoch", "cust").agg(F.sum("qty").alias("q"))
+    v = lines(spark, d, "entity", "epoch", "cust", "qty").groupBy("entity", "epoch", "cust").agg(F.sum("qty").alias("q"))
     p = v.groupBy("entity", "epoch").agg(F.max_by("cust", F.struct("q", -F.col("cust"))).alias("primary_cust"))
     from pyspark.sql import Window
 
@@ -225,7 +225,7 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
 )
 def adjacent_epochs(spark: SparkSession, d: str) -> DataFrame:
     """An entity's value in one epoch and the next."""
-    return J.adjacent(lines(spark, d).groupBy("supp", "epoch").agg(F.sum("qty").alias("v")), ["supp"], "epoch", "v")
+    return J.adjacent(lines(spark, d, "supp", "epoch", "qty").groupBy("supp", "epoch").agg(F.sum("qty").alias("v")), ["supp"], "epoch", "v")
 
 
 _SIGNALS = f"""WITH {LINES}, s AS (SELECT entity, epoch, 'sold_' || kind || '_off' AS signal, CAST(sum(qty) AS BIGINT) AS value FROM lines GROUP BY ALL UNION ALL SELECT counterparty, epoch, 'sold_' || kind || '_def', CAST(sum(disc) AS BIGINT) FROM lines WHERE disc > 8 GROUP BY ALL)"""
@@ -252,7 +252,7 @@ def tall_to_wide(spark: SparkSession, d: str) -> DataFrame:
 )
 def suffix_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Own offence beside the counterparty's defence."""
-    pairs = lines(spark, d).select("entity", "counterparty", "epoch").distinct()
+    pairs = lines(spark, d, "entity", "counterparty", "epoch").select("entity", "counterparty", "epoch").distinct()
     return J.paired_sides(_signals(spark, d), pairs, ["epoch"])
 
 
@@ -264,7 +264,7 @@ def _shares(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     c = table(spark, d, "customer")
-    g = lines(spark, d).groupBy("cust").agg(F.sum("cents").alias("spend")).join(c, F.col("cust") == F.col("c_custkey"))
+    g = lines(spark, d, "cust", "cents").groupBy("cust").agg(F.sum("cents").alias("spend")).join(c, F.col("cust") == F.col("c_custkey"))
     w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.desc("spend"), "cust")
     return g.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("seg"), "cust", (F.col("c_acctbal") < 500).alias("flagged"), "spend", F.row_number().over(w).alias("rank"))
 

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new name below the shared folder that the cluster gives in spark.checkpoint.dir; a temporary one only where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from periodica.sources.shared import shared_path
 
 
 def stream_of(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
