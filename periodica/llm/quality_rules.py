@@ -24,6 +24,8 @@ SMOOTH = 1.0
 THRESHOLD = -0.12
 #: Fixed by the base rules; windows are hashed as two pairs and a word.
 WINDOW = 5
+#: Trusted ids that a broadcast may have (16 bytes each).
+MAX_BROADCAST = 2_000_000
 _SPACE = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -85,7 +87,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def ratio_weights(docs: DataFrame, labels: DataFrame) -> str:
     """log p_trusted - log p_raw of each bucket in order, as one line of numbers."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
-    marked = id_text(docs).join(trusted.withColumn("good", F.lit(1)), "doc_id", "left")
+    trusted = cut(trusted.withColumn("good", F.lit(1)))
+    # Few ids are sent to the texts; more of them meet the texts by a shuffle.
+    few = F.broadcast(trusted) if trusted.count() <= MAX_BROADCAST else trusted
+    marked = id_text(docs).join(few, "doc_id", "left")
     hashed = marked.select(F.coalesce("good", F.lit(0)).alias("good"), _hashes(_words(F.col("text"))).alias("hashes"))
     grams = hashed.select("good", F.explode(F.concat("hashes", _pairs(F.col("hashes")))).alias("gram")).select("good", _bucket(F.col("gram")).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")))
