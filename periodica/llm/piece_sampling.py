@@ -35,6 +35,8 @@ from periodica.llm.common import as_strings, own, slabs
 ALPHA = 1.0
 #: Edges remembered; about 60 bytes each with their units.
 MAX_EDGES = 3_000_000
+#: Characters sampled at a time; bounds the numpy temporaries of a worker.
+RUN_CHARS = 1 << 18
 _CHUNK = re.compile("(?:▁+[^▁]*|[^▁]+)")
 _OWN_MARK = "\ud800"  # stands for a U+2581 of the text while units are cut: a lone surrogate, which no UTF-8 text can hold
 
@@ -263,7 +265,7 @@ def _seeds(keys: list, seed: int) -> np.ndarray:
 
 def _sampled(texts: pa.Array, keys: pa.Array, path: str, alpha: float, seed: int):
     lattices, at, seeds = _lattices(path, alpha), 0, _seeds(keys.to_pylist(), seed)
-    for run in slabs(as_strings(texts), 1 << 20):
+    for run in slabs(as_strings(texts), RUN_CHARS):
         yield lattices, run, lattices.sample(run, seeds[at : at + len(run)])
         at += len(run)
 
@@ -313,14 +315,14 @@ def encode_documents(docs: DataFrame, model: str, alpha: float = ALPHA, seed: in
 
     A column of the input that has one of these names gives way to the new one.
     """
-    arrow = pa.struct([("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
-
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def coded(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        out = []
+        rows, same = [np.zeros(0, np.int32)], []
         for lattices, run, got in _sampled(texts, keys, model, alpha, seed):
-            out += [{"ids": ids, "lossless": lattices.decode(ids) == text} for text, ids in zip(run, got, strict=True)]
-        return pa.array(out, arrow)
+            rows += got
+            same += [lattices.decode(ids) == text for text, ids in zip(run, got, strict=True)]
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int32)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows))), pa.array(same, pa.bool_())], ["ids", "lossless"])
 
     made = ("n_pieces", "lossless", "piece_ids")
     kept = [c for c in docs.columns if c != "text" and c not in made]

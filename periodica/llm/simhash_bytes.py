@@ -66,7 +66,7 @@ LEAST = 8
 #: A copy has nine common shingles for every four of both sets together: similarity 0.8.
 COMMON, WHOLE = 9, 4
 LEADERS = 4
-MAX_WORDS = 1 << 18
+MAX_WORDS = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
