@@ -153,3 +153,20 @@ def span_years(label: Column) -> Column:
     """"2023-2025, 2027" as an array of years."""
     parts = F.filter(F.split(label, r",\s*"), lambda x: x != "")
     return F.flatten(F.transform(parts, lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int"))))
+
+
+def projected_points(own: Column, against: Column, home: bool, intercept: float = 22.5, edge: float = 1.5, own_weight: float = 3.0, against_weight: float = -2.0) -> Column:
+    """Points of one side from its centred offence and the other's centred defence; null unless both are known."""
+    return intercept + (edge if home else 0.0) + own_weight * own + against_weight * against
+
+
+def gated_edge(projected: Column, market: Column, status: Column, book_range: Column, allowed: int = 3) -> tuple[Column, dict[str, Column]]:
+    """The edge where the market's status allows one (up to `allowed`; the last of them is a look ahead only), and what qualifies it."""
+    usable = status <= allowed
+    edge = F.when(usable, projected - market)
+    flags = {
+        "lookahead_only": status == allowed,
+        "single_quoter": usable & book_range.isNull(),
+        "within_range": F.coalesce(F.abs(edge) <= book_range / 2, F.lit(False)),
+    }
+    return edge, flags

@@ -78,3 +78,25 @@ def terms(intercept: float, home: float, beta: dict[str, float], is_home: Column
     for _, p in parts:
         total = total + p
     return total, parts
+
+
+def classified(label: Column, kinds: dict[str, tuple[str, ...]], unknown: str) -> tuple[Column, Column]:
+    """(kind, flagged): the kind that lists a label; a label that none lists counts as `unknown` and is flagged. Null stays null."""
+    kind = F.lit(None).cast("string")
+    for name, labels in kinds.items():
+        kind = F.when(label.isin(*labels), name).otherwise(kind)
+    flagged = label.isNotNull() & kind.isNull()
+    return F.when(flagged, unknown).otherwise(kind), flagged
+
+
+def only_from(value: Column, source: Column, outside: tuple[str, ...]) -> Column:
+    """The value, null for named sources."""
+    return F.when(~F.coalesce(source.isin(*outside), F.lit(False)), value)
+
+
+def guard_report(rows: DataFrame, key: list[str], member: str, owner: str, share: Column) -> DataFrame:
+    """How many keys come twice, how many members have two owners, how many shares exceed one."""
+    named = lambda df, guard: df.agg(F.count("*").alias("broken")).select(F.lit(guard).alias("guard"), "broken")
+    twice = rows.groupBy(*key).count().where("count > 1")
+    owners = rows.groupBy(member).agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where("a <> b")
+    return named(twice, "duplicate_key").unionByName(named(owners, "two_owners")).unionByName(named(rows.where(share > 1), "share_over_one"))

@@ -65,3 +65,30 @@ def vocabulary(rows: DataFrame, code: str, sets: DataFrame) -> DataFrame:
     j = seen.join(listed, seen["code"].eqNullSafe(listed["code"]), "full").select(F.coalesce(seen["code"], listed["code"]).alias("code"), "n", "sets")
     verdict = F.when(F.col("code").isNull(), "null").when(F.col("sets").isNull(), "unlisted").when(F.col("n").isNull(), "unused").when(F.col("sets") > 1, "ambiguous").otherwise("ok")
     return j.select("code", F.coalesce("n", F.lit(0)).alias("n"), verdict.alias("verdict"))
+
+
+def iff_known(value: Column, condition: Column) -> Column:
+    """A rule: the value is known exactly where the condition holds."""
+    return value.isNotNull() == condition
+
+
+def unique_report(rows: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
+    """Rows beyond the first of each key, by rule."""
+    out = None
+    for name, keys in rules.items():
+        one = rows.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("violations")).select(F.lit(name).alias("rule"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def capture_report(due: DataFrame, keys: list[str], state: str, explained: tuple[str, ...]) -> DataFrame:
+    """Due targets by key: captured, missed with a reason, and missed without one (a null state is still pending)."""
+    s = F.coalesce(F.col(state), F.lit("pending"))
+    return due.groupBy(*keys).agg(F.count("*").alias("due"), F.count_if(s == "captured").alias("captured"), F.count_if(s.isin(*explained)).alias("explained"), F.count_if(~s.isin("captured", *explained)).alias("unexplained"))
+
+
+def directed(before: DataFrame, after: DataFrame, key: str, state: str, healthy: str) -> DataFrame:
+    """Per key whether its state is the same, changed to healthy (expected) or in another way (unexpected)."""
+    j = null_safe(before.select(key, F.col(state).alias("_a")), after.select(key, F.col(state).alias("_b")), [key], "full")
+    way = F.when(F.col("_a").eqNullSafe(F.col("_b")), "same").when((F.col("_b") == healthy) & (F.col("_a") != healthy), "expected").otherwise("unexpected")
+    return j.select(key, way.alias("direction"))

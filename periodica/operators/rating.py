@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.scalars import blend
@@ -39,8 +39,10 @@ def iterate(arm: DataFrame, ratings: DataFrame, group: list[str], k: float, prio
         own = 0.0
     summed = seen.groupBy(*group, "id", "side").agg(F.sum(F.col("num") + F.col("den") * (F.col("league") - F.col("ref"))).alias("n"), F.sum("den").alias("d"), F.first("league").alias("league"))
     raw = summed.withColumn("raw", (F.col("n") + own * F.col("league")) / (F.col("d") + own))
-    mean = raw.groupBy(*group, "side").agg((F.sum(F.col("raw") * F.col("d")) / F.sum("d")).alias("mean"))
-    return raw.join(mean, [*group, "side"]).select(*group, "id", "side", (F.col("raw") + F.col("league") - F.col("mean")).alias("value"))
+    # One row an entity is left by now; a grouping and a join back would compute the round twice.
+    side = Window.partitionBy(*group, "side")
+    mean = F.sum(F.col("raw") * F.col("d")).over(side) / F.sum("d").over(side)
+    return raw.select(*group, "id", "side", (F.col("raw") + F.col("league") - mean).alias("value"))
 
 
 def adjusted(pairs: DataFrame, group: list[str], k: float, rounds: int, priors: DataFrame | None = None) -> DataFrame:
@@ -52,21 +54,21 @@ def adjusted(pairs: DataFrame, group: list[str], k: float, rounds: int, priors:
     return ratings
 
 
-def solved(pairs: DataFrame, group: list[str], k: float, tolerance: float = 1e-6, most: int = 200, priors: DataFrame | None = None) -> DataFrame:
+def solved(pairs: DataFrame, group: list[str], k: float, tolerance: float = 1e-6, most: int = 200, priors: DataFrame | None = None, steps: int = 4) -> DataFrame:
     """Iterates all groups together until each one's largest change is below the tolerance; converged groups leave the loop.
 
-    Each round is checkpointed to the shared folder, and so are the rows left when groups leave: plans stay short and
-    a lost executor costs one round. Groups that don't converge within `most` rounds come out as they are then.
+    Every `steps` rounds are one plan, and what all of them changed decides; it is checkpointed to the shared folder, and so are the rows left when groups leave: plans stay short and
+    a lost executor costs a few rounds. Groups that don't converge within `most` rounds come out as they are then.
     """
     shared_dir(pairs.sparkSession)
     arm = arms(pairs, group).checkpoint()
     ratings, done = start(arm, group).checkpoint(), None
-    for _ in range(most):
-        new = iterate(arm, ratings, group, k, priors)
-        old = ratings.withColumnRenamed("value", "old")
-        new = new.join(old, [*group, "id", "side"])
-        change = new.groupBy(*group).agg(F.max(F.abs(F.col("value") - F.col("old"))).alias("change"))
-        new = new.drop("old").join(change, group).checkpoint()
+    for _ in range(-(-most // steps)):
+        new, old = ratings, ratings.withColumnRenamed("value", "old")
+        for _ in range(steps):
+            new = iterate(arm, new, group, k, priors)
+        change = F.max(F.abs(F.col("value") - F.col("old"))).over(Window.partitionBy(*group))
+        new = new.join(old, [*group, "id", "side"]).withColumn("change", change).drop("old").checkpoint()
         settled = new.where(F.col("change") < tolerance).drop("change")
         done = settled if done is None else done.unionByName(settled)
         ratings = new.where(F.col("change") >= tolerance).drop("change")

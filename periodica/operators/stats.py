@@ -104,3 +104,84 @@ def walk_forward(rows: DataFrame, epoch: str, y: str, x: str) -> DataFrame:
     det = F.col("n") * F.col("xx_1_1") - F.col("xx_0_1") * F.col("xx_0_1")
     beta = (F.col("n") * F.col("xy_1") - F.col("xx_0_1") * F.col("xy_0")) / det
     return past.where("n > 2").select(epoch, F.col("n").alias("rows_before"), ((F.col("xy_0") - beta * F.col("xx_0_1")) / F.col("n")).alias("alpha"), beta.alias("beta"))
+
+
+def side_reliability(pairs: DataFrame, metric: str, side: str, this: str, later: str, pinned: tuple[str, ...] = (), least: int = 5) -> DataFrame:
+    """Year-over-year reliability by metric and side, half drawn to its side's mean; named metrics count as unreliable."""
+    raw = pairs.groupBy(metric, side).agg(F.count("*").alias("pairs"), F.corr(this, later).alias("r"))
+    raw = raw.withColumn("raw", F.when(F.col("pairs") >= least, F.least(F.greatest("r", F.lit(0.0)), F.lit(1.0))))
+    mean = raw.groupBy(side).agg(F.avg("raw").alias("mean"))
+    value = F.when(F.col(metric).isin(*pinned), 0.0).otherwise(0.5 * F.col("raw") + 0.5 * F.col("mean"))
+    return raw.join(mean, side).select(metric, side, "pairs", value.alias("reliability"))
+
+
+def recommended_shrinkage(estimates: DataFrame, parent: DataFrame, headline: float, tight: float = 2.0, steady: float = 1.5) -> DataFrame:
+    """k and r of (metric, cohort) with the rule that gave k.
+
+    estimates: metric, cohort, k0 (null: no excess variance), low, high (of k0), r_low, r_high, slope. parent: metric,
+    parent_k. k is the own point if its interval is within `tight` and r is above zero (pinned); else the parent's;
+    else the point; else that of the metric's first cohort with one (donor); else the headline's. r is 0 without
+    signal, or where an unpinned slope may exceed `steady`.
+    """
+    donor = estimates.groupBy("metric").agg(F.min_by("k0", F.when(F.col("k0").isNotNull(), F.col("cohort"))).alias("donor_k"))
+    x = estimates.join(donor, "metric").join(parent, "metric", "left")
+    pinned = F.coalesce(F.col("k0").isNotNull() & (F.col("high") / F.col("low") <= tight) & (F.col("r_low") > 0), F.lit(False))
+    steps = [(pinned, "pinned", F.col("k0")), (F.col("parent_k").isNotNull(), "parent", F.col("parent_k")), (F.col("k0").isNotNull(), "point", F.col("k0")), (F.col("donor_k").isNotNull(), "donor", F.col("donor_k"))]
+    rule, k = F.when(*[steps[0][0], F.lit("pinned")]), F.when(steps[0][0], steps[0][2])
+    for cond, name, value in steps[1:]:
+        rule, k = rule.when(cond, name), k.when(cond, value)
+    rule = rule.otherwise("headline")
+    r = F.when(rule.isin("donor", "headline") | (F.col("r_low") <= 0) | (~pinned & (F.col("r_high") > steady)), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("slope"))))
+    return x.select("metric", "cohort", rule.alias("rule"), k.otherwise(headline).alias("k"), r.alias("r"))
+
+
+def walk_forward_terms(rows: DataFrame, epoch: str, y: str, xs: list[str]) -> DataFrame:
+    """epoch, rows_before, b_0 ... b_k: for each epoch but the first the least-squares fit on all earlier ones.
+
+    One grouping gives the cross products of each epoch; those few numbers an epoch reach the driver, which solves.
+    Epochs whose past doesn't determine a fit have no row.
+    """
+    k = len(xs) + 1
+    sums = sorted(cross_sums(rows, [epoch], y, xs).collect(), key=lambda r: r[epoch])
+    xx, xy, n, out = np.zeros((k, k)), np.zeros(k), 0, []
+    for s in sums:
+        if n > k and np.linalg.matrix_rank(xx) == k:
+            out.append((s[epoch], n, *map(float, np.linalg.solve(xx, xy))))
+        xx += [[s[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
+        xy += [s[f"xy_{i}"] for i in range(k)]
+        n += s["n"]
+    kind = rows.schema[epoch].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(out, f"{epoch} {kind}, rows_before long, " + ", ".join(f"b_{i} double" for i in range(k)))
+
+
+def summary_of_rates(rows: DataFrame, slice_: str, hit: Column, decided: Column, null: float, least: int, primary: dict[str, int]) -> DataFrame:
+    """Rate of hits among decided rows by slice, with Wilson bounds and a verdict, and one row on multiplicity.
+
+    A slice in `primary` is a claim made beforehand, with the direction that supports it; others only explore. Below
+    `least` rows nothing else matters.
+    """
+    from periodica.functions.scalars import wilson
+
+    a = rows.groupBy(slice_).agg(F.count_if(decided).alias("n"), F.count_if(hit).alias("hits"))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    a = a.select(F.col(slice_).alias("slice"), "n", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).alias("estimate"), low.alias("low"), high.alias("high"))
+    above, below = F.col("low") > null, F.col("high") < null
+    claimed = F.lit(None).cast("int")
+    for name, direction in primary.items():
+        claimed = F.when(F.col("slice") == name, direction).otherwise(claimed)
+    for_it, against_it = (claimed > 0) & above | (claimed < 0) & below, (claimed > 0) & below | (claimed < 0) & above
+    verdict = F.when(F.col("n") < least, "insufficient_n").when(claimed.isNull(), "exploratory").when(for_it, "supported").when(against_it, "against").otherwise("ci_spans_null")
+    r6 = lambda c: F.round(c, 6).alias(c)
+    tested = a.select("slice", F.lit("win_rate").alias("metric"), "n", r6("estimate"), r6("low"), r6("high"), F.lit(null).alias("null_value"), F.lit(least).alias("min_n"), verdict.alias("verdict"))
+    none = F.lit(None).cast("double")
+    many = a.where(F.col("n") >= least).agg(F.count("*").alias("n"), F.count_if(above | below).cast("double").alias("estimate"))
+    family = many.select(F.lit("all").alias("slice"), F.lit("tests").alias("metric"), "n", "estimate", none.alias("low"), none.alias("high"), F.round(0.05 * F.col("n"), 6).alias("null_value"), F.lit(0).alias("min_n"), F.lit("descriptive").alias("verdict"))
+    return tested.unionByName(family)
+
+
+def fingerprint(rows: DataFrame, keys: list[str], numbers: list[str], texts: list[str]) -> DataFrame:
+    """Order-free digest of rows per key: numbers at nine decimals, so noise of the last bits doesn't count; null has its own token."""
+    number = lambda c: F.coalesce(F.format_string("%.9f", F.col(c)), F.lit("null")) if c in numbers else F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    text = F.concat_ws(";", *[F.when(F.col(c).isNull(), F.lit(f"{c}=null")).otherwise(F.concat(F.lit(f"{c}="), number(c))) for c in sorted([*numbers, *texts])])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
+    return rows.select(*keys, h.alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))

@@ -126,3 +126,20 @@ def run_entry(spark: SparkSession, job: str, status: str, rows: int, seconds: fl
 def newest_first(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")
+
+
+def retained(rows: DataFrame, epoch: Column, horizon: int) -> DataFrame:
+    """The rows from the horizon on. Refuses an unknown horizon and a deletion that would empty the table, and checks that what stays and goes is all there was."""
+    n = rows.agg(F.count("*").alias("total"), F.count_if(epoch < horizon).alias("old"), F.count_if(epoch.isNull()).alias("unknown"), F.count_if(epoch >= horizon).alias("kept")).first()
+    if n.unknown:
+        raise ValueError(f"{n.unknown} rows have no epoch")
+    if n.total and n.old == n.total:
+        raise ValueError("the table would be emptied")
+    if n.old + n.kept != n.total:
+        raise ValueError(f"{n.old} and {n.kept} rows are not {n.total}")
+    return rows.where(epoch >= horizon)
+
+
+def append_ledger(entries: DataFrame, path: str) -> None:
+    """Adds run entries (job, status, rows, seconds) to the ledger, stamped now."""
+    entries.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -49,3 +49,25 @@ def typed_csv(spark: SparkSession, path: str, schema: str, lists: tuple[str, ...
     """A CSV with a header, read by a fixed schema; columns in lists are split at bars."""
     df = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
     return df.withColumns({c: F.split(c, r"\|") for c in lists}) if lists else df
+
+
+def hourly_verdicts(documents: DataFrame, column: str, variable: str, unit: str) -> DataFrame:
+    """Each document's first fault, or ok, and its number of hours: a foreign unit, hours that aren't an unbroken run, a null in the variable."""
+    fields = f"units struct<{variable}: string>, hourly struct<time: array<int>, {variable}: array<double>>"
+    d = documents.withColumn("_d", F.from_json(column, fields))
+    time, values = F.col("_d.hourly.time"), F.col(f"_d.hourly.{variable}")
+    unbroken = time == F.sequence(F.array_min(time), F.array_max(time))
+    verdict = F.when(~F.col(f"_d.units.{variable}").eqNullSafe(F.lit(unit)), "units").when(~F.coalesce(unbroken, F.lit(False)), "hours").when(F.exists(values, lambda v: v.isNull()), "missing").otherwise("ok")
+    return d.select(*[c for c in documents.columns if c != column], verdict.alias("verdict"), F.size(time).cast("long").alias("n"))
+
+
+def feed_verdicts(documents: DataFrame, column: str) -> DataFrame:
+    """Each feed's reason (ok, malformed or version) and, where it is ok, how many items it has, keeps and can date."""
+    rest = [c for c in documents.columns if c != column]
+    d = documents.withColumn("_d", F.from_xml(F.col(column), RSS + ", _corrupt_record string", {"mode": "PERMISSIVE"}))
+    broken = ~F.rtrim(F.col(column)).endswith("</rss>")
+    reason = F.when(broken, "malformed").when(~F.col("_d._version").eqNullSafe(F.lit("2.0")), "version").otherwise("ok")
+    kept = F.filter("_d.channel.item", lambda i: i.title.isNotNull() & i.link.rlike("^https?://"))
+    dated = F.filter(kept, lambda i: F.try_to_timestamp(F.regexp_replace(i.pubDate, r"^\w{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")).isNotNull())
+    ok = reason == "ok"
+    return d.select(*rest, reason.alias("reason"), *[F.when(ok, F.size(x).cast("long")).alias(n) for x, n in ((kept, "kept"), (dated, "dated"))])

@@ -198,3 +198,64 @@ def test_truncation_guard_raises_beyond_a_key_s_cap(spark):
     assert checks.whole_by(rows, ["k"], 2).count() == 3
     with pytest.raises(checks.Truncated):
         checks.whole_by(rows, ["k"], 1)
+
+
+def test_hashes_tell_values_nulls_and_columns_apart(spark):
+    rows = spark.createDataFrame([("x|b=1:y", "z"), ("x", "y|b=1:z"), ("x", None), ("x", "∅"), ("x", "")], "a string, b string")
+    assert rows.select(upsert.content_hash(["a", "b"])).distinct().count() == 5
+
+
+def test_null_keys_meet(spark):
+    schema = "k long, j string, v long"
+    old = spark.createDataFrame([(1, None, 5), (None, "a", 6), (2, "b", 7)], schema)
+    new = spark.createDataFrame([(1, None, 5), (None, "a", 9), (3, "c", 1)], schema)
+    assert {(r.k, r.j): r.action for r in upsert.classify(old, new, ["k", "j"]).collect()} == {(1, None): "same", (None, "a"): "update", (2, "b"): "keep", (3, "c"): "insert"}
+    assert {(r.k, r.j): r.v for r in upsert.merged(old, new, ["k", "j"]).collect()} == {(1, None): 5, (None, "a"): 9, (2, "b"): 7, (3, "c"): 1}
+    assert upsert.insert_once(old, new, ["k", "j"]).count() == 1
+    diff = {r.column: r for r in quality.snapshot_diff(spark.createDataFrame([(1, 2.0, "x"), (2, None, "y")], "id long, n double, t string"), spark.createDataFrame([(1, None, "x"), (2, 3.0, None)], "id long, n double, t string"), ["id"], ["n", "t"]).collect()}
+    assert (diff["n"].changed, diff["n"].to_null, diff["n"].from_null, diff["t"].changed, diff["t"].to_null) == (2, 1, 1, 1, 1)
+
+
+def test_wind_and_grid_follow_their_rules(spark):
+    along, across = S.wind_parts(F.lit(10.0), F.lit(240.0), F.lit(60.0))
+    calm, _ = S.wind_parts(F.lit(7.9), F.lit(240.0), F.lit(60.0))
+    box = lambda lat, lon: S.in_lambert_domain(F.lit(lat), F.lit(lon), 38.5, -97.5, 2697.0, 1587.0)
+    r = one(spark, along=along, across=across, calm=calm, south=box(-10.0, -97.5), centre=box(38.5, -97.5), far=box(38.5, 10.0))
+    assert (round(r.along, 6), round(r.across, 6), r.calm, r.south, r.centre, r.far) == (10.0, 0.0, None, False, True, False)
+
+
+def test_guards_raise(spark):
+    from periodica.operators import checks
+    from periodica.sources.shared import shared_dir
+
+    rows = spark.createDataFrame([(1.0,), (2.5,), (None,)], "k double")
+    with pytest.raises(Exception, match="k is fractional"):
+        checks.integral_key(rows, "k").collect()
+    assert [r.k for r in checks.integral_key(rows.where("k IS NULL OR k = 1"), "k").collect()] == [1, None]
+    with pytest.raises(checks.Truncated):
+        checks.whole(spark.range(11), 10)
+    with pytest.raises(quality.MissingColumns, match="y"):
+        quality.require_columns(rows, ["k", "y"])
+    years = spark.createDataFrame([(1,), (2,), (3,)], "y int")
+    assert upsert.retained(years, F.col("y"), 2).count() == 2
+    for horizon, table in ((9, years), (2, years.union(spark.createDataFrame([(None,)], "y int")))):
+        with pytest.raises(ValueError):
+            upsert.retained(table, F.col("y"), horizon)
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_solver_reaches_the_fixed_point(spark):
+    dice = random.Random(5)
+    rows = [(g, a, b, float(dice.randint(50, 150)), float(dice.randint(5, 15))) for g in (1, 2) for a in range(6) for b in range(6) if a != b]
+    pairs = spark.createDataFrame(rows, "g int, entity int, counterparty int, num double, den double")
+    got = rating.solved(pairs, ["g"], 10.0, 1e-9)
+    arm = rating.arms(pairs, ["g"])
+    again = rating.iterate(arm, got, ["g"], 10.0).withColumnRenamed("value", "again")
+    assert got.count() == 24 and got.join(again, ["g", "id", "side"]).agg(F.max(F.abs(F.col("value") - F.col("again"))).alias("m")).first().m < 1e-7
+
+
+def test_verdicts_of_a_summary(spark):
+    rows = spark.createDataFrame([("all", i < 80) for i in range(100)] + [("few", True)] * 5 + [("even", i % 2 == 0) for i in range(100)], "slice string, hit boolean")
+    got = {(r.slice, r.metric): r for r in stats.summary_of_rates(rows, "slice", F.col("hit"), F.lit(True), 0.5, 30, {"all": 1, "even": 1}).collect()}
+    assert [got[s, "win_rate"].verdict for s in ("all", "few", "even")] == ["supported", "insufficient_n", "ci_spans_null"]
+    assert (got["all", "tests"].n, got["all", "tests"].estimate) == (2, 1.0)
