@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from periodica.sources.shared import shared_dir
+
 #: Bytes of text that one vectorised step works on; bounds the numpy temporaries of a Python worker.
 SLAB_BYTES = 4 << 20
 
@@ -18,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder, for a table that an operator writes."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -68,7 +58,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return id_text(docs).join(F.broadcast(picked), "doc_id")
+    # Of rows that repeat an id one is learned from, that of the smallest text digest, so no more than max_rows come out.
+    found = id_text(docs).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"), F.first("y").alias("y"))
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:

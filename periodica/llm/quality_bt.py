@@ -10,7 +10,9 @@ Features come from the whole text alone: byte shares, word and line statistics.
 language, source or id.
 
 Edge cases: null and empty texts have zero features and are scored like any other; if one label is missing
-there are no pairs, all scores are 0.5 and every document is accepted; repeated rows keep a row each.
+there are no pairs, all scores are 0.5 and every document is accepted; repeated rows keep a row each; of rows that
+repeat a labelled id one is learned from; a score at the threshold is accepted; an empty table gives no rows; a very
+long text is one feature vector; other columns keep their names in `keep_accepted` and are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ rows outside the held-out third (the smallest id hashes), in a fixed order, `pas
 has its own learning rate and L1 leaves most weights exactly zero. The weights that stay (bounded by the
 coordinates, in practice a few thousand) are broadcast as two short arrays, and every whole text is scored.
 
-Edge cases: null and empty texts score by the intercept alone; without labelled rows all weights are zero
+Edge cases: null and empty texts score by the intercept alone; an empty table gives no rows; a very long text has no
+more than its distinct coordinates; scores that tie are alike; of repeated labelled rows one is learned from; other columns are not read; without labelled rows all weights are zero
 and the intercept is -4, so nothing is flagged; repeated rows keep a row each.
 """
 
@@ -32,9 +33,11 @@ STEM = 4
 
 @dataclass(frozen=True)
 class Ftrl:
+    """Settings; the defaults have the smallest `fold_loss` of those compared on training rows alone (README)."""
+
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 10.0
+    l1: float = 3.0
     l2: float = 0.5
     passes: int = 6
 
@@ -87,6 +90,19 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, how: Ftrl = Ftrl
     return float(every[-1]), at, every[at].astype(np.float32)
 
 
+def fold_loss(rows: list[tuple[np.ndarray, int]], how: Ftrl, folds: int = 3, bits: int = BITS) -> float:
+    """Mean log loss of training rows under models that haven't seen them: how settings are chosen without held-out labels."""
+    losses = []
+    for f in range(folds):
+        intercept, at, kept = train([r for i, r in enumerate(rows) if i % folds != f], bits, how)
+        dense = np.zeros(1 << bits)
+        dense[at] = kept
+        for x, y in rows[f::folds]:
+            p = 1 / (1 + np.exp(-np.clip(intercept + dense[x].sum(), -30, 30)))
+            losses.append(-np.log(np.clip(p if y else 1 - p, 1e-6, 1)))
+    return float(np.mean(losses))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, how: Ftrl = Ftrl()) -> tuple[float, np.ndarray, np.ndarray]:
     """Texts are hashed on the executors; the driver receives distinct coordinates of max_rows rows at most."""
 

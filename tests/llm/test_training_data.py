@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the libraries, and odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -560,3 +561,89 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     symbols, _, rules = repair_ids.compress(ids, np.array([len(ids)]), 49_408, least=4)
     assert len(rules) == 16_128 and symbols.max() < 1 << 16
     assert (repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules, 49_408), 49_408).expand(symbols) == ids).all()
+
+
+def test_pairwise_ranker_equals_a_plain_loop():
+    dice = np.random.default_rng(3)
+    x = dice.normal(size=(40, 3))
+    y = (x[:, 0] + 0.5 * dice.normal(size=40) > 0).astype(int)
+    got = quality_bt.train(x, y, pairs_each=5, steps=60)
+    z = (x - x.mean(0)) / x.std(0)
+    good, bad = [i for i in range(40) if y[i] == 1], [i for i in range(40) if y[i] == 0]
+    pairs = [(int(b), w) for w, b in zip([w for w in bad for _ in range(5)], np.random.default_rng(7).choice(good, 5 * len(bad)), strict=True)]
+    w, speed = [0.0] * 3, [0.0] * 3
+    for _ in range(60):
+        slope = [0.0] * 3
+        for b, v in pairs:  # the gradient of log sigmoid(score(b) - score(v))
+            miss = 1 / (1 + math.exp(sum(w[k] * (z[b][k] - z[v][k]) for k in range(3))))
+            slope = [s + miss * (z[b][k] - z[v][k]) / len(pairs) for k, s in enumerate(slope)]
+        speed = [0.9 * s + 0.1 * (g - 1e-4 * w[k]) for k, (s, g) in enumerate(zip(speed, slope, strict=True))]
+        w = [w[k] + 0.5 * speed[k] for k in range(3)]
+    assert np.allclose(got.weights, w, atol=1e-8)
+    scores = z @ np.array(w)
+    assert (scores < got.threshold).sum() == len(bad)  # the quantile at the worse label's share
+
+
+def test_ftrl_equals_a_plain_loop():
+    dice = random.Random(8)
+    rows = [(np.array(sorted(dice.sample(range(64), 6)), np.int32), int(dice.random() < 0.4)) for _ in range(80)]
+    how = toxicity_ftrl.Ftrl(alpha=0.7, beta=1.0, l1=0.4, l2=0.3, passes=2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        free = 0.0 if i == "bias" else how.l1
+        if abs(z[i]) <= free:
+            return 0.0
+        return (math.copysign(free, z[i]) - z[i]) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    for _ in range(how.passes):
+        for x, y in rows:
+            at = [*x.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha * w[i]
+                n[i] += g * g
+    intercept, at, kept = toxicity_ftrl.train(rows, 6, how)
+    assert intercept == pytest.approx(weight("bias"), abs=1e-9)
+    assert dict(zip(at.tolist(), kept.tolist(), strict=True)) == pytest.approx({i: weight(i) for i in range(64) if weight(i)}, abs=1e-6)
+    assert toxicity_ftrl.fold_loss(rows, how, bits=6) > 0
+
+
+def test_quality_score_equals_brute_force(spark):
+    dice = random.Random(16)
+    docs = [(i, " ".join(f"w{dice.randint(0, 30)}" for _ in range(dice.randint(0, 25)))) for i in range(60)]
+    good = [i for i in range(60) if i % 2 == 0 and zlib.crc32(str(i).encode()) % 3 != 1]
+    got = by_id(quality_rules.score_rules(frame(spark, docs), labels(spark, [(i, int(i % 2 == 0), 0) for i in range(60)])))
+    words = sorted({w for _, t in docs for w in t.split()})
+    pairs = sorted({p for _, t in docs for p in zip(t.split(), t.split()[1:], strict=False)})
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    p = {(r.a, r.b): r.h for r in spark.createDataFrame([(h[a], h[b]) for a, b in pairs], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+
+    def grams(text):
+        w = [h[x] for x in text.split()]
+        return [g % quality_rules.BUCKETS for g in [*w, *(p[a, b] for a, b in zip(w, w[1:], strict=False))]]
+
+    raw = Counter(g for _, t in docs for g in grams(t))
+    trusted = Counter(g for i, t in docs if i in good for g in grams(t))
+    weight = lambda g: math.log((trusted[g] + 1) / (sum(trusted.values()) + quality_rules.BUCKETS)) - math.log((raw[g] + 1) / (sum(raw.values()) + quality_rules.BUCKETS))
+    for i, t in docs:
+        expected = sum(map(weight, grams(t))) / len(grams(t)) if t else 0.0
+        assert got[i].score == pytest.approx(expected, abs=2e-5)
+        assert got[i].kept == (not got[i].base_failed and got[i].score >= quality_rules.THRESHOLD)
+
+
+def test_added_secret_kinds_equal_regexes(texts):
+    compiled, dice = secret_scan.compile_rules(), random.Random(5)
+    kinds = [r.kind for r in compiled.rules] if hasattr(compiled, "rules") else None
+    assert kinds is None or kinds[:3] == ["assign", "access", "hex"]
+    found = [secret_scan.spans_of(f"x {s} y".encode(), compiled) for s in ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----")]
+    assert all(any(k >= 3 for _, _, k in spans) for spans in found)
+
+
+def test_a_repeated_labelled_id_teaches_once(spark):
+    from periodica.llm.common import labelled_sample
+
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:20]
+    docs = frame(spark, [(i, f"text {i} {k}") for i in ids for k in range(5)])
+    assert labelled_sample(docs, labels(spark, [(i, 1, 0) for i in ids]), "quality", 12).count() == 12
