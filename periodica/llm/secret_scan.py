@@ -12,7 +12,9 @@ last run (`tail`) or of the whole match (`least`): matches that fail it are drop
 have covered stay covered.
 
 Edge cases: null and empty texts have no spans; offsets are code points, end exclusive; an invalid
-byte sequence can't occur in a Spark string; repeated rows each get their own result.
+byte sequence can't occur in a Spark string; repeated rows each get their own result; spans of one start come in
+the order of the kinds; an empty table gives no rows; a very long text is one pass; other columns keep their names in
+`redact` and are not read in `find_secrets`.
 """
 
 from __future__ import annotations
