@@ -12,6 +12,7 @@ from periodica.operators import upsert as U
 from periodica.operators.windows import midrank
 from periodica.plans.base import LINES, SQL, USER_DAYS, lines, query, table, user_days
 from periodica.plans.more import _EDGES, _edges
+from periodica.plans.ratings import _POISSON
 from periodica.sources import readers
 from periodica.sources.shared import shared_path
 
@@ -284,3 +285,23 @@ SQL["op_ST1_change_log_text"] = """WITH RECURSIVE o AS (SELECT user_id, event_id
 f AS (SELECT user_id, i, event_id, true AS kept, event_type AS s, props AS t FROM o WHERE i = 1 UNION ALL
  SELECT o.user_id, o.i, o.event_id, c.kept, CASE WHEN c.kept THEN o.event_type ELSE f.s END, CASE WHEN c.kept THEN o.props ELSE f.t END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1, LATERAL (SELECT o.event_type IS DISTINCT FROM f.s OR (o.props IS DISTINCT FROM f.t AND regexp_matches(o.props, '[05]\\}')) AS kept) c)
 SELECT user_id, event_id, s AS event_type, t AS props FROM f WHERE kept"""
+
+
+_DRAWN = "('0x' || substr(md5(rep::VARCHAR || '|' || pair), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_REPS = "(SELECT unnest(range(0, 200)) AS rep)"
+
+
+def _bound(hits: str, sign: str) -> str:
+    p, zz = f"({hits}::DOUBLE / n)", "3.841458820694124::DOUBLE"
+    return f"round(({p} + {zz} / (2 * n) {sign} 1.959963984540054::DOUBLE * sqrt({p} * (1 - {p}) / n + {zz} / (4 * n * n))) / (1 + {zz} / n), 6)"
+
+
+SQL["op_M18_rule_intervals"] = f"""WITH {_EDGES}, h AS (SELECT epoch, entity || '-' || counterparty AS pair, ((edge > 0) = (margin > 0))::INT AS a, ((line < 0) = (margin > 0))::INT AS b FROM q WHERE edge <> 0),
+g AS (SELECT epoch, count(*) AS n, CAST(sum(a) AS BIGINT) AS hits_a, CAST(sum(b) AS BIGINT) AS hits_b FROM h GROUP BY 1), c AS (SELECT epoch, pair, sum(a - b) AS num, count(*) AS den FROM h GROUP BY ALL), u AS (SELECT *, {_DRAWN} AS u FROM c, {_REPS}),
+r AS (SELECT epoch, rep, sum(({_POISSON}) * num)::DOUBLE / nullif(sum(({_POISSON}) * den), 0) AS e FROM u GROUP BY ALL), ci AS (SELECT epoch, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high FROM r GROUP BY 1)
+SELECT g.*, low, high, {_bound("hits_a", "-")} AS low_a, {_bound("hits_a", "+")} AS high_a, {_bound("hits_b", "-")} AS low_b, {_bound("hits_b", "+")} AS high_b, round((hits_a - hits_b)::DOUBLE / n, 6) AS difference FROM g JOIN ci USING (epoch)"""
+
+SQL["op_M16_edge_intervals"] = f"""WITH {_EDGES}, g AS (SELECT CASE WHEN abs(edge) < 3 THEN 'low' WHEN abs(edge) < 7 THEN 'mid' ELSE 'high' END AS bucket, epoch || '-' || entity || '-' || counterparty AS pair, edge::DOUBLE AS x, (margin + line)::DOUBLE AS y FROM q), u AS (SELECT *, {_DRAWN} AS u FROM g, {_REPS}), w AS (SELECT bucket, rep, x, y, ({_POISSON})::DOUBLE AS w FROM u),
+s AS (SELECT bucket, rep, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy, sum(w * x * y) AS sxy FROM w GROUP BY ALL), e AS (SELECT bucket, (sw * sxy - sx * sy) / sqrt((sw * sxx - sx * sx) * (sw * syy - sy * sy)) AS e FROM s WHERE (sw * sxx - sx * sx) * (sw * syy - sy * sy) > 0),
+ci AS (SELECT bucket, quantile_cont(e, 0.025) AS low, quantile_cont(e, 0.975) AS high FROM e GROUP BY 1), n AS (SELECT bucket, count(*) AS n, round(corr(x, y), 6) AS r FROM g GROUP BY 1)
+SELECT n.bucket, n.n, n.r, round(low, 6) AS low, round(high, 6) AS high, low > 0 AS validated FROM n JOIN ci USING (bucket)"""
