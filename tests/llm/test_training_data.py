@@ -55,7 +55,8 @@ def by_id(df):
 def test_signatures_of_every_query(spark):
     documents = spark.read.parquet(f"{DATA}/documents.parquet").count()
     for name, query in queries.QUERIES.items():
-        assert query(spark, DATA).count() == documents, name
+        if name not in queries.SQL:  # those have rows of other kinds, and SQL to be held against
+            assert query(spark, DATA).count() == documents, name
 
 
 def test_token_counts_equal_the_library(spark, documents, texts):
