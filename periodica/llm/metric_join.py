@@ -9,10 +9,12 @@ Jaccard distance and symmetric difference are both metrics here: points x, y of
    neighbouring ones; each point also stands in the next ring. Shingles have a global order, rare ones first, and linked points share at
    least EXTRA of their first shingles (a tenth of a set and EXTRA more). Points that share a ring and a first shingle are a cell. Cells
    of up to LEAF points give pairs; pairs with too few meetings are dropped.
-2. Larger cells take pivots: of each the point that stands in most such cells. Pivots within NEAR of a better one
-   give way to it. Each point is dealt to the Voronoi region of its nearest pivot, and by the triangle inequality to every other
-   region whose pivot is no more than twice the link distance further away (all pivots that it met, if none is
-   near). Pivots within REACH of a point are all known to it, by an index of the pivots' own first shingles.
+2. Larger cells take pivots: of each the point that stands in most such cells, EXTRA at least. Pivots within NEAR of a better one
+   give way to it. All pivots within REACH of a point are known to it, by an index of first shingles. A point within REACH less
+   the link distance of a pivot is settled: it is dealt to the Voronoi region of the nearest one, and by the triangle inequality to
+   every other region whose pivot is no more than twice the link distance further away. Other points stand in all regions of pivots known to them,
+   so every link of a settled point lies in its region. What isn't settled goes on without the settled points: its cells give pairs up to
+   GROWTH times the size, and larger ones take new pivots.
 3. Inside a region points are written as what they have other than a centre (symmetric difference), which keeps all
    distances. The centre is what most of the region's points hold. With k and l the distances of two points from the
    centre, k + l bounds their distance from above: whoever links so, links with the point of most slack, by one comparison each. All other links
@@ -29,13 +31,13 @@ Shingles stand for themselves by 64-bit hashes, sets by 128-bit digests: equal h
 
 Edge cases: null and empty texts and texts without words have empty sets and link with nothing, not with each other either. Repeated rows
 each keep a row. A row with a null id links, but names no component unless there is no other name (then null). Rows
-that share an id are told apart by their sets. Ties (equal distance to two pivots, equal degree) go to the smaller point id and
-change no result. An empty table gives no rows. A very long text is one set in one worker. Columns besides id and
+that share an id are told apart by their sets. Ties (pivots of equal degree: the smaller point id; equal distances: both regions) change no result. An empty table gives no rows. A very long text is one set in one worker. Columns besides id and
 text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -53,6 +55,8 @@ PERCENT = 90
 #: Points of a cell whose pairs are made; common first shingles beyond the least number.
 LEAF = 12
 EXTRA = 4
+#: How many times larger cells may give pairs after each round of pivots.
+GROWTH = 4
 #: Frequent shingles that the order of shingles knows, and the share of texts (one in SAMPLED) that they are counted in.
 MAX_HEAVY = 1 << 20
 SAMPLED = 16
@@ -60,6 +64,12 @@ SAMPLED = 16
 NEAR, REACH = 0.2, 0.3
 #: Points on more than 1 / HOT of all rows are joined to them by broadcast.
 HOT = 512
+#: Rows of three short columns, and elements of pivots' sets (8 bytes each), that a broadcast may have; more are shuffled, pivots in SALTS parts.
+MAX_ROWS = 200_000
+#: Rows of a partition of a table that is small, or may be.
+ROWS = 20_000
+MAX_ELEMENTS = 8_000_000
+SALTS = 16
 
 
 def word_shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -99,19 +109,17 @@ def _set_column(text: Column, width: int, heavy: Broadcast | None = None) -> Col
 def _coded_column(text: Column, width: int, percent: int, heavy: Broadcast) -> Column:
     """Size, digest and first shingles of each set."""
 
-    @F.arrow_udf("struct<n:int,digest:binary,need:int,first:array<long>>")
+    @F.arrow_udf("struct<n:int,digest:binary,first:array<long>>")
     def coded(texts: pa.Array) -> pa.Array:
-        sizes, digests, needs, firsts = [], [], [], []
+        sizes, digests, firsts = [], [], []
         for t in as_bytes(texts):
             s = word_shingles(t, width)
             least = least_common(len(s), percent)
-            need = min(EXTRA, least)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-            needs.append(need)
-            firsts.append(_ordered(s, heavy.value)[: len(s) - least + need])
-        columns = [pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(needs, pa.int32()), _lists(firsts)]
-        return pa.StructArray.from_arrays(columns, ["n", "digest", "need", "first"])
+            firsts.append(_ordered(s, heavy.value)[: len(s) - least + min(EXTRA, least)])
+        columns = [pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(firsts)]
+        return pa.StructArray.from_arrays(columns, ["n", "digest", "first"])
 
     return coded(text)
 
@@ -168,35 +176,54 @@ def _distance(k: Column, n: Column, m: Column) -> Column:
     return 2 * k / (n + m + k)
 
 
-def _related(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """(region, p, v) with sizes, the difference e, its size k, and the Jaccard distance d."""
-    joined = met.join(sets.select("v", "s", F.size("s").alias("n")), "v").join(sets.select(F.col("v").alias("p"), F.col("s").alias("sp"), F.size("s").alias("np")), "p")
-    found = joined.withColumn("e", _apart(F.col("s"), F.col("sp"))).drop("s", "sp").withColumn("k", F.size("e"))
-    return found.withColumn("d", _distance(F.col("k"), F.col("n"), F.col("np")))
-
-
-def _voronoi(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(region, v, n, e): the members of the regions of pivots, for the points of large cells (region, entry, v)."""
-    degree = hot.groupBy("region", "v").agg(F.count("*").alias("degree"))
-    best = hot.join(degree, ["region", "v"]).groupBy("region", "entry").agg(F.max(F.struct("degree", (-F.col("v")).alias("low"))).alias("best"))
-    met = cut(hot.join(best.select("region", "entry", (-F.col("best.low")).alias("p")), ["region", "entry"]).select("region", "p", "v").distinct())
-    pivots = met.select("region", "p").distinct()
-    # Pivots within NEAR of better ones: those with none stay, and the others go to the nearest of these if there is one.
-    close = cut(_related(met.join(pivots.withColumnRenamed("p", "v"), ["region", "v"]).where("p <> v"), sets).where(F.col("d") <= NEAR).select("region", "p", "v", "d"))
-    stay = pivots.join(close.select("region", F.col("v").alias("p")).distinct(), ["region", "p"], "left_anti")
-    moved = close.join(stay, ["region", "p"]).groupBy("region", F.col("v").alias("p")).agg(F.min(F.struct("d", "p")).alias("to")).select("region", "p", F.col("to.p").alias("rep"))
-    met = met.join(moved, ["region", "p"], "left").select("region", F.coalesce("rep", "p").alias("p"), "v").distinct()
-    pivots = cut(met.select("region", "p").distinct())
-    # All pivots within REACH of a point share one of its first shingles.
-    first = F.explode(F.expr(f"slice(s, 1, cast(size(s) - ceil({1 - REACH} * size(s) - 1e-9) + 1 as int))")).alias("entry")
-    points = hot.select("region", "v").distinct().join(sets, "v").select("region", "v", first)
-    known = pivots.join(sets.withColumnRenamed("v", "p"), "p").select("region", "p", first).join(points, ["region", "entry"]).select("region", "p", "v").distinct()
-    near = cut(_related(met.withColumn("met", F.lit(True)).unionByName(known.withColumn("met", F.lit(False))).groupBy("region", "p", "v").agg(F.max("met").alias("met")), sets).where(F.col("met") | (F.col("d") <= REACH)))
-    reach, window = REACH - (1 - percent / 100), 2 * (1 - percent / 100) + 1e-9
-    home = near.where(F.col("d") <= reach - 1e-9).groupBy("region", "v").agg(F.min("d").alias("least"))
-    dealt = near.join(home, ["region", "v"], "left").where(F.col("least").isNull() | (F.col("d") <= F.col("least") + window))
-    # Regions of one pivot in neighbouring rings are one.
-    return dealt.select(F.col("p").alias("region"), "v", "n", "e").dropDuplicates(["region", "v"])
+def _few(df: DataFrame) -> DataFrame:
+    """Checkpointed, and in no more partitions than its rows call for: many tables of this join are small beside the documents."""
+    df = cut(df)
+    return df.coalesce(1 + df.count() // ROWS)
+
+
+def _beside(ids: DataFrame, sets: DataFrame, key: str, name: str) -> DataFrame:
+    """ids (checkpointed) with the set of the point in column key; few ids go to the sets, so that these stay where they are."""
+    side = sets.select(F.col("v").alias(key), F.col("s").alias(name))
+    return side.join(F.broadcast(ids) if ids.count() <= MAX_ROWS else ids, key)
+
+
+def _known(pivots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(p, v) with sizes, difference e and Jaccard distance d: all pivots within REACH of each point. Both are (v, s), sets in the common order."""
+    least = F.ceil((1 - REACH) * F.col("n") - 1e-9).cast("int")
+    sized = lambda sets: sets.select("v", "s", F.size("s").alias("n")).withColumn("need", F.least(F.lit(EXTRA), least)).withColumn("most", F.col("n") - least + F.col("need"))
+    first = F.explode(F.expr("slice(s, 1, most)")).alias("entry")
+    ours = sized(pivots).select(F.col("v").alias("p"), F.col("need").alias("asked"), F.col("n").alias("np"), first)
+    theirs = sized(points).select("v", "n", "need", first)
+    fits = F.least("n", "np") >= (1 - REACH) * F.greatest("n", "np") - 1e-9
+    met = ours.join(theirs, "entry").where(fits).groupBy("p", "v").agg(F.count("*").alias("tally"), F.first(F.least("need", "asked")).alias("need"))
+    met = _few(met.where("tally >= need").select("p", "v"))
+    rows = _few(_beside(met, points, "v", "s"))
+    named = pivots.select(F.col("v").alias("p"), F.col("s").alias("sp"))
+    if (named.agg(F.sum(F.size("sp"))).first()[0] or 0) <= MAX_ELEMENTS:
+        joined = rows.join(F.broadcast(named), "p")
+    else:
+        salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["p", "salt"]).drop("salt")
+    found = joined.select("p", "v", F.size("s").alias("n"), F.size("sp").alias("np"), _apart(F.col("s"), F.col("sp")).alias("e"))
+    return _few(found.withColumn("d", 2 * F.size("e") / (F.col("n") + F.col("np") + F.size("e"))).where(F.col("d") <= REACH + 1e-9))
+
+
+def _voronoi(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The members (region, v, n, e) of the regions of pivots, for the points of large cells (region, entry, v), and the points (v) whose links all lie in these regions."""
+    degree = hot.groupBy("v").agg(F.count("*").alias("degree"))
+    ranked = hot.join(degree, "v").select("region", "entry", F.struct("degree", (-F.col("v")).alias("low")).alias("at"))
+    pivots = _few(ranked.groupBy("region", "entry").agg(F.max("at").alias("at")).where(F.col("at.degree") >= EXTRA).select("at").distinct().select((-F.col("at.low")).alias("v"), "at"))
+    points = _few(_beside(_few(degree.select("v")), sets, "v", "s"))
+    known = _known(_beside(pivots.select("v"), points, "v", "s"), points, percent)
+    # Pivots within NEAR of better ones give way.
+    near = known.where((F.col("d") <= NEAR) & (F.col("p") != F.col("v"))).select("p", "v").join(F.broadcast(pivots) if pivots.count() <= MAX_ROWS else pivots, "v")
+    lesser = near.join(pivots.toDF("p", "better"), "p").where("better > at").select(F.col("v").alias("p")).distinct()
+    known = _few(known.join(lesser, "p", "left_anti"))
+    apart = 1 - percent / 100
+    home = known.where(F.col("d") <= REACH - apart).groupBy("v").agg(F.min("d").alias("least"))
+    dealt = known.join(home, "v", "left").where(F.col("least").isNull() | (F.col("d") <= F.col("least") + 2 * apart + 1e-9))
+    return _few(dealt.select(F.col("p").alias("region"), "v", "n", "e")), _few(home.select("v"))
 
 
 def _centred(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -207,15 +234,16 @@ def _centred(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     moved = members.join(most, "region", "left").withColumn("flip", F.coalesce("flip", F.array().cast("array<long>")))
     around = moved.select("region", "v", "n", F.concat(F.array_except("e", "flip"), F.array_except("flip", "e")).alias("e")).withColumn("k", F.size("e"))
     slack = F.col("n") * (100 - percent) - F.col("k") * (100 + percent)
-    around = cut(around.withColumn("slack", slack))
+    around = _few(around.withColumn("slack", slack))
     lead = around.groupBy("region").agg(F.max(F.struct("slack", "v")).alias("lead"))
     starred = around.join(lead, "region").withColumn("star", F.col("slack") + F.col("lead.slack") >= 0)
     links = starred.where("star and v <> lead.v").select(F.col("lead.v").alias("a"), F.col("v").alias("b"))
     open_ = starred.where("not star").select("region").distinct()
     bound = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
     least = F.greatest(F.lit(1), F.col("k") - bound)
-    left = starred.join(open_, "region", "left_semi").where("k > 0").withColumn("need", F.least(F.lit(EXTRA), least)).withColumn("first", F.col("k") - least + F.col("need"))
-    return cut(links), left.select("region", "v", "n", "k", "star", "need", "first", "e")
+    # One common element is asked for, not EXTRA: each more would put points into more regions below.
+    left = starred.join(open_, "region", "left_semi").where("k > 0").withColumn("need", F.lit(1)).withColumn("first", F.col("k") - least + 1)
+    return _few(links), left.select("region", "v", "n", "k", "star", "need", "first", "e")
 
 
 def _posted(members: DataFrame) -> DataFrame:
@@ -236,32 +264,47 @@ def _divided(hot: DataFrame, members: DataFrame) -> DataFrame:
     return inside.join(members.select("region", "v", "n", "e"), ["region", "v"]).select(F.xxhash64("inner.region", "inner.entry").alias("region"), "v", "n", "e")
 
 
-def links(points: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that join the same points to components as all links do. points is (v, n, need, first); sets_of gives (v, s) of a table (v)."""
+def _regions(members: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links (a, b) found inside the regions, and pairs (a, b) to be verified: the recursion."""
+    found, made = [], []
+    while True:
+        direct, around = _centred(members, percent)
+        found.append(direct)
+        around = _few(around)
+        cells = _few(_cells(_posted(around)))
+        made.append(_few(_pairs(cells.where(F.col("size") <= LEAF), percent)))
+        hot = cells.where(F.col("size") > LEAF)
+        if hot.isEmpty():
+            return found, made
+        members = _few(_divided(hot, around))
+
+
+def links(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that join the same points to components as all links do. points is (v, n, first); sets_of gives (v, s) of a table (v)."""
     ring = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("long")
-    rows = points.select("v", "n", "need", ring.alias("ring"), F.explode("first").alias("entry"))
-    rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("entry"))).where("held > 1")
+    rows = points.select("v", "n", F.explode("first").alias("entry")).repartition("entry")
+    rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("entry"))).where("held > 1").withColumn("ring", ring)
+    need = F.least(F.lit(EXTRA), F.ceil(F.col("n") * percent / 100 - 1e-9).cast("int")).alias("need")
     rings = F.explode(F.array(F.struct(F.col("ring").alias("region"), F.lit(True).alias("home")), F.struct((F.col("ring") + 1).alias("region"), F.lit(False).alias("home"))))
-    posted = rows.withColumn("in", rings).select("in.region", "entry", "v", "n", F.col("n").alias("k"), "need", F.lit(False).alias("star"), "in.home")
-    cells = cut(_cells(posted))
-    pairs = cut(_pairs(cells.where(F.col("size") <= LEAF), percent))
-    hot = cells.where(F.col("size") > LEAF)
-    sets = cut(sets_of(hot.select("v").union(pairs.select("a")).union(pairs.select("b")).distinct()))
-    found, made = [], [pairs]
-    if not hot.isEmpty():
-        members = cut(_voronoi(hot.select("region", "entry", "v"), sets, percent))
-        while True:
-            direct, around = _centred(members, percent)
-            found.append(direct)
-            around = cut(around)
-            cells = cut(_cells(_posted(around)))
-            made.append(cut(_pairs(cells.where(F.col("size") <= LEAF), percent)))
-            hot = cells.where(F.col("size") > LEAF)
-            if hot.isEmpty():
-                break
-            members = cut(_divided(hot, around))
-    every = reduce(DataFrame.union, made).distinct()
-    both = every.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+    posted = rows.withColumn("in", rings).select("in.region", "entry", "v", "n", F.col("n").alias("k"), need, F.lit(False).alias("star"), "in.home")
+    cells, leaf = cut(_cells(posted)), LEAF
+    made, found = [_few(_pairs(cells.where(F.col("size") <= leaf), percent))], []
+    hot = cells.where(F.col("size") > leaf)
+    wanted = _few(hot.select("v").union(made[0].select("a")).union(made[0].select("b")).distinct())
+    sets = cut(sets_of(wanted).dropDuplicates(["v"]))
+    while not hot.isEmpty():
+        members, settled = _voronoi(hot.select("region", "entry", "v"), sets, percent)
+        direct, pairs = _regions(members, percent)
+        found += direct
+        made += pairs
+        # The rest has pairs in larger and larger cells, which hold no points of settled groups any more.
+        open_ = _few(hot.select("v").distinct().join(settled, "v", "left_anti"))
+        leaf *= GROWTH
+        cells = _few(_cells(cells.join(F.broadcast(open_) if open_.count() <= MAX_ROWS else open_, "v", "left_semi").drop("size")))
+        made.append(_few(_pairs(cells.where(F.col("size") <= leaf), percent)))
+        hot = cells.where(F.col("size") > leaf)
+    every = _few(reduce(DataFrame.union, made).distinct())
+    both = _beside(every, sets, "a", "sa").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     checked = both.where((100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
     return reduce(DataFrame.union, found, checked)
@@ -272,15 +315,16 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     rows = id_text(docs).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("of"))
     heavy = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, width))
     coded = cut(rows.select("doc_id", "of", _coded_column(F.col("text"), width, percent, heavy).alias("c")).select("doc_id", "of", "c.*"))
-    classes = coded.where("n > 0").groupBy("digest").agg(F.count("*").alias("rows"), F.min("doc_id").alias("label"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "of")).alias("one"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("first").alias("first"))
+    classes = coded.where("n > 0").groupBy("digest").agg(F.count("*").alias("rows"), F.min("doc_id").alias("label"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "of")).alias("one"), F.first("n").alias("n"), F.first("first").alias("first"))
     points = cut(classes.withColumn("v", F.monotonically_increasing_id()))
 
     def sets_of(some: DataFrame) -> DataFrame:
         wanted = points.join(some, "v", "left_semi").select("v", "one.id", "one.of")
+        wanted = F.broadcast(wanted) if some.count() <= MAX_ROWS else wanted
         texts = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "of", "text").join(wanted, ["id", "of"])
-        return texts.select("v", _set_column(F.col("text"), width, heavy).alias("s")).dropDuplicates(["v"])
+        return texts.select("v", _set_column(F.col("text"), width, heavy).alias("s"))
 
-    edges = links(points.select("v", "n", "need", "first"), sets_of, percent)
+    edges = _few(links(points.select("v", "n", "first"), sets_of, percent))
     linked = components(edges, points.select(F.col("v").alias("fp"), "label")).select(F.col("fp").alias("v"), F.col("label").alias("low"))
     named = points.select("v", "digest", "label", "rows").join(linked, "v", "left").select("digest", F.coalesce("low", "label").alias("component_id"), "rows")
     named = cut(named)
