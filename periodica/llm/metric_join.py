@@ -9,8 +9,8 @@ Jaccard distance and symmetric difference are both metrics here: points x, y of
    neighbouring ones; each point also stands in the next ring. Shingles have a global order, rare ones first, and linked points share at
    least EXTRA of their first shingles (a tenth of a set and EXTRA more). Points that share a ring and a first shingle are a cell. Cells
    of up to LEAF points give pairs; pairs with too few meetings are dropped.
-2. Larger cells take pivots: of each the point that stands in most such cells, EXTRA at least. Pivots within NEAR of a better one
-   give way to it. All pivots within REACH of a point are known to it, by an index of first shingles. A point within REACH less
+2. Larger cells take pivots: points that stand in more such cells (EXTRA at least) than any other point of these.
+   Pivots within REACH of a better one give way. All pivots within REACH of a point are known to it, by an index of first shingles. A point within REACH less
    the link distance of a pivot is settled: it is dealt to the Voronoi region of the nearest one, and by the triangle inequality to
    every other region whose pivot is no more than twice the link distance further away. Other points stand in all regions of pivots known to them,
    so every link of a settled point lies in its region. What isn't settled goes on without the settled points: its cells give pairs up to
@@ -60,8 +60,8 @@ GROWTH = 4
 #: Frequent shingles that the order of shingles knows, and the share of texts (one in SAMPLED) that they are counted in.
 MAX_HEAVY = 1 << 20
 SAMPLED = 16
-#: A pivot gives way to a better one within NEAR; pivots within REACH of a point are known to it (Jaccard distances).
-NEAR, REACH = 0.2, 0.3
+#: Pivots within REACH of a point are known to it (Jaccard distance).
+REACH = 0.3
 #: Points on more than 1 / HOT of all rows are joined to them by broadcast.
 HOT = 512
 #: Rows of three short columns, and elements of pivots' sets (8 bytes each), that a broadcast may have; more are shuffled, pivots in SALTS parts.
@@ -212,14 +212,17 @@ def _known(pivots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 def _voronoi(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The members (region, v, n, e) of the regions of pivots, for the points of large cells (region, entry, v), and the points (v) whose links all lie in these regions."""
     degree = hot.groupBy("v").agg(F.count("*").alias("degree"))
-    ranked = hot.join(degree, "v").select("region", "entry", F.struct("degree", (-F.col("v")).alias("low")).alias("at"))
-    pivots = _few(ranked.groupBy("region", "entry").agg(F.max("at").alias("at")).where(F.col("at.degree") >= EXTRA).select("at").distinct().select((-F.col("at.low")).alias("v"), "at"))
+    ranked = hot.join(degree, "v").select("region", "entry", "v", F.struct("degree", (-F.col("v")).alias("low")).alias("at"))
+    best = ranked.groupBy("region", "entry").agg(F.max("at").alias("best"))
+    # A pivot is the best point of each of its cells, so one group gives few of them; the best point of all is always one.
+    top = ranked.join(best, ["region", "entry"]).groupBy("v", "at").agg(F.max("best").alias("best"))
+    pivots = _few(top.where((F.col("at") == F.col("best")) & (F.col("at.degree") >= EXTRA)).select("v", "at"))
     points = _few(_beside(_few(degree.select("v")), sets, "v", "s"))
-    known = _known(_beside(pivots.select("v"), points, "v", "s"), points, percent)
-    # Pivots within NEAR of better ones give way.
-    near = known.where((F.col("d") <= NEAR) & (F.col("p") != F.col("v"))).select("p", "v").join(F.broadcast(pivots) if pivots.count() <= MAX_ROWS else pivots, "v")
-    lesser = near.join(pivots.toDF("p", "better"), "p").where("better > at").select(F.col("v").alias("p")).distinct()
-    known = _few(known.join(lesser, "p", "left_anti"))
+    # Pivots within REACH of better ones give way.
+    own = _few(_beside(pivots.select("v"), points, "v", "s"))
+    near = _known(own, own, percent).select("p", "v").join(pivots.select("v", "at"), "v").join(pivots.toDF("p", "better"), "p")
+    stay = _few(own.join(near.where("better > at").select("v").distinct(), "v", "left_anti"))
+    known = _known(stay, points, percent)
     apart = 1 - percent / 100
     home = known.where(F.col("d") <= REACH - apart).groupBy("v").agg(F.min("d").alias("least"))
     dealt = known.join(home, "v", "left").where(F.col("least").isNull() | (F.col("d") <= F.col("least") + 2 * apart + 1e-9))

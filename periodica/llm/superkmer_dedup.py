@@ -276,7 +276,9 @@ def hot_minimisers(docs: DataFrame, window: int) -> frozenset[int]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"mini": [m for text in as_bytes(batch.column(1)) for m, *_ in super_kmers(text.split(), hashes, window)]}, schema=pa.schema([("mini", pa.int64())]))
 
-    counts = docs.sample(1 / SAMPLED, seed=11).mapInArrow(minis, "mini long").groupBy("mini").count()
+    # Chosen by what a row holds, not by where it stands: a rerun or a shuffle gives the same minimisers.
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns[:2]), F.lit(SAMPLED)) == 0)
+    counts = some.mapInArrow(minis, "mini long").groupBy("mini").count()
     counts = cut(counts)
     total = counts.agg(F.sum("count").alias("total")).first().total or 0
     least = max(HOT_LEAST, min(total * HOT_SHARE, HOT_ROWS / SAMPLED))
