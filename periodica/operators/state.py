@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodica.sources.shared import shared_dir
+
 
 def change_log(polls: DataFrame, keys: list[str], order: list[str], tracked: list[str]) -> DataFrame:
     """Rows at which an entity is first seen or a tracked field changes."""
@@ -85,3 +87,83 @@ def resolved(latest: DataFrame, key: str, source: str, prefer: str, flagged: Col
     """One row an entity over its sources' latest rows: flagged if any is; the preferred source's time if it has one, else the newest."""
     return latest.withColumn("_f", flagged).groupBy(key).agg(F.max(F.col("_f").cast("int")).alias("flagged"), F.count("*").alias("sources"), F.coalesce(F.max(F.when(F.col(source) == prefer, F.col(at))), F.max(at)).alias("as_of"))
 
+
+
+def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds (src, key, poll, state, sticky, out, n, n_last), sorted by entity and poll, to one row a sighting.
+
+    n numbers the polls that count, up to and with this one. A sighting gets its action (first, changed, relisted or
+    none), the number of the poll that clears the entity before its next sighting, and the next sighting's poll.
+    What is carried is one sighting: its row, its last written state and the count from which misses run.
+    """
+    names = ["src", "key", "poll", "state", "action", "clear_n", "next_poll", "sticky"]
+    held = None  # row, action, base: misses at a poll of number m are m - base
+
+    def closed(following: tuple | None) -> tuple:
+        row, action, base = held
+        src, key, poll, state, sticky, _, n, n_last = row
+        same = following is not None and following[:2] == row[:2]
+        until = (following[6] - (not following[5])) if same else n_last
+        clear = max(base + MISSES, n + 1)
+        return src, key, poll, state, action, clear if not sticky and clear <= until else None, following[2] if same else None, sticky
+
+    for batch in batches:
+        out = []
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held is not None:
+                out.append(done := closed(row))
+            same = held is not None and held[0][:2] == row[:2]
+            cleared = same and done[5] is not None
+            action = "first" if not same else "relisted" if cleared else "changed" if row[3] != held[0][3] else None
+            # A poll that is an outage neither adds to misses nor ends them.
+            base = held[2] if same and not cleared and row[5] else row[6]
+            held = row, action, base
+        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=_SEEN)
+    if held is not None:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, closed(None), strict=True))], schema=_SEEN)
+
+
+MISSES = 2
+_SEEN = pa.schema([("src", pa.int32()), ("key", pa.int64()), ("poll", pa.int32()), ("state", pa.string()), ("action", pa.string()), ("clear_n", pa.int64()), ("next_poll", pa.int32()), ("sticky", pa.bool_())])
+
+
+def guarded_log(polls: DataFrame, sticky: Column, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """The log of polled states with clears, and the verdict on each poll. polls is (src int, key long, poll int, state string), one row a sighting.
+
+    A poll is an outage if it holds fewer than `floor` of the entities that it should hold: those active before it, less
+    sticky ones that are absent from it. In an outage nothing is cleared and no misses are counted, but its rows count as sightings. Otherwise
+    an active entity that misses MISSES polls in a row is cleared, unless its state is sticky; a sticky one stays, and its misses go on.
+
+    Whether a poll is an outage depends on earlier verdicts only, through what is still active. So no source is walked through in one task: all
+    entities are folded under assumed verdicts, the expected size of each poll is summed from the folds, and this is repeated until the verdicts
+    stand. Each round settles at least one more outage, so rounds are at most one more than a source's outages; a round reads the sightings once, in place,
+    and shuffles one sum for each poll.
+    """
+    shared_dir(polls.sparkSession)
+    rows = polls.select("src", "key", "poll", "state", sticky.alias("sticky"))
+    rows = rows.repartition("src", "key").sortWithinPartitions("src", "key", "poll").checkpoint()
+    sizes = rows.groupBy("src", "poll").agg(F.count("*").alias("size")).withColumn("out", F.lit(False)).checkpoint()
+    by_source = Window.partitionBy("src").orderBy("poll")
+    while True:
+        counted = sizes.withColumn("n", F.sum((~F.col("out")).cast("long")).over(by_source)).withColumn("n_last", F.max("n").over(Window.partitionBy("src"))).checkpoint()
+        flagged = rows.join(counted.select("src", "poll", "out", "n", "n_last"), ["src", "poll"]).select("src", "key", "poll", "state", "sticky", "out", "n", "n_last")
+        # Broadcast or not, the join's rows are brought together by entity again; where it was broadcast this is a sort in place.
+        seen = flagged.repartition("src", "key").sortWithinPartitions("src", "key", "poll").mapInArrow(_sightings, "src int, key long, poll int, state string, action string, clear_n long, next_poll int, sticky boolean").checkpoint()
+        at = counted.where(~F.col("out")).select("src", F.col("n").alias("clear_n"), F.col("poll").alias("clear_poll"))
+        timed = seen.join(at, ["src", "clear_n"], "left")
+        # A sighting is expected in the polls after it up to its clearing or the next sighting; while sticky, at the next sighting only.
+        last = F.coalesce("clear_poll", "next_poll")
+        held = timed.select("src", F.explode(F.filter(F.array(
+            F.struct(F.when(F.col("sticky"), F.col("next_poll")).otherwise(F.col("poll") + 1).alias("poll"), F.lit(1).alias("step")),
+            F.struct((F.when(F.col("sticky"), F.col("next_poll")).otherwise(last) + 1).alias("poll"), F.lit(-1).alias("step")),
+        ), lambda x: x.poll.isNotNull())).alias("x")).groupBy("src", "x.poll").agg(F.sum("x.step").alias("step"))
+        # Steps may fall between polls of a source; a union brings them into its order.
+        ordered = sizes.select("src", "poll", "size", "out", F.lit(0).cast("long").alias("step")).unionByName(held.select("src", "poll", F.lit(None).cast("long").alias("size"), F.lit(None).cast("boolean").alias("out"), "step"))
+        expected = F.sum("step").over(by_source.rangeBetween(Window.unboundedPreceding, 0))
+        judged = ordered.withColumn("expected", expected).where("size is not null").withColumn("was", F.col("out")).withColumn("out", F.col("size") < floor * F.col("expected")).checkpoint()
+        if judged.where("out <> was").isEmpty():
+            break
+        sizes = judged.select("src", "poll", "size", "out")
+    logged = timed.where("action is not null").select("src", "key", "poll", "action", "state")
+    cleared = timed.where("clear_poll is not null").select("src", "key", F.col("clear_poll").alias("poll"), F.lit("cleared").alias("action"), F.lit(None).cast("string").alias("state"))
+    return logged.unionByName(cleared), judged.select("src", "poll", "size", "expected", "out")

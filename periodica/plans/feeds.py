@@ -116,6 +116,46 @@ def absence_detection(spark: SparkSession, d: str) -> DataFrame:
     return ST.absences(polls, ST.poll_numbers(polls, "src", "day"), "src", "user_id", "day", F.col("user_id") % 7 == 0)
 
 
+# The log by a walk through each source's polls, with all active entities in one list: what the distributed form must equal.
+_GUARDED = """WITH RECURSIVE seen AS (SELECT CAST(user_id % 2 AS INTEGER) AS src, user_id AS id, CAST(epoch_us(ts) // 36000000000 AS INTEGER) AS poll, arg_max(event_type, event_id) AS st FROM events GROUP BY ALL),
+p AS (SELECT src, poll, row_number() OVER (PARTITION BY src ORDER BY poll) AS i, list({'id': id, 'st': st}) AS rows, list(id) AS ids FROM seen GROUP BY src, poll),
+r AS (
+    SELECT src, 0::BIGINT AS i, 0 AS poll, 0::BIGINT AS size, 0::BIGINT AS expected, false AS out, []::STRUCT(id BIGINT, st VARCHAR, m BIGINT)[] AS active, []::BIGINT[] AS cleared FROM (SELECT DISTINCT src FROM p)
+    UNION ALL
+    SELECT src, i, poll, size, expected, out, list_filter(next, lambda a: a.m < 2 OR a.st = 'purchase'), list_transform(list_filter(next, lambda a: a.m >= 2 AND a.st <> 'purchase'), lambda a: a.id) FROM (
+        SELECT *, list_transform(rows, lambda x: {'id': x.id, 'st': x.st, 'm': CASE WHEN out THEN coalesce(list_filter(active, lambda a: a.id = x.id)[1].m, 0) ELSE 0 END})
+               || list_transform(list_filter(active, lambda a: NOT list_contains(ids, a.id)), lambda a: {'id': a.id, 'st': a.st, 'm': a.m + CASE WHEN out THEN 0 ELSE 1 END}) AS next
+        FROM (SELECT *, size < 0.5 * expected AS out FROM (
+            SELECT p.src, p.i, p.poll, len(p.rows) AS size, len(list_filter(r.active, lambda a: list_contains(p.ids, a.id) OR a.st <> 'purchase')) AS expected, r.active, p.rows, p.ids
+            FROM r JOIN p ON p.src = r.src AND p.i = r.i + 1)))),
+gone AS (SELECT src, unnest(cleared) AS id, poll FROM r),
+told AS (SELECT src, id, poll, st, 1 AS kind FROM seen UNION ALL SELECT src, id, poll, NULL, 2 FROM gone),
+was AS (SELECT *, lag(kind) OVER w AS before, lag(st) OVER w AS before_st FROM told WINDOW w AS (PARTITION BY src, id ORDER BY poll, kind))"""
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select((F.col("user_id") % 2).cast("int").alias("src"), F.col("user_id").alias("key"), F.expr("unix_micros(cast(ts as timestamp)) div 36000000000").cast("int").alias("poll"), "event_type", "event_id")
+    return e.groupBy("src", "key", "poll").agg(F.max_by("event_type", "event_id").alias("state"))
+
+
+@query(
+    "op_ST2_ST4_guarded_log",
+    _GUARDED + """ SELECT src, id AS user_id, poll, CASE WHEN kind = 2 THEN 'cleared' WHEN before IS NULL THEN 'first' WHEN before = 2 THEN 'relisted' ELSE 'changed' END AS action, st AS state
+    FROM was WHERE kind = 2 OR before IS NULL OR before = 2 OR st <> before_st""",
+)
+def guarded_log(spark: SparkSession, d: str) -> DataFrame:
+    """ST1, ST2, ST3, ST4: the log with clears under the outage guard; a state can be sticky."""
+    log, _ = ST.guarded_log(_states(spark, d), F.col("state") == "purchase")
+    return log.withColumnRenamed("key", "user_id")
+
+
+@query("op_ST3_poll_verdicts", _GUARDED + " SELECT src, poll, size, expected, out FROM r WHERE i > 0")
+def poll_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """ST3: each poll's size beside what was expected of it (active, less absent sticky), and whether it is an outage."""
+    _, verdicts = ST.guarded_log(_states(spark, d), F.col("state") == "purchase")
+    return verdicts
+
+
 @query(
     "op_ST5_presence",
     f"""WITH {_POLLS} SELECT p.src, p.user_id, max(poll) AS seen_poll, (SELECT max(poll) FROM num z WHERE z.src = p.src) - max(poll) AS misses FROM polls p JOIN num USING (src, day) GROUP BY p.src, p.user_id""",

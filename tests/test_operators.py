@@ -259,3 +259,61 @@ def test_verdicts_of_a_summary(spark):
     got = {(r.slice, r.metric): r for r in stats.summary_of_rates(rows, "slice", F.col("hit"), F.lit(True), 0.5, 30, {"all": 1, "even": 1}).collect()}
     assert [got[s, "win_rate"].verdict for s in ("all", "few", "even")] == ["supported", "insufficient_n", "ci_spans_null"]
     assert (got["all", "tests"].n, got["all", "tests"].estimate) == (2, 1.0)
+
+
+def walked(rows, sticky_state, floor=0.5):
+    """Plain walk through each source's polls: log rows and verdicts."""
+    log, verdicts = [], []
+    for src in sorted({r[0] for r in rows}):
+        active, misses, said = {}, {}, {}
+        for poll in sorted({r[2] for r in rows if r[0] == src}):
+            present = {r[1]: r[3] for r in rows if r[0] == src and r[2] == poll}
+            expected = sum(k in present or s != sticky_state for k, s in active.items())
+            out = len(present) < floor * expected
+            verdicts.append((src, poll, len(present), expected, out))
+            for k, s in present.items():
+                if k not in said:
+                    log.append((src, k, poll, "first", s))
+                elif said[k] is None:
+                    log.append((src, k, poll, "relisted", s))
+                elif said[k] != s:
+                    log.append((src, k, poll, "changed", s))
+                said[k] = active[k] = s
+            if out:
+                continue
+            for k in list(active):
+                misses[k] = 0 if k in present else misses.get(k, 0) + 1
+                if misses[k] >= 2 and active[k] != sticky_state:
+                    log.append((src, k, poll, "cleared", None))
+                    said[k] = None
+                    del active[k], misses[k]
+    return sorted(log, key=repr), sorted(verdicts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_guarded_log_equals_a_plain_walk(spark, seed):
+    from periodica.operators import state as ST
+
+    dice = random.Random(seed)
+    rows = []
+    for src in (0, 1):
+        for poll in range(0, 60, 2):  # numbers needn't be consecutive
+            share = dice.choice([0.9, 0.7, 0.5, 0.1])
+            rows += [(src, k, poll, dice.choice("abc")) for k in range(25) if dice.random() < share and (k + poll // 14) % 5]
+    log, verdicts = ST.guarded_log(spark.createDataFrame(rows, "src int, key long, poll int, state string").repartition(3), F.col("state") == "c")
+    want_log, want_verdicts = walked(rows, "c")
+    assert sorted(map(tuple, verdicts.collect())) == want_verdicts and any(v[4] for v in want_verdicts)
+    assert sorted(map(tuple, log.collect()), key=repr) == want_log
+
+
+def test_sticky_states_outlast_absence_and_leave_the_guard(spark):
+    from periodica.operators import state as ST
+
+    rows = [(0, k, 0, "out") for k in range(6)] + [(0, k, p, "in") for k in (10, 11) for p in range(6)] + [(0, 12, 0, "in")]
+    log, verdicts = ST.guarded_log(spark.createDataFrame(rows, "src int, key long, poll int, state string"), F.col("state") == "out")
+    assert [tuple(r)[1:] for r in log.where("action = 'cleared'").collect()] == [(12, 2, "cleared", None)]
+    # Six sticky entities are absent, and two of two or three others are there: no outage.
+    assert [(r.poll, r["size"], r.expected, r.out) for r in verdicts.orderBy("poll").collect()][1:4] == [(1, 2, 3, False), (2, 2, 3, False), (3, 2, 2, False)]
+    empty = spark.createDataFrame([], "src int, key long, poll int, state string")
+    log, verdicts = ST.guarded_log(empty, F.lit(False))
+    assert log.count() == verdicts.count() == 0
