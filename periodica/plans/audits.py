@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from periodica.functions import scalars as S
 from periodica.operators import checks as C
 from periodica.operators import quality as Q
+from periodica.operators import retention
 from periodica.operators import upsert as U
 from periodica.operators.windows import midrank
 from periodica.plans.base import LINES, SQL, USER_DAYS, lines, query, table, user_days
@@ -161,6 +162,20 @@ def retention_apply(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("y").agg(F.count("*").alias("n"))
 
 
+@query(
+    "op_SK12_retention_files",
+    "SELECT CAST(year(o_orderdate) AS INTEGER) AS epoch, count(*) AS rows, year(o_orderdate) < 1997 AS goes, CASE WHEN year(o_orderdate) < 1997 THEN 0 ELSE count(*) END AS on_disk FROM orders GROUP BY year(o_orderdate)",
+)
+def retention_files(spark: SparkSession, d: str) -> DataFrame:
+    """SK12: the plan of a deletion, carried out, beside the rows that the table's files hold afterwards, live or not."""
+    path, schema = shared_path(spark, "orders-by-year"), "o_orderkey long, cents long, y int"
+    o = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.year("o_orderdate").alias("y"))
+    retention.create(o, path, "y")
+    plan = retention.apply(spark, path, schema, "y", 1997)
+    held = spark.read.schema(schema).parquet(f"{path}/data").groupBy(F.col("y").alias("epoch")).agg(F.count("*").alias("on_disk"))
+    return plan.join(held, "epoch", "left").select("epoch", "rows", "goes", F.coalesce("on_disk", F.lit(0)).alias("on_disk"))
+
+
 @query("op_SK11_run_ledger", "SELECT event_type AS job, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'skipped: unchanged' ELSE 'success' END AS status, CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE count(*) END AS rows FROM events GROUP BY 1")
 def run_ledger(spark: SparkSession, d: str) -> DataFrame:
     """SK11: one row a job run with its status and rows, appended to a ledger in the shared folder and read back."""

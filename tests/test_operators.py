@@ -317,3 +317,28 @@ def test_sticky_states_outlast_absence_and_leave_the_guard(spark):
     empty = spark.createDataFrame([], "src int, key long, poll int, state string")
     log, verdicts = ST.guarded_log(empty, F.lit(False))
     assert log.count() == verdicts.count() == 0
+
+
+def test_retention_deletes_files_as_planned_and_refuses_otherwise(spark, tmp_path, monkeypatch):
+    from periodica.operators import retention
+
+    path, schema = str(tmp_path / "t"), "v long, y int"
+    rows = [(k, 2020 + k % 4) for k in range(40)]
+    retention.create(spark.createDataFrame(rows, schema), path, "y")
+    on_disk = lambda: spark.read.schema(schema).parquet(f"{path}/data").count()
+    with pytest.raises(ValueError, match="emptied"):
+        retention.apply(spark, path, schema, "y", 2030)
+    # A count that isn't as planned: the version before is live again, and no file is gone.
+    count = retention.read
+    with monkeypatch.context() as m:
+        m.setattr(retention, "read", lambda s, p, k: count(s, p, k).where("v <> 3 or y <> 2023") if len(retention.live(s, p)) < 4 else count(s, p, k))
+        with pytest.raises(ValueError, match="planned"):
+            retention.apply(spark, path, schema, "y", 2022)
+    assert on_disk() == retention.read(spark, path, schema).count() == 40
+    plan = retention.apply(spark, path, schema, "y", 2022)
+    assert sorted(map(tuple, plan.collect())) == [(2020, 10, True), (2021, 10, True), (2022, 10, False), (2023, 10, False)]
+    assert on_disk() == retention.read(spark, path, schema).count() == 20 and sorted(p.name for p in (tmp_path / "t/data").iterdir() if "=" in p.name) == ["y=2022", "y=2023"]
+    assert retention.apply(spark, path, schema, "y", 2000).where("goes").count() == 0
+    retention.create(spark.createDataFrame([(1, None), (2, 2024)], schema), path + "-unknown", "y")
+    with pytest.raises(ValueError, match="no epoch"):
+        retention.apply(spark, path + "-unknown", schema, "y", 2023)
