@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from periodica.functions import scalars as S
 from periodica.operators import checks as C
 from periodica.operators import quality as Q
-from periodica.operators import retention
+from periodica.operators import ledger, retention
 from periodica.operators import upsert as U
 from periodica.operators.windows import midrank
 from periodica.plans.base import LINES, SQL, USER_DAYS, lines, query, table, user_days
@@ -176,6 +176,31 @@ def retention_files(spark: SparkSession, d: str) -> DataFrame:
     return plan.join(held, "epoch", "left").select("epoch", "rows", "goes", F.coalesce("on_disk", F.lit(0)).alias("on_disk"))
 
 
+@query(
+    "op_SK11_observed_ledger",
+    """WITH n AS (SELECT event_type AS job, count(*) AS rows FROM events GROUP BY 1), runs AS (
+        SELECT job, 1 AS run, 'success' AS status, NULL AS reason, rows, rows AS written FROM n
+        UNION ALL SELECT job, 2, 'skipped', 'unchanged', 0, rows FROM n
+        UNION ALL SELECT job || '_none', 1, 'skipped', 'no input', 0, 0 FROM n
+        UNION ALL SELECT job || '_refused', 1, 'failed', 'USER_RAISED_EXCEPTION', 0, 0 FROM n)
+    SELECT job, run, status, reason, rows, written, true AS timed FROM runs""",
+)
+def observed_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """SK11: jobs that succeed, are skipped as unchanged or without input, or fail; a line's rows are beside what the job's table holds."""
+    path, out = shared_path(spark, "runs"), shared_path(spark, "run-output")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    for job in [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]:  # a job each
+        mine = e.where(F.col("event_type") == job)
+        refused = F.raise_error(F.lit("refused")).cast("long")
+        for name, rows in ((job, mine), (job, mine), (f"{job}_none", mine.where("false")), (f"{job}_refused", mine)):
+            user = refused if name.endswith("_refused") else F.col("user_id")
+            ledger.run_job(path, name, rows, lambda counted, n=name, u=user: counted.select("event_id", u.alias("user_id")).write.mode("overwrite").parquet(f"{out}/job={n}"))
+    lines_ = ledger.entries(spark, path)
+    run = F.row_number().over(Window.partitionBy("job").orderBy("at"))
+    held = spark.read.schema("event_id long, user_id long, job string").parquet(out).groupBy("job").agg(F.count("*").alias("written"))
+    return lines_.withColumn("run", run).join(held, "job", "left").select("job", "run", "status", "reason", "rows", F.coalesce("written", F.lit(0)).alias("written"), (F.col("seconds") > 0).alias("timed"))
+
+
 @query("op_SK11_run_ledger", "SELECT event_type AS job, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'skipped: unchanged' ELSE 'success' END AS status, CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE count(*) END AS rows FROM events GROUP BY 1")
 def run_ledger(spark: SparkSession, d: str) -> DataFrame:
     """SK11: one row a job run with its status and rows, appended to a ledger in the shared folder and read back."""
