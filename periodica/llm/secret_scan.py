@@ -13,7 +13,8 @@ have covered stay covered.
 
 Edge cases: null and empty texts have no spans; offsets are code points, end exclusive; an invalid
 byte sequence can't occur in a Spark string; repeated rows each get their own result; spans of one start come in
-the order of the kinds; an empty table gives no rows; a very long text is one pass; other columns keep their names in
+the order of the kinds; an empty table gives no rows; a very long text takes time in proportion to
+its bytes, however many secrets it holds; other columns keep their names in
 `redact` and are not read in `find_secrets`.
 """
 
@@ -267,13 +268,13 @@ def compile_rules(rules: tuple[Rule, ...] = RULES):
     return determinise(nfa, start, ends, anywhere=True), [_alone(t) for t in trees], [_alone(reverse(t)) for t in trees]
 
 
-def furthest(dfa: Dfa, data: bytes) -> int:
-    """Length of the longest prefix that the anchored automaton accepts, or 0."""
+def furthest(dfa: Dfa, classes: bytes, places: range) -> int:
+    """How many places, taken in order, the anchored automaton accepts at most; 0 for none. classes is the text as dfa's byte classes."""
     s, best, step, accepting, dead = dfa.start, 0, dfa.step, dfa.accepting, dfa.dead
-    for i, c in enumerate(data.translate(dfa.classes), 1):
-        s = step[s + c]
+    for n, i in enumerate(places, 1):
+        s = step[s + classes[i]]
         if s >= accepting:
-            best = i
+            best = n
         elif s == dead:
             break
     return best
@@ -293,32 +294,29 @@ def _passes(rule: Rule, match: bytes) -> bool:
 def spans_of(data: bytes, compiled, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, end, rule number) in bytes, by start, then rule."""
     scan, forward, backward = compiled
-    s, step, accepting = scan.start, scan.step, scan.accepting
-    met: list[tuple[int, int]] = []
+    s, step, accepting, accepts = scan.start, scan.step, scan.accepting, scan.accepts
+    ends: dict[int, list[int]] = {}
     for i, c in enumerate(data.translate(scan.classes), 1):
         s = step[s + c]
         if s >= accepting:
-            met.append((i, s))
-    if not met:
-        return []
-    ends: dict[int, list[int]] = {}
-    for i, s in met:
-        for r in scan.accepts[s]:
-            run = ends.setdefault(r, [])
-            if run and run[-1] == i - 1:
-                run[-1] = i
-            else:
-                run.append(i)
+            for r in accepts[s]:
+                run = ends.setdefault(r, [])
+                if run and run[-1] == i - 1:  # of adjacent ends the last one is kept
+                    run[-1] = i
+                else:
+                    run.append(i)
     out = []
     for r, candidates in ends.items():
+        # The text is translated once for each of a met rule's automata, which then walk it in place.
+        ahead, behind = data.translate(forward[r].classes), data.translate(backward[r].classes)
         covered = 0
         for end in candidates:
             if end <= covered:
                 continue
-            back = furthest(backward[r], data[covered:end][::-1])
+            back = furthest(backward[r], behind, range(end - 1, covered - 1, -1))
             if back:
                 start = end - back
-                covered = start + furthest(forward[r], data[start:])
+                covered = start + furthest(forward[r], ahead, range(start, len(data)))
                 if _passes(rules[r], data[start:covered]):
                     out.append((start, covered, r))
     return sorted(out, key=lambda x: (x[0], x[2]))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -645,6 +646,17 @@ def test_added_secret_kinds_equal_regexes():
         assert sorted(s for s in secret_scan.spans_of(data, compiled) if s[2] >= 3) == expected, data
 
 
+def test_long_texts_full_of_secrets_take_linear_time():
+    """2 MB with a secret every 17 bytes, and a run of digits as long: walks of a match to the end of the text would take minutes."""
+    compiled, unit = secret_scan.compile_rules(), b"token=abcdef123 \xc3\xa9"
+    began = time.process_time()
+    spans = secret_scan.spans_of(unit * 120_000, compiled)
+    assert spans == [(k * len(unit), k * len(unit) + 15, 0) for k in range(120_000)]
+    assert secret_scan.spans_of(b"0123456789abcdef" * 120_000, compiled) == [(0, 1_920_000, 2)]
+    assert time.process_time() - began < 30
+    assert secret_scan.in_code_points(unit * 2, secret_scan.spans_of(unit * 2, compiled)) == [(0, 15, 0), (17, 32, 0)]
+
+
 def test_a_repeated_labelled_id_teaches_once(spark):
     from periodica.llm.common import labelled_sample
 
