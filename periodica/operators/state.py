@@ -88,6 +88,28 @@ def resolved(latest: DataFrame, key: str, source: str, prefer: str, flagged: Col
     return latest.withColumn("_f", flagged).groupBy(key).agg(F.max(F.col("_f").cast("int")).alias("flagged"), F.count("*").alias("sources"), F.coalesce(F.max(F.when(F.col(source) == prefer, F.col(at))), F.max(at)).alias("as_of"))
 
 
+def with_evidence(latest: DataFrame, active: DataFrame, key: str, first: str) -> DataFrame:
+    """One state for each entity out of what its sources say last, where a held state yields to evidence.
+
+    latest is (key, source, state, seen, stale), one row for an entity and source; a null state is none. active is (key, active): when an entity was last seen to
+    act, null or absent if never. The first source's state goes before the others', of which the first name with a state
+    counts. A stale state of the first source (held past its misses) is dropped if any other source has a row, with or without a state, or if the entity acted after it was
+    last seen; else it stands, and stale_since says since when. The rule is `fresh`, `other`, `none`, `stands`, `yields` (to another source) or `acted`.
+
+    Two groupings and a join on the entity; an entity has a row a source.
+    """
+    is_first = F.col("source") == first
+    per = latest.groupBy(key).agg(F.max(F.when(is_first, F.struct("state", "seen", "stale"))).alias("one"), F.count_if(~is_first).alias("others"), F.min(F.when(~is_first & F.col("state").isNotNull(), F.struct("source", "state"))).alias("other"))
+    last = active.groupBy(key).agg(F.max("active").alias("active"))
+    stale = F.coalesce(F.col("one.stale") & F.col("one.state").isNotNull(), F.lit(False))
+    acted = F.coalesce(F.col("active") > F.col("one.seen"), F.lit(False))
+    held = F.col("one.state").isNotNull() & ~(stale & ((F.col("others") > 0) | acted))
+    rule = F.when(held & stale, "stands").when(held, "fresh").when(stale & (F.col("others") > 0), "yields").when(stale, "acted").when(F.col("other").isNotNull(), "other").otherwise("none")
+    return per.join(last, key, "left").select(
+        key, F.when(held, F.col("one.state")).otherwise(F.col("other.state")).alias("state"), F.when(held, first).otherwise(F.col("other.source")).alias("source"),
+        F.when(held & stale, F.col("one.seen")).alias("stale_since"), rule.alias("rule"),
+    )
+
 
 def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Folds (src, key, poll, state, sticky, out, n, n_last), sorted by entity and poll, to one row a sighting.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from periodica.plans import audits, feeds, models, more, ratings, rollups, streams, tables, windows  # noqa: F401
+from periodica.plans import audits, capture, feeds, models, more, ratings, rollups, streams, tables, windows  # noqa: F401
 from periodica.plans.base import QUERIES, SQL  # noqa: F401
 
 
