@@ -9,7 +9,8 @@ Two uses:
 
 - `near_duplicates`: 64-bit fingerprints, linked at `max_bits` or fewer differing bits. Such a pair agrees in
   8 - max_bits bytes at least (6 of 8), so it meets under C(6, 5) = 6 of the 56 tuples of five bytes: that is the
-  guaranteed minimum. Bits verify. Links are closed to components by spreading the smallest label with pointer
+  guaranteed minimum. Bits verify. A crowded posting (texts of one template can share five bytes) doesn't make its pairs:
+  its members look up what lies within max_bits outside the tuple. Links are closed to components by spreading the smallest label with pointer
   jumping; every round is checkpointed. Only distinct fingerprints are indexed.
 - `drop_near_copies`: copies by the similarity of their 5-word shingle sets (Jaccard, 0.8 or more). Fingerprints
   have 480 bits in 10 groups of 6 bytes and an entry is three bytes of one group (200 tuples). Agreement in
@@ -35,7 +36,7 @@ Very long texts are hashed in runs of bounded size. Columns besides id and text
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -52,6 +53,10 @@ SHINGLE = 3
 SEED = 42
 #: Bytes of a 64-bit fingerprint in one index entry.
 WIDTH = 5
+#: A posting of more than DENSE times the ways to flip bits outside its tuple looks its links up; those ways are tabulated up to MAX_FLIPS, for RUN members at once.
+DENSE = 2
+MAX_FLIPS = 10_000
+RUN = 1024
 #: Fingerprints of more than 1 / HOT of all rows, at most HOT of them, are joined by broadcast; postings of so large a share are salted.
 HOT = 512
 SALTS = 256
@@ -101,21 +106,55 @@ def fingerprint(text: Column, width: int = SHINGLE) -> Column:
     return fingerprints(text)
 
 
+def _flips(tuples: list[tuple[int, ...]], max_bits: int) -> np.ndarray | None:
+    """For each tuple, the masks of up to max_bits bits outside its bytes; None if they are more than MAX_FLIPS."""
+    free = 8 * (8 - len(tuples[0]))
+    if sum(comb(free, k) for k in range(1, max_bits + 1)) > MAX_FLIPS:
+        return None
+    bits = [[8 * i + j for i in range(8) if i not in t for j in range(8)] for t in tuples]
+    return np.array([[sum(1 << x for x in chosen) for k in range(1, max_bits + 1) for chosen in combinations(b, k)] for b in bits], np.uint64).view(np.int64)
+
+
+def _neighbours(dense: DataFrame, flips: np.ndarray) -> DataFrame:
+    """(a, b), a < b: each member of a posting with the fingerprints that differ from it in a few bits outside the posting's tuple, there or not."""
+
+    def flipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUN):
+                part = batch.slice(at, RUN)
+                a = part.column("fp").to_numpy()[:, None]
+                b = a ^ flips[part.column("tuple").to_numpy()]
+                rows = b > a
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(a, b.shape)[rows]), pa.array(b[rows])], ["a", "b"])
+
+    return dense.select("fp", "tuple").mapInArrow(flipped, "a long, b long")
+
+
 def links(prints: DataFrame, max_bits: int = 2, width: int = WIDTH) -> DataFrame:
-    """(a, b), a < b: the pairs of a table of distinct fingerprints `fp` at most max_bits apart (up to 7)."""
+    """(a, b), a < b: the pairs of a table of distinct fingerprints `fp` at most max_bits apart (up to 7).
+
+    Members of a posting meet each other. In a posting of many members (more than twice the ways to flip up to max_bits bits outside its
+    tuple: 600 as dealt) a member meets only those members that lie so few bits away, which are looked up by their value: rows grow with the members and not with their square.
+    Those that it doesn't meet there are further away and verification would drop them, so each link has the tally that it has by meetings.
+    Beyond MAX_FLIPS ways (four bits and more) members of all postings meet each other.
+    """
     sure = 8 - max_bits  # bytes that must agree
     width = min(width, sure)
-    masks = [sum(255 << 8 * i for i in chosen) for chosen in combinations(range(8), width)]
+    tuples = list(combinations(range(8), width))
+    masks = [sum(255 << 8 * i for i in chosen) for chosen in tuples]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     posted = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("tuple", "entry"))
+    flips = _flips(tuples, max_bits)
+    met = []
+    if flips is not None:
+        crowded = cut(posted.groupBy("tuple", "entry").agg(F.count("*").alias("n")).where(F.col("n") > DENSE * flips.shape[1]).drop("n"))
+        if not crowded.isEmpty():
+            near = _neighbours(posted.join(crowded, ["tuple", "entry"]), flips)
+            met.append(near.join(prints.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
+            posted = posted.join(crowded, ["tuple", "entry"], "left_anti")
     other = posted.withColumnRenamed("fp", "other")
-    tallied = (
-        posted.join(other, ["tuple", "entry"])
-        .where(F.col("fp") < F.col("other"))
-        .groupBy(F.col("fp").alias("a"), F.col("other").alias("b"))
-        .agg(F.count("*").alias("tally"))
-    )
-    retained = tallied.where(F.col("tally") >= comb(sure, width))
+    met.append(posted.join(other, ["tuple", "entry"]).where(F.col("fp") < F.col("other")).select(F.col("fp").alias("a"), F.col("other").alias("b")))
+    retained = reduce(DataFrame.unionAll, met).groupBy("a", "b").agg(F.count("*").alias("tally")).where(F.col("tally") >= comb(sure, width))
     return retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
 

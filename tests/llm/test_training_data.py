@@ -332,6 +332,24 @@ def test_simhash_components_equal_brute_force(spark, texts):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{prints[i]:016x}", root[i]) for i in prints}
 
 
+def test_simhash_crowded_postings_look_their_links_up(spark, monkeypatch):
+    """20,000 fingerprints that share five bytes: pairs would be 200 million rows. Few of one posting: the same links as by pairs."""
+    dice = random.Random(21)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    crowd = {signed(0xA1B2C3D4E5 << 24 | dice.randrange(1 << 24)) for _ in range(20_000)}
+    crowd |= {signed(dice.randrange(1 << 64)) for _ in range(300)} | {signed((x & (1 << 64) - 1) ^ 1 << dice.randrange(64) ^ 1 << dice.randrange(64)) for x in list(crowd)[:300]}
+    near = lambda x: (signed((x & (1 << 64) - 1) ^ f) for f in [1 << i ^ (0 if i == j else 1 << j) for i in range(64) for j in range(i, 64)])
+    want = {(x, y) for x in crowd for y in near(x) if x < y and y in crowd}
+    df = spark.createDataFrame([(x,) for x in crowd], "fp long").repartition(4)
+    assert len(want) > 300 and {tuple(r) for r in simhash_bytes.links(df).collect()} == want
+    few = df.where(F.col("fp").isin(sorted(crowd)[:1500]))
+    by_rule = {}
+    for dense in (2, 0, 10**6):
+        monkeypatch.setattr(simhash_bytes, "DENSE", dense)
+        by_rule[dense] = Counter(tuple(r) for r in simhash_bytes.links(few, max_bits=2).collect())
+    assert by_rule[0] == by_rule[2] == by_rule[10**6] and by_rule[0] and max(by_rule[0].values()) == 1
+
+
 def test_simhash_links_chains(spark):
     prints = [0, 0b11, 0b1111, 0b111111 | 1 << 63, 1 << 40, 1 << 40 | 0b111]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
