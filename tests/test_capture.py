@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from periodica.operators import locks, recompute, settlement, state
+from periodica.operators import correction, locks, recompute, settlement, state
 from periodica.plans.capture import RULES, ZONE
 
 UTC = dt.UTC
@@ -178,3 +178,32 @@ def test_late_facts_write_what_differs_and_no_more(spark):
     assert {tuple(r) for r in recompute.merged(stored, changed, ["k"], "p").collect()} == now
     assert recompute.changed_by(stored, frame([]), ["k"], "p", ["v"]).count() == 0
     assert recompute.changed_by(frame([]).selectExpr("k", "p", "v", "v as to_v"), frame(late), ["k"], "p", ["v"]).count() == 5
+
+
+def test_a_correction_goes_live_in_scope_and_changes_nothing_out_of_it(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "who string, v long, y int"
+    rows = [("a", 1, 2020), ("a", 2, 2021), ("b", 3, 2020), ("b", 4, 2022), (None, 5, 2022)]
+    correction.create(spark.createDataFrame(rows, schema), path, "y")
+    held = lambda: sorted((tuple(r) for r in correction.current(spark, path, schema).collect()), key=str)
+    total = lambda df: df.groupBy("who").agg(F.sum("v").alias("v"))
+    fix = lambda where, v=0: correction.correct(spark, path, schema, "y", F.expr(where), {"v": F.lit(v)}, total, ["who"], F.col("who") == "a")
+    files = lambda: sorted(str(p) for p in (tmp_path / "t").rglob("*.parquet"))
+    start, on_disk = held(), files()
+    for out_of_scope in ("v >= 2", "y = 2020", "who is null"):
+        with pytest.raises(ValueError, match="outside"):
+            fix(out_of_scope)
+    assert held() == start and files() == on_disk
+    assert fix("v > 100").count() == 0 and fix("v = 1", 1).count() == 0 and files() == on_disk
+    assert [(r.who, r.was.v, r.now.v) for r in fix("v = 2", 9).collect()] == [("a", 3, 10)]
+    assert held() == sorted([(r if r[1] != 2 else ("a", 9, 2021)) for r in rows], key=str)
+    # Only the touched partition has been written, and the replaced one is there still.
+    assert len(files()) == len(on_disk) + 1 and set(on_disk) < set(files())
+    # A new version that holds other rows than it should: the one before is live again.
+    read = correction.current
+    with monkeypatch.context() as m:
+        m.setattr(correction, "current", lambda s, p, k: read(s, p, k).where("v <> 77"))
+        with pytest.raises(ValueError, match="rows are there"):
+            fix("v = 1", 77)
+    assert ("a", 1, 2020) in held()
+    with pytest.raises(Exception, match="no epoch"):
+        correction.create(spark.createDataFrame([("a", 1, None)], schema), path + "-none", "y")
