@@ -119,10 +119,8 @@ def key_crossings(opened: Column, now: Column, keys: list[float]) -> Column:
 
 
 def coin_tail(wins: Column, n: Column) -> Column:
-    """P(at least `wins` heads in n fair tosses), summed in log space over the toss counts."""
-    logs = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.when(i <= m, F.log(i.cast("double"))).otherwise(0.0))
-    term = lambda k: F.exp(logs(n) - logs(k) - logs(n - k) - n * F.log(F.lit(2.0)))
-    return F.when(wins <= n, F.aggregate(F.sequence(wins.cast("int"), n.cast("int")), F.lit(0.0), lambda s, k: s + term(k))).otherwise(0.0)
+    """P(at least `wins` heads in n fair tosses)."""
+    return binomial_tail(wins, n, 0.5)
 
 
 def against_coin(wins: Column, n: Column) -> Column:
@@ -131,12 +129,16 @@ def against_coin(wins: Column, n: Column) -> Column:
 
 
 def binomial_tail(wins: Column, n: Column, p: float) -> Column:
-    """P(at least `wins` successes in n trials of chance p), summed in log space."""
+    """P(at least `wins` successes in n trials of chance p): the first term in log space, each next one by its ratio to the one before; steps are in proportion to n."""
     import math
 
-    logs = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.when(i <= m, F.log(i.cast("double"))).otherwise(0.0))
-    term = lambda k: F.exp(logs(n) - logs(k) - logs(n - k) + k * math.log(p) + (n - k) * math.log(1 - p))
-    return F.when(wins <= n, F.aggregate(F.sequence(wins.cast("int"), n.cast("int")), F.lit(0.0), lambda s, k: s + term(k))).otherwise(0.0)
+    wins = F.greatest(wins, F.lit(0))
+    odds = math.log(p) - math.log(1 - p)
+    choose = F.aggregate(F.sequence(F.lit(1), F.greatest(wins, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.when(i <= wins, F.log((n - wins + i) / i)).otherwise(0.0))
+    first = choose + wins * math.log(p) + (n - wins) * math.log(1 - p)
+    step = lambda s, k: F.struct((s.log + F.log(F.greatest(n - k, F.lit(1)) / (k + 1)) + odds).alias("log"), (s.sum + F.exp(s.log)).alias("sum"))
+    tail = F.aggregate(F.sequence(wins.cast("int"), n.cast("int")), F.struct(first.alias("log"), F.lit(0.0).alias("sum")), step, lambda s: s.sum)
+    return F.when(wins <= n, tail).otherwise(0.0)
 
 
 def market_line(home_positive: Column) -> Column:

@@ -157,8 +157,8 @@ def walk_forward_terms(rows: DataFrame, epoch: str, y: str, xs: list[str]) -> Da
 def summary_of_rates(rows: DataFrame, slice_: str, hit: Column, decided: Column, null: float, least: int, primary: dict[str, int]) -> DataFrame:
     """Rate of hits among decided rows by slice, with Wilson bounds and a verdict, and one row on multiplicity.
 
-    A slice in `primary` is a claim made beforehand, with the direction that supports it; others only explore. Below
-    `least` rows nothing else matters.
+    A slice in `primary` is a claim made beforehand, with the direction that supports it; others only explore. With
+    fewer than `least` decided rows a slice has no other verdict than that.
     """
     from periodica.functions.scalars import wilson
 

@@ -127,6 +127,14 @@ def test_ols_recovers_coefficients(spark):
     assert 0.003 < got["a"].se < 0.01
 
 
+def test_binomial_tails_of_many_trials(spark):
+    for n, k, p in ((1, 1, 0.3), (7, 0, 0.3), (7, 7, 0.52), (40, 13, 0.5), (2000, 1030, 0.5), (5, 6, 0.5)):
+        want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1)) if n < 1000 else sum(math.comb(n, j) for j in range(k, n + 1)) / 2**n
+        assert one(spark, x=S.binomial_tail(F.lit(k), F.lit(n), p)).x == pytest.approx(want, abs=1e-9)
+    # Steps grow with n: three sums for each term would be 10^11 here.
+    assert one(spark, x=S.coin_tail(F.lit(100_000), F.lit(200_000))).x == pytest.approx(0.5, abs=2e-3)
+
+
 def test_coin_tail(spark):
     r = one(spark, a=S.coin_tail(F.lit(3), F.lit(4)), b=S.coin_tail(F.lit(0), F.lit(9)))
     assert r.a == pytest.approx(5 / 16) and r.b == pytest.approx(1)
