@@ -135,21 +135,19 @@ def iff_and_unique(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "op_SC8_feed_report",
-    """SELECT user_id AS feed, count(*) AS items, count(*) FILTER (WHERE event_id % 4 <> 0) AS kept, count(*) FILTER (WHERE event_id % 4 <> 0 AND event_id % 5 <> 0) AS dated, CASE WHEN user_id % 10 = 4 THEN 'version' WHEN user_id % 10 = 7 THEN 'malformed' ELSE 'ok' END AS reason FROM events GROUP BY user_id""",
+    """WITH f AS (SELECT user_id AS feed, count(*) AS items, count(*) FILTER (WHERE event_id % 4 <> 0) AS kept, count(*) FILTER (WHERE event_id % 4 <> 0 AND event_id % 5 <> 0) AS dated, CASE user_id % 10 WHEN 4 THEN 'version' WHEN 7 THEN 'malformed' WHEN 2 THEN 'empty' ELSE 'ok' END AS reason FROM events GROUP BY user_id)
+    SELECT feed, reason, CASE WHEN reason = 'ok' THEN items END AS items, CASE WHEN reason = 'ok' THEN kept END AS kept, CASE WHEN reason = 'ok' THEN dated END AS dated FROM f""",
 )
 def feed_report(spark: SparkSession, d: str) -> DataFrame:
-    """SC8: per feed how many items it has, how many are kept and dated, and why a feed is refused."""
+    """SC8: per feed how many items its document has, how many are kept and dated, and why a feed is refused; a refused one has no counts."""
     k = F.col("event_id")
     link = F.concat(F.when(k % 4 == 0, F.lit("ftp://x/")).otherwise(F.lit("https://example.org/")), k.cast("string"))
     item = F.concat(F.lit("<item><title>"), "event_type", F.lit("</title><link>"), link, F.lit("</link><pubDate>"), F.when(k % 5 == 0, "soon").otherwise("Tue, 02 Jan 2024 10:00:00 +0000"), F.lit("</pubDate></item>"))
     head = F.when(F.col("feed") % 10 == 4, '<rss version="0.9"><channel>').otherwise('<rss version="2.0"><channel>')
     tail = F.when(F.col("feed") % 10 == 7, "</rss").otherwise("</channel></rss>")
-    grouped = table(spark, d, "events").groupBy(F.col("user_id").alias("feed")).agg(F.array_join(F.collect_list(item), "").alias("body"), F.count("*").alias("items"), F.count_if(k % 4 != 0).alias("web"), F.count_if((k % 4 != 0) & (k % 5 != 0)).alias("timed"))
-    docs = grouped.select("feed", "items", "web", "timed", F.concat(head, "body", tail).alias("doc"))
-    r = readers.feed_verdicts(docs.select("feed", "doc"), "doc")
-    j = docs.join(r, "feed", "left")
-    # A refused feed has no parsed items; its counts are those of the text.
-    return j.select("feed", F.col("items"), F.coalesce("kept", "web").alias("kept"), F.coalesce("dated", "timed").alias("dated"), "reason")
+    body = F.when(F.col("feed") % 10 == 2, "").otherwise(F.array_join("items", ""))
+    grouped = table(spark, d, "events").groupBy(F.col("user_id").alias("feed")).agg(F.collect_list(item).alias("items"))
+    return readers.feed_verdicts(grouped.select("feed", F.concat(head, body, tail).alias("doc")), "doc")
 
 
 @query("op_SK12_retention_apply", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1997 GROUP BY 1")

@@ -62,12 +62,16 @@ def hourly_verdicts(documents: DataFrame, column: str, variable: str, unit: str)
 
 
 def feed_verdicts(documents: DataFrame, column: str) -> DataFrame:
-    """Each feed's reason (ok, malformed or version) and, where it is ok, how many items it has, keeps and can date."""
+    """Each feed's reason (ok, malformed, version or empty) and, where it is ok, how many items it has, keeps and can date.
+
+    All of it comes from the document. Malformed is what the parser can't read to its end, and null; a feed needs one item at least. A kept item has a title and a web link.
+    """
     rest = [c for c in documents.columns if c != column]
-    d = documents.withColumn("_d", F.from_xml(F.col(column), RSS + ", _corrupt_record string", {"mode": "PERMISSIVE"}))
-    broken = ~F.rtrim(F.col(column)).endswith("</rss>")
-    reason = F.when(broken, "malformed").when(~F.col("_d._version").eqNullSafe(F.lit("2.0")), "version").otherwise("ok")
-    kept = F.filter("_d.channel.item", lambda i: i.title.isNotNull() & i.link.rlike("^https?://"))
+    d = documents.withColumn("_d", F.from_xml(F.col(column), RSS + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    items = F.coalesce(F.col("_d.channel.item"), F.array())
+    broken = F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull()
+    reason = F.when(broken, "malformed").when(~F.col("_d._version").eqNullSafe(F.lit("2.0")), "version").when(F.size(items) == 0, "empty").otherwise("ok")
+    kept = F.filter(items, lambda i: i.title.isNotNull() & i.link.rlike("^https?://"))
     dated = F.filter(kept, lambda i: F.try_to_timestamp(F.regexp_replace(i.pubDate, r"^\w{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z")).isNotNull())
     ok = reason == "ok"
-    return d.select(*rest, reason.alias("reason"), *[F.when(ok, F.size(x).cast("long")).alias(n) for x, n in ((kept, "kept"), (dated, "dated"))])
+    return d.select(*rest, reason.alias("reason"), *[F.when(ok, F.size(x).cast("long")).alias(n) for x, n in ((items, "items"), (kept, "kept"), (dated, "dated"))])

@@ -207,3 +207,14 @@ def test_a_correction_goes_live_in_scope_and_changes_nothing_out_of_it(spark, tm
     assert ("a", 1, 2020) in held()
     with pytest.raises(Exception, match="no epoch"):
         correction.create(spark.createDataFrame([("a", 1, None)], schema), path + "-none", "y")
+
+
+def test_feeds_are_judged_by_their_documents(spark):
+    from periodica.sources import readers
+
+    item = "<item><title>t</title><link>https://x/1</link><pubDate>Tue, 02 Jan 2024 10:00:00 +0000</pubDate></item>"
+    bare, undated = "<item><link>https://x/2</link></item>", "<item><title>t</title><link>http://x/3</link><pubDate>soon</pubDate></item>"
+    feed = lambda items, version="2.0", end="</channel></rss>": f'<rss version="{version}"><channel>{items}{end}'
+    docs = [feed(item + bare + undated), feed(item), feed(""), feed(item, "0.9"), feed(item, end="</rss"), feed(item, end=""), "not xml", None]
+    rows = readers.feed_verdicts(spark.createDataFrame(list(enumerate(docs)), "id int, doc string"), "doc").orderBy("id").collect()
+    assert [(r.reason, r["items"], r.kept, r.dated) for r in rows] == [("ok", 3, 2, 1), ("ok", 1, 1, 1), ("empty", None, None, None), ("version", None, None, None)] + [("malformed", None, None, None)] * 4
