@@ -112,22 +112,23 @@ def with_evidence(latest: DataFrame, active: DataFrame, key: str, first: str) ->
 
 
 def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folds (src, key, poll, state, sticky, out, n, n_last), sorted by entity and poll, to one row a sighting.
+    """Folds (src, key, poll, state, sticky, out, n, n_last, base, gone), sorted by entity and poll, to one row a sighting.
 
     n numbers the polls that count, up to and with this one. A sighting gets its action (first, changed, relisted or
     none), the number of the poll that clears the entity before its next sighting, and the next sighting's poll.
-    What is carried is one sighting: its row, its last written state and the count from which misses run.
+    What is carried is one sighting: its row, its last written state and the count from which misses run (base). A row that
+    comes with a base is an entity's last sighting of an earlier run: it was told then and has no action; gone says that its clearing was told too.
     """
-    names = ["src", "key", "poll", "state", "action", "clear_n", "next_poll", "sticky"]
+    names = _SEEN.names
     held = None  # row, action, base: misses at a poll of number m are m - base
 
     def closed(following: tuple | None) -> tuple:
         row, action, base = held
-        src, key, poll, state, sticky, _, n, n_last = row
+        src, key, poll, state, sticky, _, n, n_last, _, gone = row
         same = following is not None and following[:2] == row[:2]
         until = (following[6] - (not following[5])) if same else n_last
         clear = max(base + MISSES, n + 1)
-        return src, key, poll, state, action, clear if not sticky and clear <= until else None, following[2] if same else None, sticky
+        return src, key, poll, state, action, clear if not sticky and clear <= until else None, following[2] if same else None, sticky, n, base, gone
 
     for batch in batches:
         out = []
@@ -136,9 +137,9 @@ def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(done := closed(row))
             same = held is not None and held[0][:2] == row[:2]
             cleared = same and done[5] is not None
-            action = "first" if not same else "relisted" if cleared else "changed" if row[3] != held[0][3] else None
+            action = None if row[8] is not None else "first" if not same else "relisted" if cleared else "changed" if row[3] != held[0][3] else None
             # A poll that is an outage neither adds to misses nor ends them.
-            base = held[2] if same and not cleared and row[5] else row[6]
+            base = row[8] if row[8] is not None else held[2] if same and not cleared and row[5] else row[6]
             held = row, action, base
         yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=_SEEN)
     if held is not None:
@@ -146,7 +147,15 @@ def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 MISSES = 2
-_SEEN = pa.schema([("src", pa.int32()), ("key", pa.int64()), ("poll", pa.int32()), ("state", pa.string()), ("action", pa.string()), ("clear_n", pa.int64()), ("next_poll", pa.int32()), ("sticky", pa.bool_())])
+_SEEN = pa.schema([
+    ("src", pa.int32()), ("key", pa.int64()), ("poll", pa.int32()), ("state", pa.string()), ("action", pa.string()), ("clear_n", pa.int64()), ("next_poll", pa.int32()), ("sticky", pa.bool_()),
+    ("n", pa.int64()), ("base", pa.int64()), ("gone", pa.bool_()),
+])
+_SEEN_SQL = "src int, key long, poll int, state string, action string, clear_n long, next_poll int, sticky boolean, n long, base long, gone boolean"
+
+#: What a run leaves to the next one: each entity's last sighting, and each source's counted polls and newest poll.
+HELD = "src int, key long, poll int, state string, sticky boolean, n long, base long, gone boolean"
+COUNTS = "src int, n0 long, newest int"
 
 
 def guarded_log(polls: DataFrame, sticky: Column, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -155,6 +164,16 @@ def guarded_log(polls: DataFrame, sticky: Column, floor: float = 0.5) -> tuple[D
     A poll is an outage if it holds fewer than `floor` of the entities that it should hold: those active before it, less
     sticky ones that are absent from it. In an outage nothing is cleared and no misses are counted, but its rows count as sightings. Otherwise
     an active entity that misses MISSES polls in a row is cleared, unless its state is sticky; a sticky one stays, and its misses go on.
+    """
+    spark = polls.sparkSession
+    log, verdicts, _, _ = guarded_step(polls, sticky, spark.createDataFrame([], HELD), spark.createDataFrame([], COUNTS), floor)
+    return log, verdicts
+
+
+def guarded_step(polls: DataFrame, sticky: Column, held: DataFrame, counts: DataFrame, floor: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One run of the guarded log over new polls, behind what earlier runs held (HELD) and counted (COUNTS): log rows, verdicts, and both for the next run.
+
+    New polls must be whole and later than all earlier ones of their source; then runs over parts give the rows of one run over all.
 
     Whether a poll is an outage depends on earlier verdicts only, through what is still active. So no source is walked through in one task: all
     entities are folded under assumed verdicts, the expected size of each poll is summed from the folds, and this is repeated until the verdicts
@@ -167,20 +186,24 @@ def guarded_log(polls: DataFrame, sticky: Column, floor: float = 0.5) -> tuple[D
     sizes = rows.groupBy("src", "poll").agg(F.count("*").alias("size")).withColumn("out", F.lit(False)).checkpoint()
     by_source = Window.partitionBy("src").orderBy("poll")
     while True:
-        counted = sizes.withColumn("n", F.sum((~F.col("out")).cast("long")).over(by_source)).withColumn("n_last", F.max("n").over(Window.partitionBy("src"))).checkpoint()
-        flagged = rows.join(counted.select("src", "poll", "out", "n", "n_last"), ["src", "poll"]).select("src", "key", "poll", "state", "sticky", "out", "n", "n_last")
+        counted = sizes.join(counts, "src", "left").withColumn("n", F.coalesce("n0", F.lit(0)) + F.sum((~F.col("out")).cast("long")).over(by_source))
+        counted = counted.withColumn("n_last", F.max("n").over(Window.partitionBy("src"))).drop("n0", "newest").checkpoint()
+        ends = counted.groupBy("src").agg(F.max("n").alias("n_new"), F.max("poll").alias("newest_new")).join(counts, "src", "full")
+        ends = ends.select("src", F.coalesce("n_new", "n0").alias("n0"), F.coalesce("newest_new", "newest").alias("newest"))
+        flagged = rows.join(counted.select("src", "poll", "out", "n", "n_last"), ["src", "poll"]).select("src", "key", "poll", "state", "sticky", "out", "n", "n_last", F.lit(None).cast("long").alias("base"), F.lit(False).alias("gone"))
+        before = held.join(ends, "src").select("src", "key", "poll", "state", "sticky", F.lit(False).alias("out"), "n", F.col("n0").alias("n_last"), "base", "gone")
         # Broadcast or not, the join's rows are brought together by entity again; where it was broadcast this is a sort in place.
-        seen = flagged.repartition("src", "key").sortWithinPartitions("src", "key", "poll").mapInArrow(_sightings, "src int, key long, poll int, state string, action string, clear_n long, next_poll int, sticky boolean").checkpoint()
+        seen = flagged.unionByName(before).repartition("src", "key").sortWithinPartitions("src", "key", "poll").mapInArrow(_sightings, _SEEN_SQL).checkpoint()
         at = counted.where(~F.col("out")).select("src", F.col("n").alias("clear_n"), F.col("poll").alias("clear_poll"))
         timed = seen.join(at, ["src", "clear_n"], "left")
         # A sighting is expected in the polls after it up to its clearing or the next sighting; while sticky, at the next sighting only.
         last = F.coalesce("clear_poll", "next_poll")
-        held = timed.select("src", F.explode(F.filter(F.array(
+        steps = timed.where("NOT gone").select("src", F.explode(F.filter(F.array(
             F.struct(F.when(F.col("sticky"), F.col("next_poll")).otherwise(F.col("poll") + 1).alias("poll"), F.lit(1).alias("step")),
             F.struct((F.when(F.col("sticky"), F.col("next_poll")).otherwise(last) + 1).alias("poll"), F.lit(-1).alias("step")),
         ), lambda x: x.poll.isNotNull())).alias("x")).groupBy("src", "x.poll").agg(F.sum("x.step").alias("step"))
         # Steps may fall between polls of a source; a union brings them into its order.
-        ordered = sizes.select("src", "poll", "size", "out", F.lit(0).cast("long").alias("step")).unionByName(held.select("src", "poll", F.lit(None).cast("long").alias("size"), F.lit(None).cast("boolean").alias("out"), "step"))
+        ordered = sizes.select("src", "poll", "size", "out", F.lit(0).cast("long").alias("step")).unionByName(steps.select("src", "poll", F.lit(None).cast("long").alias("size"), F.lit(None).cast("boolean").alias("out"), "step"))
         expected = F.sum("step").over(by_source.rangeBetween(Window.unboundedPreceding, 0))
         judged = ordered.withColumn("expected", expected).where("size is not null").withColumn("was", F.col("out")).withColumn("out", F.col("size") < floor * F.col("expected")).checkpoint()
         if judged.where("out <> was").isEmpty():
@@ -188,4 +211,5 @@ def guarded_log(polls: DataFrame, sticky: Column, floor: float = 0.5) -> tuple[D
         sizes = judged.select("src", "poll", "size", "out")
     logged = timed.where("action is not null").select("src", "key", "poll", "action", "state")
     cleared = timed.where("clear_poll is not null").select("src", "key", F.col("clear_poll").alias("poll"), F.lit("cleared").alias("action"), F.lit(None).cast("string").alias("state"))
-    return logged.unionByName(cleared), judged.select("src", "poll", "size", "expected", "out")
+    left = seen.where("next_poll is null").select("src", "key", "poll", "state", "sticky", "n", "base", F.col("clear_n").isNotNull().alias("gone"))
+    return logged.unionByName(cleared), judged.select("src", "poll", "size", "expected", "out"), left, ends

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.operators.upsert import last_wins
-from periodica.plans.base import query, table
+from periodica.plans.base import SQL, query, table
+from periodica.plans.feeds import _states
+from periodica.sources.shared import shared_path
 from periodica.streaming import streams as S
 
 
@@ -80,3 +82,17 @@ def upsert(spark: SparkSession, d: str) -> DataFrame:
 
     S.upserting(_events(spark, d).select(*schema.names), merge)
     return spark.read.schema(schema).parquet(versions[-1]) if versions else spark.createDataFrame([], schema)
+
+
+@query("op_ST2_ST4_stream_guarded_log", SQL["op_ST2_ST4_guarded_log"])
+def stream_guarded_log(spark: SparkSession, d: str) -> DataFrame:
+    """ST1, ST2, ST3, ST4: the guarded log as a stream; its polls arrive in three spans of time, each taken up by a run of its own behind the state of the one before."""
+    incoming, folder = shared_path(spark, "polls"), shared_path(spark, "guarded")
+    states = _states(spark, d)
+    span = states.agg(F.struct(F.min("poll").alias("a"), (F.max("poll") + 1).alias("b"))).scalar()
+    states = states.withColumn("third", F.floor(3 * (F.col("poll") - span.getField("a")) / (span.getField("b") - span.getField("a")))).checkpoint()
+    for third in range(3):
+        states.where(F.col("third") == third).drop("third").write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(states.drop("third").schema).parquet(incoming)
+        log, _ = S.guarded_log(stream, F.col("state") == "purchase", folder)
+    return log.withColumnRenamed("key", "user_id")

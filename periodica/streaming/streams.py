@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from periodica.operators import state as ST
 from periodica.sources.shared import shared_path
 
 
@@ -75,3 +76,34 @@ def upserting(rows: DataFrame, merge: Callable[[DataFrame, int], None]) -> None:
     """Hands each micro-batch to a merge, which must bear being given one twice."""
     state = shared_path(rows.sparkSession, "upsert-state")
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+LOG = "src int, key long, poll int, action string, state string"
+VERDICTS = "src int, poll int, size long, expected long, out boolean"
+
+
+def guarded_log(polls: DataFrame, sticky: Column, folder: str, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Runs the guarded log over the polls that have come since the last run, and returns the log and verdicts of all runs. folder (shared) keeps them and the state.
+
+    polls is a stream of (src, key, poll, state). A micro-batch is one `guarded_step` behind the last sightings and counts that the one before it left,
+    in folders by its number: one given twice writes the same folders again. A poll must come whole, in one micro-batch, and later than all
+    earlier ones of its source; else the micro-batch fails before anything is written, since rows already told can't be taken back.
+    """
+    spark = polls.sparkSession
+    schemas = {"log": LOG, "verdicts": VERDICTS, "held": ST.HELD, "counts": ST.COUNTS}
+    path = lambda what, number: f"{folder}/{what}/batch={number}"
+    for what, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path(what, -1))
+
+    def fold(batch: DataFrame, number: int) -> None:
+        held, counts = (spark.read.schema(schemas[w]).parquet(path(w, number - 1)) for w in ("held", "counts"))
+        new = batch.select("src", "key", "poll", "state").checkpoint()
+        late = new.groupBy("src").agg(F.min("poll").alias("oldest")).join(counts, "src").where("oldest <= newest").orderBy("src").first()
+        if late is not None:
+            raise ValueError(f"source {late.src} has poll {late.oldest} behind poll {late.newest}")
+        for what, rows in zip(schemas, ST.guarded_step(new, sticky, held, counts, floor), strict=True):
+            rows.write.mode("overwrite").parquet(path(what, number))
+
+    polls.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    log, verdicts = (spark.read.schema(schemas[w]).parquet(f"{folder}/{w}").drop("batch") for w in ("log", "verdicts"))
+    return log, verdicts

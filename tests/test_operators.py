@@ -314,6 +314,31 @@ def test_guarded_log_equals_a_plain_walk(spark, seed):
     assert sorted(map(tuple, log.collect()), key=repr) == want_log
 
 
+def test_streamed_guarded_log_equals_a_plain_walk_and_refuses_late_polls(spark, tmp_path):
+    from periodica.streaming import streams
+
+    dice = random.Random(8)
+    schema, rows = "src int, key long, poll int, state string", []
+    for src in (0, 1, 2):
+        for poll in range(0, 60, 2):
+            if src == 2 and 20 <= poll < 40:  # a source without polls in the second run
+                continue
+            share = dice.choice([0.9, 0.7, 0.5, 0.1])
+            rows += [(src, k, poll, dice.choice("abc")) for k in range(20) if dice.random() < share and (k + poll // 14) % 5]
+    source, folder = str(tmp_path / "polls"), str(tmp_path / "log")
+    for low in (0, 20, 40):
+        spark.createDataFrame([r for r in rows if low <= r[2] < low + 20], schema).write.mode("append").parquet(source)
+        log, verdicts = streams.guarded_log(spark.readStream.schema(schema).parquet(source), F.col("state") == "c", folder)
+        want_log, want_verdicts = walked([r for r in rows if r[2] < low + 20], "c")
+        assert sorted(map(tuple, verdicts.collect())) == want_verdicts
+        assert sorted(map(tuple, log.collect()), key=repr) == want_log
+    assert any(v[4] for v in want_verdicts) and {r[3] for r in want_log} == {"first", "changed", "relisted", "cleared"}
+    spark.createDataFrame([(1, 3, 30, "a")], schema).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="behind poll 58"):
+        streams.guarded_log(spark.readStream.schema(schema).parquet(source), F.col("state") == "c", folder)
+    assert spark.read.parquet(f"{folder}/log").count() == len(want_log)
+
+
 def test_sticky_states_outlast_absence_and_leave_the_guard(spark):
     from periodica.operators import state as ST
 
