@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodica.operators.checks import centred
 from periodica.operators.upsert import null_safe
 
 
@@ -66,6 +69,36 @@ def paired_sides(signals: DataFrame, pairs: DataFrame, keys: list[str], suffixes
     return pairs.join(off, [*keys, "entity"]).join(other, [*keys, "counterparty", "base"], "left")
 
 
+def match_features(matches: DataFrame, signals: DataFrame, keys: list[str], bases: list[str], home_h: float = 0.5) -> DataFrame:
+    """Matches with both sides' features: for each side (home, away), unit (off, def) and base the centred value, the raw one and its stability.
+
+    matches has the keys, home, away and location (Home or Neutral; anything else raises as it is read). signals is tall: keys, entity, signal (`<base>_<unit>`), value,
+    stability; a second row of a signal raises, so nothing is multiplied or chosen at random. Values are centred on their signal's mean over the keys.
+    A missing input stays null; features_complete says that none is, and only then stability_min is the least stability. h_home is 0 on neutral ground.
+
+    Signals become one row an entity in one grouping (the first of three; one for the means), and the wide rows are joined twice, once a side.
+    """
+    names = [f"{b}_{u}" for u in ("off", "def") for b in bases]
+    tall = centred(signals.where(F.col("signal").isin(*names)).select(*keys, "entity", "signal", "value", "stability"), [*keys, "signal"], "value")
+    mine = lambda s: F.col("signal") == s
+    one = lambda s: F.when(F.count_if(mine(s)) > 1, F.raise_error(F.lit(f"two rows of signal {s}"))).otherwise(F.max(F.when(mine(s), F.struct("centred", "value", "stability"))))
+    wide = tall.groupBy(*keys, "entity").agg(*[one(s).alias(s) for s in names])
+    out, stabilities, features = matches, [], []
+    for side in ("home", "away"):
+        cells = []
+        for base in bases:
+            for unit in ("off", "def"):
+                at = F.col(f"{base}_{unit}")
+                cells += [at.centred.alias(f"{side}_{unit}__{base}"), at.value.alias(f"{side}_{unit}_raw__{base}"), at.stability.alias(f"{side}_{unit}_stab__{base}")]
+                features.append(f"{side}_{unit}__{base}")
+                stabilities.append(f"{side}_{unit}_stab__{base}")
+        out = null_safe(out, wide.select(*keys, F.col("entity").alias(side), *cells), [*keys, side], "left")
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*features, *stabilities]]) if bases else F.lit(True)
+    least = F.array_min(F.array(*stabilities)) if bases else F.lit(None).cast("double")
+    place = F.when(F.col("location") == "Neutral", 0.0).when(F.col("location") == "Home", home_h).otherwise(F.raise_error(F.lit("a match needs location Home or Neutral")).cast("double"))
+    return out.withColumn("h_home", place).withColumn("features_complete", complete).withColumn("stability_min", F.when(complete, least))
+
+
 def next_candidate(rows: DataFrame, slot: list[str], rank: str, member: str, flagged: Column) -> DataFrame:
     """For each flagged member the best-ranked unflagged one behind it in its slot, by one window instead of a theta join."""
     w = Window.partitionBy(*slot).orderBy(F.col(rank), F.col(member)).rowsBetween(1, Window.unboundedFollowing)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from periodica.operators.selection import quantiles
 from periodica.operators.upsert import null_safe
+from periodica.sources.shared import shared_dir
 
 
 class MissingColumns(ValueError):
@@ -52,10 +54,11 @@ def snapshot_diff(before: DataFrame, now: DataFrame, pk: list[str], columns: lis
     by = lambda c: F.try_subtract(F.col(f"b_{c}"), F.col(f"a_{c}")).cast("double") if isinstance(before.schema[c].dataType, NumericType) else F.lit(None).cast("double")
     one = lambda c: F.struct(F.lit(c).alias("column"), by(c).alias("by"), F.col(f"a_{c}").isNull().alias("was_null"), F.col(f"b_{c}").isNull().alias("is_null"), F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")).alias("same"))
     tall = j.select(F.explode(F.array(*map(one, columns))).alias("r")).select("r.*").where("NOT same")
-    return tall.groupBy("column").agg(
-        F.count("*").alias("changed"), F.count_if("is_null").alias("to_null"), F.count_if("was_null").alias("from_null"),
-        F.round(F.median(F.abs("by")), 6).alias("median_by"), F.round(F.max(F.abs("by")), 6).alias("most"),
-    )
+    shared_dir(before.sparkSession)
+    moves = tall.groupBy("column", F.abs("by").alias("by")).agg(F.count("*").alias("n"), F.count_if("is_null").alias("to_null"), F.count_if("was_null").alias("from_null")).checkpoint()
+    middle = quantiles(moves, ["column"], "by", [0.5], F.col("n")).select("column", F.round("q0", 6).alias("median_by"))
+    totals = moves.groupBy("column").agg(F.sum("n").alias("changed"), F.sum("to_null").alias("to_null"), F.sum("from_null").alias("from_null"), F.round(F.max("by"), 6).alias("most"))
+    return totals.join(middle, "column", "left").select("column", "changed", "to_null", "from_null", "median_by", "most")
 
 
 def vocabulary(rows: DataFrame, code: str, sets: DataFrame) -> DataFrame:
@@ -72,6 +75,28 @@ def iff_known(value: Column, condition: Column) -> Column:
     return value.isNotNull() == condition
 
 
+def row_faults(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """The rows with `faults`: the names of the rules that they break, in order, and duplicate_key last. A rule that is null for a row is broken, and so is a null key (no_key).
+
+    Keys are counted with map-side combination and only repeated ones are joined back, so no task gathers the rows of a key.
+    """
+    again = rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit("duplicate_key").alias("_again"))
+    broken = [F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in ({"no_key": F.col(key).isNotNull()} | rules).items()]
+    return rows.join(again, key, "left").withColumn("faults", F.array_compact(F.array(*broken, F.col("_again")))).drop("_again")
+
+
+class FaultyRows(ValueError):
+    """A source has rows that break its rules."""
+
+
+def refuse_faults(rows: DataFrame, key: str) -> DataFrame:
+    """The rows without their empty faults; raises if any has one, naming the first by key and how many there are."""
+    n, first = rows.where(F.size("faults") > 0).agg(F.count("*"), F.min(F.struct(key, "faults"))).first()
+    if n:
+        raise FaultyRows(f"{n} rows; {first[0]}: {', '.join(first[1])}")
+    return rows.drop("faults")
+
+
 def unique_report(rows: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     """Rows beyond the first of each key, by rule."""
     out = None

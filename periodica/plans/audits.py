@@ -122,6 +122,51 @@ def typed_csv(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", "nation", "balance", F.size("names").alias("names"), F.col("zone").isNotNull().alias("has_zone"))
 
 
+@query(
+    "op_SC7_venue_faults",
+    """WITH v AS (SELECT CASE WHEN s_suppkey % 17 = 5 THEN s_suppkey - 1 ELSE s_suppkey END AS id, s_suppkey AS k FROM supplier), n AS (SELECT id FROM v GROUP BY id HAVING count(*) > 1)
+    SELECT k AS row, id, array_to_string(list_filter([CASE WHEN k % 19 = 3 THEN 'names' END, CASE WHEN k % 23 = 7 THEN 'coordinates' END, CASE WHEN k % 29 = 2 THEN 'roof' END, CASE WHEN k % 31 = 6 THEN 'basis' END,
+      CASE WHEN k % 4 < 2 AND k % 31 <> 6 AND k % 13 = 1 THEN 'bearing_range' END, CASE WHEN k % 31 <> 6 AND k % 37 = 9 AND k % 4 < 2 THEN 'bearing_iff_basis' END, CASE WHEN k % 11 = 4 THEN 'zone' END, CASE WHEN id IN (SELECT id FROM n) THEN 'duplicate_key' END], lambda x: x IS NOT NULL), ',') AS faults FROM v""",
+)
+def venue_faults(spark: SparkSession, d: str) -> DataFrame:
+    """SC7: a CSV of venues read by a fixed schema and header, and what each of its rows breaks: names, ranges, codes, a bearing exactly where the basis keeps one, zones, repeated ids."""
+    path, k = shared_path(spark, "venues"), F.col("s_suppkey")
+    odd = k % 31 == 6
+    basis = F.when(odd, "guessed").when(k % 4 == 0, "agrees").when(k % 4 == 1, "disagrees").when(k % 4 == 2, "no_field").otherwise("fixed_roof")
+    has = (k % 4 < 2) & ~odd
+    table(spark, d, "supplier").select(
+        k.alias("row"), F.when(k % 17 == 5, k - 1).otherwise(k).alias("id"), F.when(k % 19 == 3, "|").otherwise(F.concat("s_name", F.lit("|old "), "s_name")).alias("names"),
+        F.when(k % 23 == 7, 91.5).otherwise(k % 90 + 0.25).alias("lat"), (k % 180 - 0.5).alias("lon"), F.when(k % 29 == 2, "tent").when(k % 2 == 0, "open").otherwise("fixed").alias("roof"), basis.alias("bearing_basis"),
+        F.when(has, F.when(k % 13 == 1, 180.0).otherwise((k % 180).cast("double"))).alias("bearing"), F.when(has & (k % 37 != 9), k).alias("outline"),
+        F.when(k % 11 == 4, "Mars/Olympus").when(k % 2 == 0, "America/New_York").otherwise("Europe/London").alias("zone"),
+    ).write.csv(path, header=True)
+    v = readers.checked_header_csv(spark, path, "row long, id long, names string, lat double, lon double, roof string, bearing_basis string, bearing double, outline long, zone string", ("names",))
+    rules = readers.venue_rules(("agrees", "disagrees", "no_field", "fixed_roof"), ("agrees", "disagrees"), ("fixed", "retractable", "open"))
+    return Q.row_faults(v, "id", rules).select("row", "id", F.array_join("faults", ",").alias("faults"))
+
+
+@query(
+    "op_SC6_expected_hours",
+    """WITH e AS (SELECT event_id, date_trunc('hour', ts::TIMESTAMP) AS h, CASE WHEN event_id % 13 = 1 THEN 'malformed' WHEN event_id % 11 = 2 THEN 'units' WHEN event_id % 17 = 3 THEN 'variables' WHEN event_id % 19 = 4 OR event_id % 23 = 5 THEN 'hours' WHEN event_id % 29 = 6 THEN 'no_data' ELSE 'ok' END AS verdict FROM events)
+    SELECT event_id, verdict, CAST(k AS INTEGER) AS hour_offset, strftime(h + k * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M') AS valid_time, (event_id % 40 + k)::DOUBLE AS wind, (event_id % 90 - k)::DOUBLE AS temperature, CASE WHEN event_id % 5 <> 0 THEN (event_id % 60)::DOUBLE END AS gusts
+    FROM e, (SELECT unnest(range(0, 5)) AS k) WHERE verdict = 'ok' UNION ALL SELECT event_id, verdict, NULL, NULL, NULL, NULL, NULL FROM e WHERE verdict <> 'ok'""",
+)
+def expected_hours(spark: SparkSession, d: str) -> DataFrame:
+    """SC6: five hours from each event's own, of three variables, out of columnar documents; the hours must be exactly those asked for, units must fit, wind and temperature must be known, gusts may be null."""
+    k, hours = F.col("event_id"), readers.expected_hours(F.col("at"), 5)
+    e = table(spark, d, "events").select(k, F.col("ts").cast("timestamp").alias("at")).withColumn("h", hours)
+    ends_early = F.slice("h", 1, 4)
+    time = F.when(k % 19 == 4, ends_early).when(k % 23 == 5, F.reverse("h")).otherwise(F.col("h"))
+    e = e.withColumn("time", time)
+    series = lambda f: F.transform(F.col("time"), lambda _, i: f(i).cast("double"))
+    wind = F.when(k % 17 != 3, series(lambda i: F.when((k % 29 != 6) | (i != 2), k % 40 + i)))
+    hourly = F.struct("time", wind.alias("wind"), series(lambda i: k % 90 - i).alias("temperature"), series(lambda i: F.when(k % 5 != 0, k % 60)).alias("gusts"))
+    units = F.struct(F.lit("iso8601").alias("time"), F.when(k % 11 == 2, "km/h").otherwise("mp/h").alias("wind"), F.lit("F").alias("temperature"), F.lit("mp/h").alias("gusts"))
+    doc = F.to_json(F.struct(units.alias("units"), hourly.alias("hourly")))
+    doc = F.when(k % 13 == 1, F.substring(doc, 1, 60)).otherwise(doc)
+    return readers.hourly_rows(e.select("event_id", "at", doc.alias("doc")), "doc", hours, {"wind": "mp/h", "temperature": "F", "gusts": "mp/h"}, ("wind", "temperature")).drop("at")
+
+
 @query(
     "op_DQ1_iff_and_unique",
     "SELECT 'zone_iff_odd' AS rule, count(*) FILTER (WHERE (s_suppkey % 7 <> 0) <> (s_suppkey % 2 = 1)) AS violations FROM supplier UNION ALL SELECT 'unique_id', count(*) - count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'unique_nation', count(*) - count(DISTINCT s_nationkey) FROM supplier",

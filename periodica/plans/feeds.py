@@ -9,7 +9,9 @@ from periodica.functions import scalars as S
 from periodica.operators import calendar as C
 from periodica.operators import quotes as Q
 from periodica.operators import state as ST
+from periodica.operators.selection import quantiles
 from periodica.plans.base import query, table
+from periodica.sources.shared import shared_dir
 
 _QUOTES = "q AS (SELECT user_id AS match, event_type AS quoter, CAST(dayofmonth(ts) AS INTEGER) AS day, arg_max(round(value / 5) / 2 - 5, (ts, event_id)) AS point FROM events GROUP BY ALL)"
 
@@ -31,8 +33,11 @@ def consensus(spark: SparkSession, d: str) -> DataFrame:
 @query("op_A25_straddle_rate", _CONSENSUS + " SELECT day, count(*) AS n, count(*) FILTER (WHERE low <> high AND ((low <= 3 AND high >= 3) OR (low <= -3 AND high >= -3))) AS straddling, round(median(spread), 6) AS median_spread FROM c GROUP BY day")
 def straddle_rate(spark: SparkSession, d: str) -> DataFrame:
     """Share of captures whose quoters straddle a key."""
+    shared_dir(spark)
     c = consensus(spark, d)
-    return c.groupBy("day").agg(F.count("*").alias("n"), F.count_if(Q.straddles([3, -3])).alias("straddling"), F.round(F.median("spread"), 6).alias("median_spread"))
+    captures = c.groupBy("day", "spread").agg(F.count("*").alias("n"), F.count_if(Q.straddles([3, -3])).alias("straddling")).checkpoint()
+    middle = quantiles(captures, ["day"], "spread", [0.5], F.col("n")).select("day", F.round("q0", 6).alias("median_spread"))
+    return captures.groupBy("day").agg(F.sum("n").alias("n"), F.sum("straddling").alias("straddling")).join(middle, "day", "left")
 
 
 @query(
@@ -279,4 +284,4 @@ def span_parse(spark: SparkSession, d: str) -> DataFrame:
 def recovered_denominator(spark: SparkSession, d: str) -> DataFrame:
     """A hidden denominator as the rounded median of count / share."""
     x = F.col("l_extendedprice") / (F.col("l_discount") + 0.5)
-    return table(spark, d, "lineitem").where("l_discount >= 0.05").groupBy("l_suppkey").agg(F.round(F.median(x)).cast("long").alias("base"))
+    return quantiles(table(spark, d, "lineitem").where("l_discount >= 0.05").select("l_suppkey", x.alias("x")), ["l_suppkey"], "x", [0.5]).select("l_suppkey", F.round("q0").cast("long").alias("base"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from periodica.functions import scalars as S
 from periodica.operators import rollup as R
+from periodica.operators.selection import quantiles
 from periodica.plans.base import LINES, USER_DAYS, lines, query, table, user_days
 
 _LATE = """(CASE WHEN step <= 2 THEN false WHEN step = 3 THEN (disc < 2 OR disc > 8) ELSE (disc < 1 OR disc > 9) END)"""
@@ -165,9 +166,9 @@ def history_sums(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {USER_DAYS} SELECT cohort, round(quantile_cont(num::DOUBLE / den, 1.0 / 3), 6) AS low, round(quantile_cont(num::DOUBLE / den, 2.0 / 3), 6) AS high FROM user_days GROUP BY cohort",
 )
 def cutpoints(spark: SparkSession, d: str) -> DataFrame:
-    """Exact terciles with linear interpolation."""
-    p = F.percentile(F.col("num") / F.col("den"), F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return user_days(spark, d).groupBy("cohort").agg(p.alias("p")).select("cohort", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
+    """Exact terciles with linear interpolation, by selection: a cohort is a fifth of all rows."""
+    p = quantiles(user_days(spark, d).withColumn("rate", F.col("num") / F.col("den")), ["cohort"], "rate", [1 / 3, 2 / 3])
+    return p.select("cohort", F.round("q0", 6).alias("low"), F.round("q1", 6).alias("high"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from periodica.operators import joins as J
 from periodica.operators import windows as W
 from periodica.plans.base import LINES, USER_DAYS, lines, query, table, user_days
+from periodica.sources.shared import shared_dir
 
 
 @query(
@@ -245,6 +246,34 @@ def tall_to_wide(spark: SparkSession, d: str) -> DataFrame:
     return _signals(spark, d).groupBy("entity", "epoch").agg(pick("sold_A_off").alias("a_off"), pick("sold_A_def").alias("a_def"), pick("sold_R_off").alias("r_off"))
 
 
+_SIDES = [(side, unit, base) for side in ("home", "away") for base in ("A", "R") for unit in ("off", "def")]
+
+
+@query(
+    "op_J14_match_features",
+    f"""WITH {LINES}, b AS (SELECT entity, counterparty, epoch, kind, CAST(sum(qty) AS BIGINT) AS value, count(*) AS n FROM lines GROUP BY ALL),
+    r AS (SELECT entity, epoch, kind || '_off' AS signal, value, n FROM b UNION ALL SELECT counterparty, epoch, kind || '_def', value, n FROM b),
+    g AS (SELECT entity, epoch, signal, CAST(sum(value) AS BIGINT) AS value, sum(n)::DOUBLE / (sum(n) + 50) AS stab FROM r WHERE signal LIKE 'A%' OR signal LIKE 'R%' AND entity % 9 <> 4 GROUP BY ALL),
+    c AS (SELECT *, value - avg(value) OVER (PARTITION BY epoch, signal) AS mid FROM g), m AS (SELECT DISTINCT entity AS home, counterparty AS away, epoch FROM b),
+    w AS (SELECT entity, epoch, {", ".join(f"max(mid) FILTER (WHERE signal = '{b}_{u}') AS {u}__{b}, max(value) FILTER (WHERE signal = '{b}_{u}') AS {u}_raw__{b}, max(stab) FILTER (WHERE signal = '{b}_{u}') AS {u}_stab__{b}" for b in "AR" for u in ("off", "def"))} FROM c GROUP BY ALL),
+    f AS (SELECT m.epoch, home, away, CASE WHEN (home + away) % 7 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS h_home, {", ".join(f"{side}_.{u}{what}__{b} AS {side}_{u}{what}__{b}" for side, u, b in _SIDES for what in ("", "_raw", "_stab"))}
+      FROM m LEFT JOIN w home_ ON home_.entity = home AND home_.epoch = m.epoch LEFT JOIN w away_ ON away_.entity = away AND away_.epoch = m.epoch)
+    SELECT epoch, home, away, h_home, {", ".join(f"round({side}_{u}{what}__{b}, 6)::DOUBLE AS {side}_{u}{what}__{b}" for side, u, b in _SIDES for what in ("", "_raw", "_stab"))},
+     {" AND ".join(f"{side}_{u}__{b} IS NOT NULL" for side, u, b in _SIDES)} AS features_complete, CASE WHEN {" AND ".join(f"{side}_{u}__{b} IS NOT NULL" for side, u, b in _SIDES)} THEN round(least({", ".join(f"{side}_{u}_stab__{b}" for side, u, b in _SIDES)}), 6) END AS stability_min FROM f""",
+)
+def match_features(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with both sides' centred, raw and stability features from tall signals; a repeated signal raises (tested). The lines are read once."""
+    shared_dir(spark)
+    b = lines(spark, d, "entity", "counterparty", "epoch", "kind", "qty").groupBy("entity", "counterparty", "epoch", "kind").agg(F.sum("qty").alias("value"), F.count("*").alias("n")).checkpoint()
+    sides = F.explode(F.array(*[F.struct(F.col(who).alias("entity"), F.concat("kind", F.lit(unit)).alias("signal")) for who, unit in (("entity", "_off"), ("counterparty", "_def"))])).alias("s")
+    g = b.select("epoch", "value", "n", sides).groupBy("epoch", "s.entity", "s.signal").agg(F.sum("value").alias("value"), (F.sum("n") / (F.sum("n") + 50)).alias("stability"))
+    g = g.where(F.col("signal").startswith("A") | (F.col("entity") % 9 != 4))
+    m = b.select(F.col("entity").alias("home"), F.col("counterparty").alias("away"), "epoch").distinct()
+    m = m.withColumn("location", F.when((F.col("home") + F.col("away")) % 7 == 0, "Neutral").otherwise("Home"))
+    f = J.match_features(m, g, ["epoch"], ["A", "R"]).drop("location")
+    return f.select("epoch", "home", "away", "h_home", "features_complete", F.round("stability_min", 6).alias("stability_min"), *[F.round(F.col(c).cast("double"), 6).alias(c) for c in f.columns if "__" in c])
+
+
 @query(
     "op_J15_suffix_pairs",
     _SIGNALS + """, p AS (SELECT DISTINCT entity, counterparty, epoch FROM lines), o AS (SELECT *, regexp_replace(signal, '(_off|_def)$', '') AS base FROM s)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zoneinfo
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,58 @@ def typed_csv(spark: SparkSession, path: str, schema: str, lists: tuple[str, ...
     return df.withColumns({c: F.split(c, r"\|") for c in lists}) if lists else df
 
 
+def checked_header_csv(spark: SparkSession, path: str, schema: str, lists: tuple[str, ...] = ()) -> DataFrame:
+    """As `typed_csv`, but a header that isn't the schema's names in their order is refused; empty entries of lists are left out."""
+    df = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
+    return df.withColumns({c: F.filter(F.split(c, r"\|"), lambda x: x != "") for c in lists}) if lists else df
+
+
+def venue_rules(bases: tuple[str, ...], kept: tuple[str, ...], roofs: tuple[str, ...]) -> dict[str, Column]:
+    """Rules of a table of venues: names, coordinates and a bearing in range, codes of their sets, a bearing and its outline exactly where the basis keeps them, a zone that exists.
+
+    The zones are the ones that Python's zone database lists.
+    """
+    basis, bearing = F.col("bearing_basis"), F.col("bearing")
+    return {
+        "names": F.size("names") > 0,
+        "coordinates": F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180),
+        "roof": F.col("roof").isin(*roofs),
+        "basis": basis.isin(*bases),
+        "bearing_range": bearing.isNull() | ((bearing >= 0) & (bearing < 180)),
+        "bearing_iff_basis": basis.isin(*kept) == (bearing.isNotNull() & F.col("outline").isNotNull()),
+        "zone": F.col("zone").isin(*sorted(zoneinfo.available_timezones())),
+    }
+
+
+def expected_hours(start: Column, hours: int) -> Column:
+    """The texts (UTC, minutes, no zone) of as many hours from the one that holds the start; the session's zone is to be UTC."""
+    first = F.date_trunc("hour", start)
+    return F.transform(F.sequence(F.lit(0), F.lit(hours - 1)), lambda k: F.date_format(first + F.make_dt_interval(hours=k), "yyyy-MM-dd'T'HH:mm"))
+
+
+def hourly_rows(documents: DataFrame, column: str, expected: Column, units: dict[str, str], required: tuple[str, ...]) -> DataFrame:
+    """Hours of columnar documents, checked against what was asked for: one row an hour (hour_offset, valid_time and the variables), or one with the first fault as verdict.
+
+    units names the variables and their units. The verdict is `malformed`, `units`, `variables` (one isn't there, or not as long as the hours), `hours` (not exactly the expected ones, in order),
+    `no_data` (a null in a required variable) or `ok`; other variables may be null.
+    """
+    rest = [c for c in documents.columns if c != column]
+    fields = "units struct<time: string, " + ", ".join(f"{v}: string" for v in units) + ">, hourly struct<time: array<string>, " + ", ".join(f"{v}: array<double>" for v in units) + ">, _broken string"
+    d = documents.withColumn("_d", F.from_json(column, fields, {"columnNameOfCorruptRecord": "_broken"})).withColumn("_expected", expected)
+    every = lambda conds: reduce(lambda a, b: a & b, conds)
+    as_units = every([F.col(f"_d.units.{v}").eqNullSafe(F.lit(u)) for v, u in ({"time": "iso8601"} | units).items()])
+    there = every([F.size(f"_d.hourly.{v}").eqNullSafe(F.size("_d.hourly.time")) & F.col(f"_d.hourly.{v}").isNotNull() for v in units])
+    known = every([~F.exists(F.col(f"_d.hourly.{v}"), lambda x: x.isNull()) for v in required])
+    verdict = (
+        F.when(F.col("_d").isNull() | F.col("_d._broken").isNotNull(), "malformed").when(~as_units, "units").when(F.col("_d.hourly.time").isNull() | ~there, "variables")
+        .when(~F.col("_d.hourly.time").eqNullSafe(F.col("_expected")), "hours").when(~known, "no_data").otherwise("ok")
+    )
+    zipped = F.arrays_zip(F.col("_d.hourly.time"), *[F.col(f"_d.hourly.{v}") for v in units])
+    d = d.withColumn("verdict", verdict)
+    rows = d.select(*rest, "verdict", F.posexplode_outer(F.when(F.col("verdict") == "ok", zipped)).alias("hour_offset", "_z"))
+    return rows.select(*rest, "verdict", "hour_offset", F.col("_z.time").alias("valid_time"), *[F.col("_z").getField(v).alias(v) for v in units])
+
+
 def hourly_verdicts(documents: DataFrame, column: str, variable: str, unit: str) -> DataFrame:
     """Each document's first fault, or ok, and its number of hours: a foreign unit, hours that aren't an unbroken run, a null in the variable."""
     fields = f"units struct<{variable}: string>, hourly struct<time: array<int>, {variable}: array<double>>"
