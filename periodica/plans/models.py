@@ -10,8 +10,10 @@ from periodica.operators import rating as R
 from periodica.operators import registry as G
 from periodica.operators import stats as T
 from periodica.operators.rollup import error_metrics
+from periodica.operators.upsert import null_safe
 from periodica.plans.base import LINES, lines, query, table
 from periodica.plans.ratings import _ADJ, _ARMS, _EDGES, _EPOCHS, _RESULT, K, _adjacent, _edges, _epochs, _pairs, _round
+from periodica.sources.shared import shared_dir
 
 #: Rounds that the SQL makes; the solver stops by its tolerance, in cents a unit.
 _MANY = 40
@@ -121,6 +123,49 @@ def registry_blend(spark: SparkSession, d: str) -> DataFrame:
     return j.select("supp", "epoch", "metric", F.round(value, 5).alias("value"), F.round(family, 6).alias("family_stability"))
 
 
+#: k and r by metric and cohort as far as they are known; the rest is resolved from parents and the fallback cohort.
+_KNOWN = {
+    ("price", "c0"): (150.0, 0.8), ("price", "c1"): (400.0, 0.5), ("price", "c2"): (90.0, 0.0), ("price_r", "c0"): (60.0, 0.3), ("big_share", "c0"): (25.0, 0.6), ("big_share", "c3"): (45.0, 0.2),
+    ("big_share_a", "c3"): (70.0, 0.1), ("returned_share", "c1"): (80.0, 0.45), ("deep_share", "c2"): (15.0, 0.25), ("open_share", "c0"): (35.0, 0.0), ("full_returned_share", "c2"): (20.0, 0.15),
+}
+_BY_COHORT = G.resolved_shrinkage(G.WITH_PARTS, _KNOWN, "c0")
+_COHORT = "CASE WHEN s_nationkey % 6 < 5 THEN 'c' || s_nationkey % 6 END"
+
+
+@query(
+    "op_M5_metric_cohort_blend",
+    f"""WITH {LINES}, s AS MATERIALIZED (SELECT supp, epoch, {", ".join(f"sum(CASE WHEN {'segment % 3 <> 0' if m.charted else 'true'} THEN ({m.num})::DOUBLE END) AS {m.name}_num, sum(CASE WHEN {'segment % 3 <> 0' if m.charted else 'true'} THEN ({m.den})::DOUBLE END) AS {m.name}_den" for m in G.WITH_PARTS)} FROM lines GROUP BY ALL),
+    u AS ({" UNION ALL ".join(f"SELECT supp, epoch, '{m.name}' AS metric, '{m.family}' AS family, {m.name}_num AS num, {m.name}_den AS den FROM s" for m in G.WITH_PARTS)}),
+    kr(metric, cohort, k, r) AS (VALUES {", ".join(f"('{m}', '{c}', {k}::DOUBLE, {r}::DOUBLE)" for (m, c), (k, r) in _BY_COHORT.items())}),
+    t AS MATERIALIZED (SELECT u.*, {_COHORT} AS cohort, coalesce(a.k, z.k) AS k, coalesce(a.r, z.r) AS r FROM u JOIN supplier ON supp = s_suppkey LEFT JOIN kr a ON a.metric = u.metric AND a.cohort = {_COHORT} JOIN kr z ON z.metric = u.metric AND z.cohort = 'c0' WHERE den > 0),
+    l AS (SELECT metric, cohort, epoch, sum(num) / sum(den) AS league FROM t GROUP BY ALL), b AS (SELECT t.*, l.league FROM t JOIN l ON l.metric = t.metric AND l.epoch = t.epoch AND l.cohort IS NOT DISTINCT FROM t.cohort),
+    j AS (SELECT b.*, (p.num + b.k * p.league) / (p.den + b.k) AS prior, coalesce(p.den / (p.den + b.k), 0) AS held FROM b LEFT JOIN b p ON p.supp = b.supp AND p.metric = b.metric AND p.epoch = b.epoch - 1),
+    w AS (SELECT *, den / (den + k) AS wc, CASE WHEN prior IS NULL THEN 0 ELSE (1 - den / (den + k)) * r END AS wp FROM j)
+    SELECT supp, epoch, metric, cohort, k, r, round(wc * num / den + wp * coalesce(prior, 0) + (1 - wc - wp) * league, 5) AS value, round(avg(wc + wp * held) OVER (PARTITION BY supp, epoch, family), 6) AS family_stability FROM w""",
+)
+def metric_cohort_blend(spark: SparkSession, d: str) -> DataFrame:
+    """M5, 2.10: every metric and part blended with k and r of its metric and cohort, parents and a fallback cohort filling what isn't known; the mean is the cohort's.
+
+    The lines are read once: sums are checkpointed, and last epoch's row comes by a window over an entity's epochs.
+    """
+    shared_dir(spark)
+    x = lines(spark, d, "supp", "epoch", "segment", "kind", "status", "qty", "cents", "disc")
+    t = G.tall(G.sums_of(x, ["supp", "epoch"], G.WITH_PARTS, F.col("segment") % 3 != 0), ["supp", "epoch"], G.WITH_PARTS).where("den > 0")
+    nation = F.col("s_nationkey") % 6
+    of = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supp"), F.when(nation < 5, F.concat(F.lit("c"), nation.cast("string"))).alias("cohort"))
+    t = G.shrunk_by_cohort(t.join(of, "supp"), _BY_COHORT, "cohort", "c0").checkpoint()
+    league = t.groupBy("metric", "cohort", "epoch").agg((F.sum("num") / F.sum("den")).alias("league"))
+    last = F.lag(F.struct("epoch", "num", "den", "league")).over(Window.partitionBy("supp", "metric").orderBy("epoch"))
+    j = null_safe(t, league, ["metric", "cohort", "epoch"], "inner").withColumn("p", last).withColumn("p", F.when(F.col("p.epoch") == F.col("epoch") - 1, F.col("p")))
+    prior = (F.col("p.num") + F.col("k") * F.col("p.league")) / (F.col("p.den") + F.col("k"))
+    wc = F.col("den") / (F.col("den") + F.col("k"))
+    wp = F.when(F.col("p").isNotNull(), (1 - wc) * F.col("r")).otherwise(0.0)
+    value = wc * F.col("num") / F.col("den") + wp * F.coalesce(prior, F.lit(0.0)) + (1 - wc - wp) * F.col("league")
+    held = F.coalesce(F.col("p.den") / (F.col("p.den") + F.col("k")), F.lit(0.0))
+    family = F.avg(wc + wp * held).over(Window.partitionBy("supp", "epoch", "family"))
+    return j.select("supp", "epoch", "metric", "cohort", "k", "r", F.round(value, 5).alias("value"), F.round(family, 6).alias("family_stability"))
+
+
 _ROLES = {"supplier": "supp", "customer": "cust", "part": "part"}
 
 
@@ -130,8 +175,8 @@ _ROLES = {"supplier": "supp", "customer": "cust", "part": "part"}
     SELECT id, epoch, {G.assembled_sql(_ROLES)} FROM x GROUP BY id, epoch""",
 )
 def assembled_roles(spark: SparkSession, d: str) -> DataFrame:
-    """A4, A5, 2.10: 26, 33 and 32 generated aggregates of three roles per id, charted columns over their own denominators, in one grouping."""
-    return G.assembled(lines(spark, d, "segment", "epoch", "kind", "status", "qty", "cents", "disc", "supp", "cust", "part"), _ROLES, ["epoch"], F.col("segment") % 3 != 0)
+    """A4, A5, 2.10: each of three roles sums what its list says, per id, charted columns over their own denominators, in one grouping."""
+    return G.assembled(lines(spark, d, "segment", "step", "epoch", "kind", "status", "qty", "cents", "disc", "supp", "cust", "part"), _ROLES, ["epoch"], F.col("segment") % 3 != 0)
 
 
 @query(
@@ -185,6 +230,35 @@ def ratio_to_parent(spark: SparkSession, d: str) -> DataFrame:
     return v.where("part <> 'both'").select(F.col("part").alias("side"), F.round(F.col("within") / whole, 6).alias("within_to_parent"))
 
 
+#: Prices of all lines and of two kinds, which are its parts; SQL groups by epoch and metric in one number.
+_PARTS = {"all": "true", "accepted": "kind = 'A'", "returned": "kind = 'R'"}
+_PRICED = f"""{LINES}, p AS (SELECT epoch * 10 + m AS epoch, entity, counterparty, sum(cents)::DOUBLE AS num, sum(qty)::DOUBLE AS den FROM (SELECT *, unnest([{", ".join(f"CASE WHEN {c} THEN {i} END" for i, c in enumerate(_PARTS.values()))}]) AS m FROM lines) WHERE m IS NOT NULL GROUP BY ALL),""" + _FIXED.split("GROUP BY ALL),", 1)[1]
+
+
+@query(
+    "op_M10_k0_by_side",
+    "WITH " + _PRICED + "".join(_round(i, 0.0) for i in range(1, _MANY + 1)) + f""", x AS (SELECT a.epoch % 10 AS m, a.side, a.epoch // 10 || '|' || a.id AS id, (a.num + a.den * (a.league - r.value)) / a.den AS x, a.den AS d FROM arm a JOIN r{_MANY} r ON r.epoch = a.epoch AND r.id = a.opp AND r.side = a.opp_side),
+    e AS (SELECT m, side, id, sum(d) AS dd, count(*) AS g, sum(x * d) / sum(d) AS mean, sum(d * x * x) AS sq FROM x GROUP BY ALL HAVING count(*) >= 2),
+    v AS (SELECT m, side, count(*) AS entities, sum(sq - dd * mean * mean) / sum(g - 1) AS within, sum(dd) AS n, sum(dd * dd) AS nn, sum(dd * mean) AS s, sum(dd * mean * mean) AS q FROM e GROUP BY ALL),
+    b AS (SELECT *, (q - s * s / n - (entities - 1) * within) / (n - nn / n) AS tau FROM v), k AS (SELECT *, CASE WHEN tau > 0 THEN within / tau END AS k0 FROM b)
+    SELECT ['{"', '".join(_PARTS)}'][CAST(a.m AS INTEGER) + 1] AS metric, a.side, a.entities, round(a.within / 1e6, 1) AS within, round(a.k0, 1) AS k0, CASE WHEN a.m > 0 THEN round(a.k0 / p.k0, 3) END AS to_parent FROM k a JOIN k p ON p.m = 0 AND p.side = a.side""",
+)
+def k0_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """k0 (variance within over between entity-epochs) of rows adjusted by the converged unshrunk ratings, by metric and side, and the ratio of a part's to its parent's; null where there is no excess between."""
+    shared_dir(spark)
+    of = F.explode(F.array_compact(F.array(*[F.when(F.expr(c), name) for name, c in _PARTS.items()])))
+    x = lines(spark, d, "epoch", "entity", "counterparty", "kind", "qty", "cents").withColumn("metric", of)
+    group = ["metric", "epoch"]
+    pairs = x.groupBy(*group, "entity", "counterparty").agg(F.sum("cents").cast("double").alias("num"), F.sum("qty").cast("double").alias("den")).checkpoint()
+    seen = R.solved(pairs, group, 0.0, TOLERANCE).select(*group, F.col("id").alias("opp"), F.col("side").alias("opp_side"), "value")
+    rows = R.arms(pairs, group).join(seen, [*group, "opp", "opp_side"])
+    rows = rows.select("metric", "side", F.concat_ws("|", "epoch", "id").alias("id"), ((F.col("num") + F.col("den") * (F.col("league") - F.col("value"))) / F.col("den")).alias("x"), F.col("den").alias("d"))
+    k = T.variance_components(rows, ["metric", "side"], "id", "x", "d").checkpoint()
+    parent = k.where("metric = 'all'").select("side", F.col("k0").alias("parent_k0"))
+    ratio = F.when(F.col("metric") != "all", F.round(F.col("k0") / F.col("parent_k0"), 3))
+    return k.join(parent, "side").select("metric", "side", "entities", F.round(F.col("within") / 1e6, 1).alias("within"), F.round("k0", 1).alias("k0"), ratio.alias("to_parent"))
+
+
 _SIDES = f"""{_EPOCHS}, c AS (SELECT supp, epoch, num / den / 1e5 - avg(num / den / 1e5) OVER (PARTITION BY epoch) AS off, CASE WHEN supp % 6 <> 0 THEN den / 100 - avg(den / 100) OVER (PARTITION BY epoch) END AS def FROM g),
 m AS (SELECT a.epoch, a.supp AS home, b.supp AS away, 22.5::DOUBLE + 1.5 + 3 * a.off - 2 * b.def AS hp, 22.5::DOUBLE + 3 * b.off - 2 * a.def AS ap FROM c a JOIN c b ON a.epoch = b.epoch AND b.supp = a.supp + 1)"""
 

@@ -103,3 +103,23 @@ def test_hourly_documents_are_held_against_the_hours_asked_for(spark):
     rows = readers.hourly_rows(docs, "doc", readers.expected_hours(F.col("at"), 2), {"w": "mp/h", "g": "mp/h"}, ("w",)).collect()
     assert {r.k: r.verdict for r in rows} == {"ok": "ok", "units": "units", "variables": "variables", "short": "variables", "late": "hours", "early_end": "hours", "no_data": "no_data", "malformed": "malformed", "null": "malformed"}
     assert [(r.hour_offset, r.valid_time, r.w, r.g) for r in rows if r.k == "ok"] == [(0, "2024-03-09T23:00", 1.0, None), (1, "2024-03-10T00:00", 2.0, 5.0)]
+
+
+def test_shrinkage_comes_from_parents_and_the_fallback_cohort(spark):
+    from periodica.operators import registry as G
+
+    ms = [G.Metric("part", "f", "1", "1", 9.0, 0.9, parent="whole"), G.Metric("whole", "f", "1", "1", 5.0, 0.5), G.Metric("other", "f", "1", "1", 7.0, 0.7)]
+    known = {("whole", "x"): (1.0, 0.1), ("whole", "y"): (2.0, 0.2), ("part", "y"): (3.0, 0.3)}
+    got = G.resolved_shrinkage(ms, known, "x")
+    assert got == {("part", "x"): (1.0, 0.1), ("part", "y"): (3.0, 0.3), ("whole", "x"): (1.0, 0.1), ("whole", "y"): (2.0, 0.2), ("other", "x"): (7.0, 0.7), ("other", "y"): (7.0, 0.7)}
+    rows = spark.createDataFrame([("part", "y"), ("part", "z"), ("whole", None)], "metric string, cohort string").withColumns({"k": F.lit(0.0), "r": F.lit(0.0)})
+    assert [(r.metric, r.k, r.r) for r in G.shrunk_by_cohort(rows, got, "cohort", "x").collect()] == [("part", 3.0, 0.3), ("part", 1.0, 0.1), ("whole", 1.0, 0.1)]
+    with pytest.raises(ValueError, match="circle"):
+        G.resolved_shrinkage([G.Metric("a", "f", "1", "1", 1.0, 0.0, parent="b"), G.Metric("b", "f", "1", "1", 1.0, 0.0, parent="a")], {}, "x")
+
+
+def test_roles_sum_different_things():
+    from periodica.operators import registry as G
+
+    lists = [set(v.items()) for v in G.ROLES.values()]
+    assert all(len(a & b) < len(a) / 2 for a in lists for b in lists if a is not b)
