@@ -180,8 +180,12 @@ def summary_of_rates(rows: DataFrame, slice_: str, hit: Column, decided: Column,
 
 
 def fingerprint(rows: DataFrame, keys: list[str], numbers: list[str], texts: list[str]) -> DataFrame:
-    """Order-free digest of rows per key: numbers at nine decimals, so noise of the last bits doesn't count; null has its own token."""
-    number = lambda c: F.coalesce(F.format_string("%.9f", F.col(c)), F.lit("null")) if c in numbers else F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    """Order-free digest of rows per key: numbers at nine decimals, so noise of the last bits doesn't count; null has its own token.
+
+    A number is rounded as the binary value that it is. `format_string` rounds its shortest decimal form instead, half up, and so may give another last digit.
+    """
+    nine = F.udf(lambda x: None if x is None else f"{x:.9f}", "string", useArrow=True)
+    number = lambda c: F.coalesce(nine(F.col(c).cast("double")), F.lit("null")) if c in numbers else F.coalesce(F.col(c).cast("string"), F.lit("null"))
     text = F.concat_ws(";", *[F.when(F.col(c).isNull(), F.lit(f"{c}=null")).otherwise(F.concat(F.lit(f"{c}="), number(c))) for c in sorted([*numbers, *texts])])
     h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
     return rows.select(*keys, h.alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string").alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
