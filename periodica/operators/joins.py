@@ -100,10 +100,14 @@ def match_features(matches: DataFrame, signals: DataFrame, keys: list[str], base
 
 
 def next_candidate(rows: DataFrame, slot: list[str], rank: str, member: str, flagged: Column) -> DataFrame:
-    """For each flagged member the best-ranked unflagged one behind it in its slot, by one window instead of a theta join."""
-    w = Window.partitionBy(*slot).orderBy(F.col(rank), F.col(member)).rowsBetween(1, Window.unboundedFollowing)
+    """For each flagged member the best-ranked unflagged one behind it in its slot, by one window instead of a theta join.
+
+    The window runs from the last rank to the first and looks back, so each row is taken in once; a frame that reaches ahead to the end
+    is gone through anew for every row.
+    """
+    w = Window.partitionBy(*slot).orderBy(F.desc(rank), F.desc(member)).rowsBetween(Window.unboundedPreceding, -1)
     healthy = F.when(~flagged, F.struct(F.col(rank).alias("r"), F.col(member).alias("m")))
-    found = rows.withColumn("_next", F.first(healthy, ignorenulls=True).over(w)).where(flagged)
+    found = rows.withColumn("_next", F.last(healthy, ignorenulls=True).over(w)).where(flagged)
     return found.select(*slot, member, rank, F.col("_next.m").alias("replacement"), (F.col("_next.r") - F.col(rank)).alias("rank_delta"))
 
 

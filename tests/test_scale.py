@@ -26,3 +26,16 @@ def test_fingerprint_rounds_the_binary_value(spark):
     want = sum(int(hashlib.md5(r.encode()).hexdigest()[:12], 16) for r in rows)
     got = stats.fingerprint(spark.createDataFrame([(1, x) for x in numbers], "k int, v double"), ["k"], ["v"], []).first()
     assert (got.n, got.hash_sum) == (len(numbers), str(want))
+
+
+def test_next_candidate_goes_through_a_slot_once(spark):
+    dice = random.Random(5)
+    rows = [(dice.choice([1, 2, None]), k, k, dice.random() < 0.6) for k in range(200)]
+    out = joins.next_candidate(spark.createDataFrame(rows, "slot int, rank int, member int, flagged boolean"), ["slot"], "rank", "member", F.col("flagged"))
+    want = []
+    for slot, rank, member, flagged in rows:
+        if flagged:
+            behind = [r for r in rows if r[0] == slot and r[1] > rank and not r[3]]
+            want.append((slot, member, rank, behind[0][2] if behind else None, behind[0][1] - rank if behind else None))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert "unboundedfollowing" not in plan_of(out)
