@@ -265,10 +265,13 @@ m AS (SELECT a.epoch, a.supp AS home, b.supp AS away, 22.5::DOUBLE + 1.5 + 3 * a
 
 @query("op_M13_projected_scores", f"WITH {_SIDES} SELECT epoch, home, away, round(hp, 5) AS home_points, round(ap, 5) AS away_points, round(hp - ap, 5) AS margin, round(ap - hp, 5) AS spread, round(hp + ap, 5) AS total FROM m")
 def projected_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Both sides' points from centred ratings; margin, spread (its negative) and total, null unless all inputs are known."""
+    """Both sides' points from centred ratings; margin, spread (its negative) and total, null unless all inputs are known.
+
+    The means are one row an epoch, and are broadcast.
+    """
     g = _epochs(spark, d).select("supp", "epoch", (F.col("num") / F.col("den") / 1e5).alias("off"), (F.col("den") / 100).alias("size"))
     means = g.groupBy("epoch").agg(F.avg("off").alias("mo"), F.avg("size").alias("ms"))
-    c = g.join(means, "epoch").select("epoch", "supp", (F.col("off") - F.col("mo")).alias("off"), F.when(F.col("supp") % 6 != 0, F.col("size") - F.col("ms")).alias("def"))
+    c = g.join(F.broadcast(means), "epoch").select("epoch", "supp", (F.col("off") - F.col("mo")).alias("off"), F.when(F.col("supp") % 6 != 0, F.col("size") - F.col("ms")).alias("def"))
     home, away = c.toDF("epoch", "home", "ho", "hd"), c.withColumn("home", F.col("supp") - 1).toDF("epoch", "away", "ao", "ad", "home")
     hp, ap = S.projected_points(F.col("ho"), F.col("ad"), True), S.projected_points(F.col("ao"), F.col("hd"), False)
     m = home.join(away, ["epoch", "home"]).select("epoch", "home", "away", hp.alias("hp"), ap.alias("ap"))

@@ -12,6 +12,7 @@ from periodica.operators.joins import adjacent
 from periodica.operators.rollup import error_metrics
 from periodica.operators.windows import midrank
 from periodica.plans.base import LINES, lines, query, table
+from periodica.sources.shared import shared_dir
 
 K = 50.0
 ROUNDS = 3
@@ -71,7 +72,9 @@ _EPOCHS = f"""{LINES}, g AS (SELECT supp, epoch, sum(cents)::DOUBLE AS num, sum(
 
 
 def _epochs(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d, "supp", "epoch", "cents", "qty").groupBy("supp", "epoch").agg(F.sum("cents").cast("double").alias("num"), F.sum("qty").cast("double").alias("den"))
+    """Sums of a supplier's epoch, checkpointed: most queries read them several times, and the lines are to be read once."""
+    shared_dir(spark)
+    return lines(spark, d, "supp", "epoch", "cents", "qty").groupBy("supp", "epoch").agg(F.sum("cents").cast("double").alias("num"), F.sum("qty").cast("double").alias("den")).checkpoint()
 
 
 @query(
