@@ -110,12 +110,16 @@ def _registered(spark: SparkSession, d: str) -> DataFrame:
     SELECT supp, epoch, metric, round(wc * cur + wp * coalesce(prior, 0) + (1 - wc - wp) * league, 5) AS value, round(avg(wc + wp * held) OVER (PARTITION BY supp, epoch, family), 6) AS family_stability FROM w""",
 )
 def registry_blend(spark: SparkSession, d: str) -> DataFrame:
-    """M5, 2.10: every registered metric blended with its shrunk prior; stability of a family is the mean weight of what was observed. Null samples have no row."""
-    t = _registered(spark, d)
+    """M5, 2.10: every registered metric blended with its shrunk prior; stability of a family is the mean weight of what was observed. Null samples have no row.
+
+    The lines are read once: sums are checkpointed, and last epoch's row comes by a window over an entity's epochs.
+    """
+    shared_dir(spark)
+    t = _registered(spark, d).checkpoint()
     league = t.groupBy("metric", "epoch").agg((F.sum("num") / F.sum("den")).alias("league"))
-    t = t.join(league, ["metric", "epoch"])
-    prior = t.where("den > 0").select("supp", "metric", (F.col("epoch") + 1).alias("epoch"), ((F.col("num") + F.col("k") * F.col("league")) / (F.col("den") + F.col("k"))).alias("prior"), (F.col("den") / (F.col("den") + F.col("k"))).alias("held"))
-    j = t.where("den > 0").join(prior, ["supp", "metric", "epoch"], "left")
+    last = F.lag(F.struct("epoch", "num", "den", "league")).over(Window.partitionBy("supp", "metric").orderBy("epoch"))
+    j = t.where("den > 0").join(F.broadcast(league), ["metric", "epoch"]).withColumn("p", last).withColumn("p", F.when(F.col("p.epoch") == F.col("epoch") - 1, F.col("p")))
+    j = j.withColumn("prior", (F.col("p.num") + F.col("k") * F.col("p.league")) / (F.col("p.den") + F.col("k"))).withColumn("held", F.col("p.den") / (F.col("p.den") + F.col("k")))
     wc = F.col("den") / (F.col("den") + F.col("k"))
     wp = F.when(F.col("prior").isNotNull(), (1 - wc) * F.col("r")).otherwise(0.0)
     value = wc * F.col("num") / F.col("den") + wp * F.coalesce("prior", F.lit(0.0)) + (1 - wc - wp) * F.col("league")

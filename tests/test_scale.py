@@ -41,6 +41,6 @@ def test_next_candidate_goes_through_a_slot_once(spark):
     assert "unboundedfollowing" not in plan_of(out)
 
 
-@pytest.mark.parametrize("name", ["op_M13_projected_scores", "op_M3_combined_discounts", "op_M3_continuity_discounts", "op_M4_three_way_blend", "op_M5_cohort_blend"])
+@pytest.mark.parametrize("name", ["op_M13_projected_scores", "op_M3_combined_discounts", "op_M3_continuity_discounts", "op_M4_three_way_blend", "op_M5_cohort_blend", "op_M5_registry_blend"])
 def test_lines_are_summed_once(spark, name):
     assert "lineitem" not in plan_of(QUERIES[name](spark, DATA))
