@@ -63,18 +63,34 @@ def assembled(rows: DataFrame, roles: dict[str, str], keys: list[str], charted:
 
     `roles` maps a role to its id column. Aggregates named `charted_` count charted rows only, beside their own
     denominator `<role>_charted`; they are null where no row of the role is charted.
+
+    Rows are shuffled once and as they are, by id and keys: a line's few columns are far less than sums of all roles, and there are few rows an id.
+    Behind that, a role's sums stand in slots that the roles share, so a row goes into its own role's sums only. All rows of an id and its keys meet in one task, as a stream.
     """
-    of = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).alias("id")) for role, c in roles.items()]))
-    tall = rows.withColumn("charted", charted).withColumn("_r", of).select("*", "_r.*").where("id IS NOT NULL")
-    aggs = []
-    for role in roles:
-        mine = F.col("role") == role
-        aggs.append(F.nullif(F.count_if(mine), F.lit(0)).alias(f"{role}_rows"))
-        aggs.append(F.nullif(F.count_if(mine & F.col("charted")), F.lit(0)).alias(f"{role}_charted"))
-        for name, expr in ROLES[role].items():
-            counted = mine & F.col("charted") if name.startswith("charted_") else mine
-            aggs.append(F.sum(F.when(counted, F.coalesce(F.expr(expr), F.lit(0)))).alias(f"{role}_{name}"))
-    return tall.groupBy("id", *keys).agg(*aggs)
+    names = {role: ["rows", "charted", *ROLES[role]] for role in roles}
+    slots = [f"_{i}" for i in range(max(map(len, names.values())))]
+    used = [c for c in rows.columns if c not in roles.values()]
+
+    def slot(role: str, i: int) -> Column:
+        name = names[role][i] if i < len(names[role]) else None
+        if name is None:
+            return F.lit(None).cast("long")
+        if name in ("rows", "charted"):
+            return F.lit(1).cast("long") if name == "rows" else F.when(F.col("charted"), F.lit(1).cast("long"))
+        value = F.coalesce(F.expr(ROLES[role][name]), F.lit(0)).cast("long")
+        return F.when(F.col("charted"), value) if name.startswith("charted_") else value
+
+    def by_role(i: int) -> Column:
+        out = F.lit(None).cast("long")
+        for n, role in enumerate(roles):
+            out = F.when(F.col("_role") == n, slot(role, i)).otherwise(out)
+        return out
+
+    of = F.explode(F.array(*[F.struct(F.lit(n).alias("_role"), F.col(c).alias("id")) for n, c in enumerate(roles.values())]))
+    tall = rows.withColumn("charted", charted).withColumn("_r", of).select(*used, "charted", "_r.*").where("id IS NOT NULL").repartition("id", *keys)
+    sums = tall.select("id", *keys, "_role", *[by_role(i).alias(c) for i, c in enumerate(slots)]).groupBy("id", *keys, "_role").agg(*[F.sum(c).alias(c) for c in slots])
+    each = sums.groupBy("id", *keys).agg(*[F.max(F.when(F.col("_role") == n, F.struct(*slots))).alias(f"_of_{n}") for n in range(len(roles))])
+    return each.select("id", *keys, *[F.col(f"_of_{n}")[slots[i]].alias(f"{role}_{name}") for n, role in enumerate(roles) for i, name in enumerate(names[role])])
 
 
 def assembled_sql(roles: dict[str, str]) -> str:

@@ -44,3 +44,14 @@ def test_next_candidate_goes_through_a_slot_once(spark):
 @pytest.mark.parametrize("name", ["op_M13_projected_scores", "op_M3_combined_discounts", "op_M3_continuity_discounts", "op_M4_three_way_blend", "op_M5_cohort_blend", "op_M5_registry_blend"])
 def test_lines_are_summed_once(spark, name):
     assert "lineitem" not in plan_of(QUERIES[name](spark, DATA))
+
+
+def test_roles_are_assembled_from_narrow_rows(spark):
+    rows = spark.createDataFrame([(1, 7, 7, None, 2000, 2, 40, 6000000, 8, "R", "O", 1, True), (1, 8, 7, 7, 2000, 3, 1, 100, 0, "A", "F", 2, None)], "segment int, supp long, cust long, part long, epoch int, n int, qty long, cents long, disc int, kind string, status string, step int, c boolean")
+    out = registry.assembled(rows, {"supplier": "supp", "customer": "cust", "part": "part"}, ["epoch"], F.col("c"))
+    got = {r.id: r for r in out.collect()}
+    assert (got[7].supplier_rows, got[7].customer_rows, got[7].part_rows, got[8].part_rows) == (1, 2, 1, None)
+    assert (got[7].customer_cents, got[7].customer_charted, got[8].supplier_charted, got[8].supplier_charted_deep, got[7].supplier_charted_deep) == (6000100, 1, None, None, 1)
+    # Rows are shuffled before they are summed, and only then.
+    plan = plan_of(out).split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(") == 1 and plan.index("Aggregate") < plan.index("hashpartitioning(") and "partial_sum" not in plan[plan.index("hashpartitioning(") :]
