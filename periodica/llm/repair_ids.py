@@ -169,26 +169,31 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, each: int = 2048, le
     """(symbols, ends in symbols, rules) of a block whose ids are below first, which must leave room in 16 bits."""
     if first > 1 << 16 or len(ids) and int(ids.max()) >= first:
         raise ValueError("ids do not fit 16 bits, or one is as large as the first rule")
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[ends - 1] = True
+    # Places where a pair may occur often. Replacing makes no new pair of old symbols, so one that is rare stays rare and isn't counted again.
+    alive = ~last
     rules: list[np.ndarray] = []
     name = first
-    while len(symbols) > 1 and name < 1 << 16:
-        keys = symbols[:-1] << 17 | symbols[1:]
-        keys[last[:-1]] = -1
-        bins = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.bincount(bins, minlength=1 << 20) >= least
-        at = np.flatnonzero(often[bins] & (keys >= 0))
-        pairs, which, n = np.unique(keys[at], return_inverse=True, return_counts=True)
+    while name < 1 << 16:
+        at = np.flatnonzero(alive)
+        keys = symbols[at] << np.uint32(16) | symbols[at + 1]
+        bins = (keys * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        often = (np.bincount(bins, minlength=1 << 20) >= least)[bins]
+        at = at[often]
+        pairs, which, n = np.unique(keys[often], return_inverse=True, return_counts=True)
         chosen = np.lexsort((pairs, -n))[: min(each, (1 << 16) - name)]
         chosen = chosen[n[chosen] >= least]
         if not len(chosen):
             break
+        alive[:] = False
+        alive[at[(n >= least)[which]]] = True
         number = np.full(len(pairs), -1)
         number[chosen] = np.arange(len(chosen))
-        taken = number[which] >= 0
-        at, rule = at[taken], number[which[taken]]
+        number = number[which]
+        taken = np.flatnonzero(number >= 0)
+        at, rule = at[taken], number[taken]
         # Of a run of overlapping occurrences every second one is replaced.
         run = np.concatenate([[True], np.diff(at) > 1])
         first_of_run = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -198,9 +203,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, each: int = 2048, le
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([pairs[chosen] >> 17, pairs[chosen] & 0x1FFFF], 1).astype(np.int32))
+        made = np.zeros(len(symbols), bool)
+        made[at] = True
+        symbols, last, alive, made = symbols[keep], last[keep], alive[keep], made[keep]
+        alive |= made
+        alive[:-1] |= made[1:]
+        alive &= ~last
+        rules.append(np.stack([pairs[chosen] >> 16, pairs[chosen] & 0xFFFF], 1).astype(np.int32))
         name += len(chosen)
+    symbols = symbols.astype(np.int64)
     return symbols, np.flatnonzero(last) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)
 
 
