@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from periodica.operators import locks as L
 from periodica.operators import state as ST
 from periodica.sources.shared import shared_path
 
@@ -72,6 +73,43 @@ def change_log(rows: DataFrame, key: str, order: str, tracked: str) -> DataFrame
     return spark.read.schema(schema).parquet(*[f"{out}/batch={n}" for n in last]) if last else spark.createDataFrame([], schema)
 
 
+def locks(runs: DataFrame, keys: list[str], lead: int, late: int = 600_000_000) -> DataFrame:
+    """Runs the stream of (keys, start long, at long, id long) and returns its locks (keys, start, kind, id), as `operators.locks` defines them.
+
+    A micro-batch is one grouping of its runs behind the earliest runs of the starts that are still open. A start is given out once, by the micro-batch whose newest
+    run is more than `late` microseconds past it; starts not passed so far are still open. Runs that come behind the mark left by the micro-batch
+    before are dropped, so a lock that was given out can't change. No start is a call of its own, as it is in `lock_timers`.
+    """
+    spark, names = runs.sparkSession, [*keys, "start"]
+    kinds = dict(runs.dtypes)
+    typed = ", ".join(f"`{k}` {kinds[k]}" for k in names)
+    schema, open_schema = f"{typed}, kind string, id long", f"{typed}, first struct<at: long, id: long>"
+    out, top = shared_path(spark, "locks"), shared_path(spark, "locks-open")
+    marks: dict[int, int | None] = {}
+
+    def fold(batch: DataFrame, number: int) -> None:
+        before = max((n for n in marks if n < number), default=None)
+        mark = None if before is None else marks[before]
+        new = batch.select(*names, "at", "id").where("at is not null and start is not null")
+        if mark is not None:
+            new = new.where(F.col("at") >= mark)
+        inside = (F.col("at") >= F.col("start") - lead * L.HOUR) & (F.col("at") < F.col("start"))
+        first = new.where("at < start").select(*names, F.when(inside, F.struct("at", "id")).alias("first"))
+        if before is not None:
+            held = spark.read.schema(open_schema).parquet(f"{top}/{before}")
+            first = first.unionByName(held if mark is None else held.where(F.col("start") >= mark))
+        first.groupBy(*names).agg(F.min("first").alias("first")).write.mode("overwrite").parquet(f"{top}/{number}")
+        newest = new.agg(F.max("at")).first()[0]  # one number
+        marks[number] = mark if newest is None else max(newest - late, newest - late if mark is None else mark)
+        known = spark.read.schema(open_schema).parquet(f"{top}/{number}")
+        passed = known.where(F.col("start") < F.lit(marks[number]).cast("long"))
+        given = passed.select(*names, F.when(F.col("first").isNull(), "missed").otherwise("locked").alias("kind"), F.col("first.id").alias("id"))
+        given.unionByName(new.where("at >= start").select(*names, F.lit("rejected").alias("kind"), "id")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    upserting(runs, fold)
+    return spark.read.schema(schema).parquet(*[f"{out}/batch={n}" for n in marks]) if marks else spark.createDataFrame([], schema)
+
+
 def upserting(rows: DataFrame, merge: Callable[[DataFrame, int], None]) -> None:
     """Hands each micro-batch to a merge, which must bear being given one twice."""
     state = shared_path(rows.sparkSession, "upsert-state")

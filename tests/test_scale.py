@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from periodica.operators import joins, registry, stats
 from periodica.queries import QUERIES
+from periodica.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
 
@@ -55,3 +56,22 @@ def test_roles_are_assembled_from_narrow_rows(spark):
     # Rows are shuffled before they are summed, and only then.
     plan = plan_of(out).split("Initial Plan")[-1]
     assert plan.count("hashpartitioning(") == 1 and plan.index("Aggregate") < plan.index("hashpartitioning(") and "partial_sum" not in plan[plan.index("hashpartitioning(") :]
+
+
+def test_streamed_locks_give_each_start_once_and_drop_late_runs(spark, tmp_path):
+    hour, schema = 3_600_000_000, "user_id long, start long, at long, id long"
+    one, two = 1000 * hour, 1100 * hour
+    batches = [
+        [(1, one, one - 50 * hour, 1), (1, one, one - 3 * hour, 2), (2, one, one - 60 * hour, 3), (4, one, None, 4), (5, None, one, 5)],
+        # An earlier run than the one held, a start that is passed, a run after its start, a null key.
+        [(1, one, one - 3 * hour, 0), (3, two, one + hour, 7), (1, one, one + 2, 8), (None, one, one - 4 * hour, 9)],
+        # Late runs for a lock given out and for an open start; an earlier id at the time held.
+        [(1, one, one - 40 * hour, 10), (3, two, one - 2 * hour, 11), (3, two, two - hour, 6)],
+        [(6, 2000 * hour, 1900 * hour, 12), (3, two, two + 1, 13)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r.user_id or 0, r.kind, r.id) for r in streams.locks(rows, ["user_id"], 48).collect())
+    # 9 lies behind the mark of the first micro-batch, ten minutes before its newest run.
+    assert got == [(1, "locked", 0), (1, "rejected", 8), (2, "missed", None), (3, "locked", 6), (3, "rejected", 13)]
