@@ -18,11 +18,13 @@ Two uses:
   probability (README: measured recall). Pairs that meet and agree in `LEAST` bytes are verified by the exact
   similarity of their shingle sets.
 
-In `drop_near_copies` a posting's pairs are never all made at once. Every round compares the members of a posting with its
+In `drop_near_copies` a large posting's pairs are never made. Every round compares the members of a posting with its
 leader, the text that shares most entries with others, which is one ordered window over the postings and grows
-with their rows only. Members that are copies leave all postings, leaders leave theirs, and the rest goes on
-with four times as many leaders, until no posting has two texts. So no two texts are kept that share an entry
-and are similar. Postings that hold more than 1 / HOT of all texts are first worked off in salted parts.
+with their rows only. Members that are copies leave all postings, leaders leave theirs. Postings of up to CROWD of the rest
+give pairs. The rest of a larger one is written as differences from a centre (symmetric difference is a metric), and dealt to finer postings:
+two texts that are both far from the centre, and copies of each other, have a part of these differences in common, and meet again under one of
+their rarer shingles. The next round has these postings, and pairs of LEADERS times as many, until no posting is left. So no two texts are kept
+that share an entry and are similar. Postings that hold more than 1 / HOT of all texts are first worked off in salted parts.
 
 3-word fingerprints: A-Z lower-cased, words split at ASCII white space, shingles with repeats, XXH64 (seed 42); a
 bit is 1 if set in over half of the hashes. Fewer words than a shingle: the whole sequence.
@@ -70,6 +72,8 @@ COPY_BYTES, COPY_GROUP, COPY_WIDTH = 60, 6, 3
 LEAST = 8
 #: A copy has nine common shingles for every four of both sets together: similarity 0.8.
 COMMON, WHOLE = 9, 4
+#: Texts of a posting whose pairs are made, and how many times as many in each further round.
+CROWD = 8
 LEADERS = 4
 MAX_WORDS = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -268,29 +272,67 @@ def _shared(posted: DataFrame) -> DataFrame:
 
 
 def _ranked(posted: DataFrame, *by: str) -> DataFrame:
-    """Postings with their rank in the entry: texts that meet most others come first."""
+    """Postings with their rank in the entry, texts that meet most others first, and the entry's leader a."""
     degree = posted.withColumn("degree", F.sum("n").over(Window.partitionBy("v")))
-    return degree.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("degree"), "v")))
+    order = Window.partitionBy(*by).orderBy(F.desc("degree"), "v")
+    return degree.withColumn("rank", F.row_number().over(order)).withColumn("a", F.first("v").over(order))
 
 
-def _met(ranked: DataFrame, leaders: int, *by: str) -> DataFrame:
-    """(a, b, tally): how often b meets a, a leader of an entry that stands before b there."""
-    if leaders == 1:
-        pairs = ranked.withColumn("a", F.first("v").over(Window.partitionBy(*by).orderBy("rank"))).where("rank > 1").select("a", F.col("v").alias("b"))
-    else:
-        first = ranked.where(F.col("rank") <= leaders).select(*by, F.col("v").alias("a"), F.col("rank").alias("ahead"))
-        pairs = first.join(ranked, list(by)).where("ahead < rank").select("a", F.col("v").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("tally"))
+def _tallied(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("tally"))
+
+
+def _met(ranked: DataFrame) -> DataFrame:
+    """(a, b, tally): how often b meets a as the leader of an entry."""
+    return _tallied(ranked.where("rank > 1").select("a", F.col("v").alias("b")))
+
+
+def _pairs(small: DataFrame) -> DataFrame:
+    """(a, b, tally): how often b meets a, a text that stands before b in an entry."""
+    first = small.select("entry", F.col("v").alias("a"), F.col("rank").alias("ahead"))
+    return _tallied(first.join(small.drop("a"), "entry").where("ahead < rank").select("a", F.col("v").alias("b")))
+
+
+def _with_sets(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) with the shingle sets sa and sb."""
+    sets = cut(sets_of(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()))
+    return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
 
 def _copies(met: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(v): each b of a pair whose fingerprints share LEAST positional bytes and whose shingle sets are similar."""
     equal = F.size(F.filter(F.zip_with("fa", "fb", lambda x, y: x == y), lambda same: same))
     near = cut(met.join(prints.toDF("a", "fa"), "a").join(prints.toDF("b", "fb"), "b").where(equal >= LEAST).select("a", "b"))
-    sets = cut(sets_of(near.select(F.col("a").alias("v")).union(near.select("b")).distinct()))
-    both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     similar = COMMON * F.size(F.array_intersect("sa", "sb")) >= WHOLE * (F.size("sa") + F.size("sb"))
-    return both.where(similar).select(F.col("b").alias("v")).distinct()
+    return _with_sets(near, sets_of).where(similar).select(F.col("b").alias("v")).distinct()
+
+
+def _finer(crowded: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Of postings' members v and leaders a: those (v) that are copies of a leader (LEAST is not asked for) or of a better member near a
+    centre, and postings (v, entry) under which all pairs of other members that are copies meet again.
+
+    A leader's members are one region: they are written as what they have other than the leader, then other than what most of them
+    hold (symmetric difference keeps distances). With d and e the distances of x and y from that centre and c their common part, |x ^ y| = d + e - 2 c,
+    and copies have |x ^ y| <= r (|x| + |y|), r being a ninth. So 2 c >= (d - r |x|) + (e - r |y|), whose second term is no less than
+    the region's least one: x has one of the first d - c + 1 shingles of its difference, in the order of their number of texts, in common with y.
+    If that least one and a member's own don't add up to more than zero, that member is a copy of the one that has it.
+    """
+    from periodica.llm import metric_join  # it imports this module
+
+    percent = 100 * WHOLE // (COMMON - WHOLE)
+    both = _with_sets(cut(crowded.select("a", F.col("v").alias("b")).distinct()), sets_of)
+    apart = both.select(F.col("a").alias("region"), F.col("b").alias("v"), F.size("sa").alias("na"), F.size("sb").alias("n"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("e"))
+    apart = cut(apart.withColumn("copy", COMMON * F.size("e") <= (COMMON - 2 * WHOLE) * (F.col("na") + F.col("n"))))
+    gone = cut(apart.where("copy").select("v").distinct())
+    near, around = metric_join._centred(apart.join(gone, "v", "left_anti").select("region", "v", "n", "e"), percent)
+    if not near.isEmpty():
+        names = crowded.select(F.col("v").alias("fp"), F.struct((-F.col("degree")).alias("degree"), "v").alias("label")).distinct()
+        gone = cut(gone.union(components(near, names).where("fp <> label.v").select(F.col("fp").alias("v"))))
+    around = cut(around.withColumn("slack", F.col("n") * (100 - percent) - F.col("k") * (100 + percent)))
+    most = around.groupBy("region").agg(F.max("slack").alias("any"), F.max(F.when(~F.col("star"), F.col("slack"))).alias("open"))
+    common = F.ceil(-(F.col("slack") + F.when(F.col("star"), F.col("open")).otherwise(F.col("any"))) / (2 * (100 + percent)))
+    around = cut(around.join(most, "region").withColumn("first", F.least(F.col("first"), F.col("k") - common + 1).cast("int")).drop("slack", "any", "open"))
+    return gone, metric_join._posted(around).select("v", F.xxhash64("region", "entry").alias("entry"))
 
 
 def _best_first(met: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -321,16 +363,23 @@ def near_copies(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
     every, hot = prints, _hot_entries(prints)
     if not hot.isEmpty():
         salted = _posted(prints).join(F.broadcast(hot), "entry", "left_semi").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).withColumn("n", F.lit(1))
-        gone = cut(_best_first(_met(_ranked(salted, "entry", "salt"), 1, "entry", "salt"), prints, sets_of))
+        gone = cut(_best_first(_met(_ranked(salted, "entry", "salt")), prints, sets_of))
         every = prints.join(gone, "v", "left_anti")
-    left, leaders = cut(_shared(_posted(every))), 1
+    left, crowd = cut(_shared(_posted(every))), CROWD
     while not left.isEmpty():
         ranked = cut(_ranked(left, "entry"))
-        found = cut((_best_first if leaders == 1 else _copies)(_met(ranked, leaders, "entry"), prints, sets_of))
+        found = cut(_best_first(_met(ranked), prints, sets_of))
         gone = gone.union(found)
-        rest = ranked.where(F.col("rank") > leaders).select("v", "entry").join(found, "v", "left_anti")
-        left = cut(_shared(rest))
-        leaders *= LEADERS
+        rest = cut(_shared(ranked.where("rank > 1").join(found, "v", "left_anti")))
+        copies = cut(_copies(_pairs(rest.where(F.col("n") <= crowd)), prints, sets_of))
+        gone = gone.union(copies)
+        crowded = rest.where(F.col("n") > crowd).join(copies, "v", "left_anti")
+        if crowded.isEmpty():
+            break
+        copies, finer = _finer(crowded, sets_of)
+        gone = gone.union(copies)
+        left = cut(_shared(finer.join(copies, "v", "left_anti")))
+        crowd *= LEADERS
     return gone
 
 

@@ -530,6 +530,33 @@ def test_no_two_kept_texts_that_meet_are_similar(spark):
     assert {root[i] for i in kept} == set(root.values())  # each component keeps one at least
 
 
+@pytest.mark.parametrize("base", [0, 150])
+def test_a_crowded_posting_makes_no_square_of_pairs(spark, monkeypatch, base):
+    """400 texts that all share twelve positional bytes, near copies of one base or of none; one in four is a copy of an earlier one. Pairs would be 79,800."""
+    dice = np.random.default_rng(5)
+    drawn = lambda n: dice.integers(1, 1 << 60, n)
+    common, sets = drawn(base), []
+    for i in range(400):
+        like = sets[int(dice.integers(i))] if i % 4 == 3 else None
+        kept = common[dice.random(base) > 0.13] if like is None else like[dice.permutation(len(like))[: len(like) - 5]]
+        sets.append(np.unique(np.concatenate([kept, drawn((25 if base else 100) if like is None else 5)])))
+    prints = dice.integers(0, 256, (400, simhash_bytes.COPY_BYTES)).astype(np.uint8)
+    prints[:, : 2 * simhash_bytes.COPY_GROUP] = 7
+    prints = spark.createDataFrame([(i, x.view(np.int8).tolist()) for i, x in enumerate(prints)], "v long, fp array<byte>").repartition(4)
+    known = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "v long, shingles array<long>").repartition(4)
+    compared = []
+    monkeypatch.setattr(simhash_bytes, "_copies", lambda met, *a, f=simhash_bytes._copies: compared.append(met.count()) or f(met, *a))
+    gone = {r.v for r in simhash_bytes.near_copies(prints, lambda some: known.join(some, "v")).collect()}
+    alike = [(a, b) for a in range(400) for b in range(a) if 9 * len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= 4 * (len(sets[a]) + len(sets[b]))]
+    root = list(range(400))
+    for _ in sets:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(alike) >= 100 and not [p for p in alike if not gone & set(p)]
+    assert {root[i] for i in range(400) if i not in gone} == set(root)  # one of each component stays
+    assert sum(compared) < 12 * 400
+
+
 def test_wide_index_entries():
     prints = np.arange(96, dtype=np.uint8).reshape(2, 48)
     got = simhash_bytes.entries_of(prints)
