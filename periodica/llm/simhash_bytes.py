@@ -55,7 +55,7 @@ SHINGLE = 3
 SEED = 42
 #: Bytes of a 64-bit fingerprint in one index entry.
 WIDTH = 5
-#: A posting of more than DENSE times the ways to flip bits outside its tuple looks its links up; those ways are tabulated up to MAX_FLIPS, for RUN members at once.
+#: A posting of more than DENSE times the ways to flip bits outside its tuple looks its links up; those ways are tabulated up to MAX_FLIPS. Rows of a batch are worked on RUN at a time.
 DENSE = 2
 MAX_FLIPS = 10_000
 RUN = 1024
@@ -241,10 +241,15 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
 
 
+def _runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """RUN texts at a time, so that few of a batch are copied at once."""
+    return (texts.slice(at, RUN) for at in range(0, len(texts), RUN))
+
+
 def _set_column(text: Column) -> Column:
     @F.arrow_udf("array<long>")
     def sets(texts: pa.Array) -> pa.Array:
-        return _lists([shingle_set(t).view(np.int64) for t in as_bytes(texts)], pa.int64())
+        return _lists([shingle_set(t).view(np.int64) for run in _runs(texts) for t in as_bytes(run)], pa.int64())
 
     return sets(text)
 
@@ -252,7 +257,7 @@ def _set_column(text: Column) -> Column:
 def _print_column(text: Column) -> Column:
     @F.arrow_udf("array<tinyint>")
     def prints(texts: pa.Array) -> pa.Array:
-        return _lists([copy_print(shingle_set(t)).view(np.int8) for t in as_bytes(texts)], pa.int8())
+        return _lists([copy_print(shingle_set(t)).view(np.int8) for run in _runs(texts) for t in as_bytes(run)], pa.int8())
 
     return prints(text)
 
@@ -261,7 +266,10 @@ def _entry_column(prints: Column) -> Column:
     @F.arrow_udf("array<long>")
     def entries(rows: pa.Array) -> pa.Array:
         wide = rows.flatten().to_numpy().view(np.uint8).reshape(-1, COPY_BYTES)
-        return _lists(list(entries_of(wide)), pa.int64())
+        made = np.empty((len(wide), entries_of(wide[:0]).shape[1]), np.int64)
+        for at in range(0, len(wide), RUN):
+            made[at : at + RUN] = entries_of(wide[at : at + RUN])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
 
     return entries(prints)
 
