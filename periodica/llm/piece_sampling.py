@@ -319,7 +319,7 @@ def encode_documents(docs: DataFrame, model: str, alpha: float = ALPHA, seed: in
     def coded(texts: pa.Array, keys: pa.Array) -> pa.Array:
         rows, same = [np.zeros(0, np.int32)], []
         for lattices, run, got in _sampled(texts, keys, model, alpha, seed):
-            rows += got
+            rows += [ids.astype(np.int32) for ids in got]
             same += [lattices.decode(ids) == text for text, ids in zip(run, got, strict=True)]
         ends = np.cumsum([len(r) for r in rows], dtype=np.int32)
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows))), pa.array(same, pa.bool_())], ["ids", "lossless"])
